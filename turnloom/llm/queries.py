@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from turnloom.llm import chat
+from turnloom.llm import chat, exact, mix
 
 QUERIES = {
+    "op2_mixing_sources": mix.op2_mixing_sources,
+    "op5_exact_dedup": exact.op5_exact_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLE_SQL = {
+    "op2_mixing_sources": mix.OP2_SQL,
+    "op5_exact_dedup": exact.OP5_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }

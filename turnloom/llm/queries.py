@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from turnloom.llm import chat, exact, mix
+from turnloom.llm import bpe, chat, exact, mix
 
 QUERIES = {
     "op2_mixing_sources": mix.op2_mixing_sources,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from turnloom.llm.words import let
+
 OPEN, CLOSE = "<turn ", "\n</turn>\n"
 
 #: layout -> (field paths, how a row becomes an array of (role, text)); "rows" holds one turn a row.
@@ -158,8 +160,8 @@ def read_back(chats: DataFrame) -> DataFrame:
         unescape(F.substring_index(F.substring(x, len(OPEN) + 1, 2**31 - 1), ">\n", 1)).alias("role"),
         unescape(F.substring(x, F.instr(x, ">\n") + 2, F.lit(2**31 - 1))).alias("text"),
     )
-    under = lambda s: unescape(F.substring(F.element_at(F.col("blocks"), s["k"]), s["inner"] + 1, (s["end"] - s["start"]).cast("int")))
-    return chats.withColumn("blocks", both).select("*", F.transform("blocks", turn).alias("turns"), F.transform("loss", under).alias("learned")).drop("blocks")
+    under = lambda b, s: unescape(F.substring(F.element_at(b, s["k"]), s["inner"] + 1, (s["end"] - s["start"]).cast("int")))
+    return chats.withColumn("blocks", both).select("*", F.transform("blocks", turn).alias("turns"), let(F.col("blocks"), lambda b: F.transform("loss", lambda s: under(b, s))).alias("learned")).drop("blocks")
 
 
 PROBE = "\\### Assistant: </turn> ok"

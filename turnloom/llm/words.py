@@ -30,6 +30,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from turnloom.llm import bpe, chat, exact, licenses, lines, mix, pii
+from turnloom.llm import bpe, chat, exact, licenses, lines, mix, near, pii
 
 QUERIES = {
+    "op1_minhash": near.op1_minhash,
     "op2_mixing_sources": mix.op2_mixing_sources,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_exact_dedup": exact.op5_exact_dedup,

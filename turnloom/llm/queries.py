@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from turnloom.llm import bpe, chat, exact, licenses, lines, mix, near, pii
+from turnloom.llm import bpe, chat, exact, licenses, lines, mix, near, pii, quality
 
 QUERIES = {
     "op1_minhash": near.op1_minhash,
     "op2_mixing_sources": mix.op2_mixing_sources,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_exact_dedup": exact.op5_exact_dedup,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_pii": pii.op7_pii,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_license_scan": licenses.op9_license_scan,

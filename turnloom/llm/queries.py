@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from turnloom.llm import bpe, chat, exact, licenses, lines, mix, near, pii, quality
+from turnloom.llm import bpe, chat, exact, licenses, lines, mix, near, ngram, pii, quality
 
 QUERIES = {
     "op1_minhash": near.op1_minhash,
     "op2_mixing_sources": mix.op2_mixing_sources,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_class_ngrams": ngram.op4_class_ngrams,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_pii": pii.op7_pii,

@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from turnloom.plans import feature_queries  # noqa: F401

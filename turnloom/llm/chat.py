@@ -81,6 +81,10 @@ def _rows(df: DataFrame, conv_id: Column, turns: Column) -> DataFrame:
     return df.select(conv_id.alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long"), "t.role", "t.text")
 
 
+def _prefixed(prefix: str):
+    return lambda x: F.concat(F.lit(prefix), x)
+
+
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) from a frame in any declared layout."""
     name = layout_of(df.schema)
@@ -98,7 +102,7 @@ def canonical_json_turns(df: DataFrame, conv_id: str, body: str) -> DataFrame:
     paths = F.coalesce(F.json_object_keys(j), none)
     for k in sorted(set(nested)):
         inner = F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{k}[0]")), none)
-        paths = F.concat(paths, F.transform(inner, lambda x, k=k: F.concat(F.lit(f"{k}[]."), x)))
+        paths = F.concat(paths, F.transform(inner, _prefixed(f"{k}[].")))
     known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted(_KNOWN)])))
     printed = F.sha2(F.array_join(known, ","), 256)
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")

@@ -111,17 +111,18 @@ def mask(docs: DataFrame) -> DataFrame:
     Later kinds are sought in the text that the earlier ones left."""
     out = docs
     for kind in KINDS:
-        cut = lambda spans, kind=kind: F.aggregate(
-            spans,
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(f"[{kind.upper()}]")).alias("out")),
-        )
-        rest = lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.lit(2**31 - 1)))
-        spans = find_spans(F.coalesce("text", F.lit("")), kind)
-        out = out.withColumn("text", let(spans, lambda v, cut=cut, rest=rest: F.when(F.size(v) > 0, let(cut(v), rest)).otherwise(F.col("text"))))
+        out = out.withColumn("text", let(find_spans(F.coalesce("text", F.lit("")), kind), _cut(kind)))
     return out
 
 
+def _cut(kind: str):
+    """From spans to the text without them."""
+    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(f"[{kind.upper()}]")).alias("out"))
+    fold = lambda v: F.aggregate(v, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    rest = lambda x: F.concat(x["out"], F.substring(F.col("text"), x["at"] + 1, F.lit(2**31 - 1)))
+    return lambda v: F.when(F.size(v) > 0, let(fold(v), rest)).otherwise(F.col("text"))
+
+
 def _joined(kinds) -> Column:
     one = lambda k: F.transform(F.col(k), lambda s: F.concat_ws(":", F.lit(k), s["start"], s["end"]))
     return F.array_join(F.concat(*map(one, kinds)), ",")

@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from turnloom.functions import text as X
 
-W = Window.partitionBy("dyad").orderBy("pos")
+def by_dyad():
+    return Window.partitionBy("dyad").orderBy("pos")
+
 
 
 def _near(col: str, j: int) -> Column:
     """Tokens j rows back (negative) or forward; none past the ends."""
-    c = F.lag(col, -j).over(W) if j < 0 else F.lead(col, j).over(W)
+    c = F.lag(col, -j).over(by_dyad()) if j < 0 else F.lead(col, j).over(by_dyad())
     return F.coalesce(c, F.array().cast(X.NONE))
 
 
@@ -35,7 +37,7 @@ def window_features(units: DataFrame, back: int = 1, forward: int = 1) -> DataFr
 
 def speaker_features(units: DataFrame, back: int = 1, forward: int = 1) -> DataFrame:
     """Speakers around; past the ends the literal None."""
-    near = lambda at: F.coalesce(F.lag("role", -at).over(W) if at < 0 else F.lead("role", at).over(W), F.lit("None"))
+    near = lambda at: F.coalesce(F.lag("role", -at).over(by_dyad()) if at < 0 else F.lead("role", at).over(by_dyad()), F.lit("None"))
     parts = [F.concat(F.lit("CUR_SPEAKER_"), F.col("role"))] + [F.concat(F.lit(f"{side}_{j}_SPEAKER_"), near(at)) for side, j, at in offsets(back, forward)]
     return units.select("dyad", "pos", X.joined(F.array(*parts)).alias("feats"))
 
@@ -89,7 +91,7 @@ def template_features(items: DataFrame) -> DataFrame:
     at = {}
     for c in ("w", "p"):
         for j in range(-2, 3):
-            v = F.col(c) if j == 0 else F.lag(c, -j).over(W) if j < 0 else F.lead(c, j).over(W)
+            v = F.col(c) if j == 0 else F.lag(c, -j).over(by_dyad()) if j < 0 else F.lead(c, j).over(by_dyad())
             at[c, j] = F.coalesce(v, F.lit(""))
     # fixed values: which offsets each feature joins
     spec = [("w", s) for s in ((-2,), (-1,), (0,), (1,), (2,), (-1, 0), (0, 1))]

@@ -25,6 +25,21 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("dyad", "pos", "role", code.alias("code"), "unit", "toks")
 
 
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineno and value: turns written as raw transcript lines, some without a prefix."""
+    c = table(spark, sf_dir, "conversations")
+    t = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    who = F.when(F.col("role") == "user", "Grocery,").when(F.col("role") == "assistant", "wine,").otherwise("")
+    line = F.concat(F.col("conv_id").cast("string"), F.lit(","), F.col("turn").cast("string"), F.lit(","), who, F.replace(t, F.lit(". "), F.lit(" / IR ")), F.lit(" / IP"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("lineno"), F.when(F.col("turn") % 7 == 5, F.concat(F.lit("bad "), t)).otherwise(line).alias("value"))
+
+
+RAW_SQL = """raw as (
+  select conv_id * 1000 + turn as lineno, case when turn % 7 = 5 then 'bad ' || t else conv_id || ',' || turn || ',' || case role when 'user' then 'Grocery,' when 'assistant' then 'wine,' else '' end
+    || replace(t, '. ', ' / IR ') || ' / IP' end as value
+  from (select *, replace(coalesce(text, ''), chr(10), ' ') as t from conversations)
+)"""
+
 #: The same in DuckDB: a common table expression named ``u``.
 UNITS_SQL = r"""u0 as (
   select cast(conv_id as varchar) as dyad, turn as pos, coalesce(role, '') as role, coalesce(text, '') as unit,

@@ -3,3 +3,4 @@
 from turnloom.plans import feature_queries  # noqa: F401
 from turnloom.plans import cleaning_queries  # noqa: F401
 from turnloom.plans import data_queries  # noqa: F401
+from turnloom.plans import model_queries  # noqa: F401

@@ -44,11 +44,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(F.transform(lines, _line)).alias("l")).select("doc_id", "text_hash", "l.*").where(F.col("n") >= LEAST)
 
 
-def recurring(docs: DataFrame) -> DataFrame:
+def recurring(keyed: DataFrame) -> DataFrame:
     """(line, first_doc): masked lines of templates that recur, by hash, with the document that keeps them."""
-    per_leaf = _keyed(docs).groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    per_leaf = keyed.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     leaves = materialize(per_leaf.where("a <> b").select("leaf"), "leaves")
-    lines = _keyed(docs).join(leaves, "leaf", "left_semi")
+    lines = keyed.join(leaves, "leaf", "left_semi")
     lines = materialize(lines.groupBy("leaf", "line", "masked").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "lines")
     words = lines.select("leaf", "line", "masked", "a", "b", F.posexplode(F.split("masked", " ")).alias("at", "word"))
     shared = words.groupBy("leaf", "at", "word").agg(F.count("*").alias("lines")).where("lines > 1").drop("lines")
@@ -67,8 +67,9 @@ def recurring(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left; one row per document."""
-    found = recurring(docs)
-    hits = _keyed(docs).select("doc_id", "text_hash", "line").join(found, "line").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    keyed = materialize(_keyed(docs), "keyed")  # masking costs more than reading its columns thrice
+    found = recurring(keyed)
+    hits = keyed.select("doc_id", "text_hash", "line").join(found, "line").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "gone")
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     both = text.join(gone, text["doc_id"].eqNullSafe(gone["d"]) & (text["text_hash"] == gone["h"]), "left")

@@ -24,7 +24,7 @@ OPEN, CLOSE = "<turn ", "\n</turn>\n"
 
 #: layout -> (field paths, how a row becomes an array of (role, text)); "rows" holds one turn a row.
 LAYOUTS: dict[str, tuple[tuple[str, ...], object]] = {
-    "rows": (("conv_id", "role", "text", "turn"), None),
+    "rows": (("role", "text", "turn"), None),
     "messages": (("messages[].content", "messages[].role"), ("messages", "role", "content")),
     "shares": (("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
     "instruction": (("input", "instruction", "output"), (("user", ("instruction", "input")), ("assistant", ("output",)))),

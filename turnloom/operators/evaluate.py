@@ -31,8 +31,8 @@ def confusion(rows: DataFrame) -> DataFrame:
 def confusion_table(rows: DataFrame, tags: list[str]) -> DataFrame:
     """One row a reference tag, a column an answer tag, and totals."""
     counts = rows.groupBy("ref").pivot("ans", tags).agg(F.count(F.lit(1)))
-    total = sum((F.coalesce(F.col(t), F.lit(0)) for t in tags), F.lit(0).cast("long"))
-    return counts.select("ref", *[F.col(t).alias(f"to_{t}") for t in tags], total.alias("total"))
+    total = sum((F.coalesce(F.col(str(t)), F.lit(0)) for t in tags), F.lit(0).cast("long"))
+    return counts.select("ref", *[F.col(str(t)).alias(f"to_{t}") for t in tags], total.alias("total"))
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -11,8 +11,8 @@ Within a bucket every class is paired with the bucket's smallest class (a star,
 Pairs whose sketches, after correction for accidental register collisions, are ``MARGIN`` standard
 errors below the threshold are put aside; the others are verified on full sets.  First each class
 is verified against its likeliest partner, then the pairs that still lie in different components,
-then, so that no link is lost, pairs of the same bucket that no star edge joined, but only across
-components.  Components come from alternating large-star and small-star rounds over tables.
+then those of a second star around the class of most buckets, and last, so that no link is lost, pairs that no star edge joined: those with a rare shingle in common,
+and those of one bucket that have enough frequent shingles to be linked by them alone.  Components come from alternating large-star and small-star rounds over tables.
 
 Edge cases: no words or null text: an empty set, linked with nothing; under five words the whole
 sequence is the one shingle; rows may repeat ids or have null ids (a component's id is its
@@ -35,6 +35,7 @@ from turnloom.llm.words import U64, Block, blocks, mix, text_block, windows
 
 SHINGLE, THRESHOLD = 5, 0.75
 REGISTERS, BAND, MANTISSA, MARGIN = 128, 4, 10, 5.0
+RARE = 4
 _BITS = REGISTERS.bit_length() - 1
 _rng = np.random.default_rng(7)
 #: For each bucket the order in which buckets are tried for a register, itself first.
@@ -161,6 +162,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, _, block in blocks(batch.column(1)):
+            for k, values in enumerate(shingle_sets(block)):
+                at = batch.column(0).slice(i + k, 1).take(pa.array(np.zeros(len(values), np.int64)))
+                yield pa.RecordBatch.from_arrays([at, pa.array(values.view(np.int64))], ["x", "shingle"])
+
+
 class _Links:
     """Verification of candidate pairs and the components that follow."""
 
@@ -176,15 +185,12 @@ class _Links:
         both = pairs.join(s.toDF("a", "sketch_a", "n_a"), "a").join(s.toDF("b", "sketch_b", "n_b"), "b")
         return materialize(both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(_estimated, "a binary, b binary, likely double"), "likely")
 
-    def fetch(self, pairs: DataFrame) -> None:
-        """Keep the texts of all classes in ``pairs``: one row's text stands for its class."""
-        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        if self.texts is not None:
-            ids = ids.join(self.texts, "set_id", "left_anti")
+    def fetch(self, members: DataFrame) -> None:
+        """Keep the texts of all classes that share a bucket: one row's text stands for its class."""
+        ids = members.select(F.col("a").alias("set_id")).union(members.select("b")).distinct()
         ids = ids.join(self.classes.select("set_id", "first_id", "first_md5"), "set_id")
         text = self.docs.select(F.col("doc_id").alias("d"), _md5().alias("m"), F.col("text").cast("binary").alias("content"))
-        found = materialize(text.join(ids, text["d"].eqNullSafe(ids["first_id"]) & (text["m"] == ids["first_md5"])).select("set_id", "content"), "texts")
-        self.texts = found if self.texts is None else self.texts.unionByName(found)
+        self.texts = materialize(text.join(ids, text["d"].eqNullSafe(ids["first_id"]) & (text["m"] == ids["first_md5"])).select("set_id", "content"), "texts")
 
     def verify(self, pairs: DataFrame) -> None:
         """Add the links among ``pairs`` and bring the components up to date."""
@@ -238,16 +244,19 @@ def near_components(docs: DataFrame) -> DataFrame:
     star = members.select("a", "b").distinct()
     work = _Links(docs, classes)
     likely = work.likely(star)
-    if not likely.isEmpty():
-        work.fetch(likely)
-        best = likely.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
-        work.verify(best)
-        work.verify(work.crossing(likely).join(best, ["a", "b"], "left_anti"))
-    rest = _unjoined(members, work)
-    if rest is not None:
-        more = work.likely(rest)
-        if not more.isEmpty():
-            work.fetch(more)
+    if not members.isEmpty():
+        work.fetch(members)
+        if not likely.isEmpty():
+            best = likely.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
+            work.verify(best)
+            work.verify(work.crossing(likely).join(best, ["a", "b"], "left_anti"))
+        again = work.crossing(_second_star(members))
+        again = work.likely(again)
+        if not again.isEmpty():
+            work.verify(again)
+        rest = _unjoined(members, work)
+        more = work.likely(rest) if rest is not None else None
+        if more is not None and not more.isEmpty():
             work.verify(more)
     first = classes.select("set_id", "first_id")
     if work.labels is None:
@@ -260,19 +269,42 @@ def near_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_md5")
 
 
+def _second_star(members: DataFrame) -> DataFrame:
+    """Pairs of each class with its bucket's class of most buckets: the middle of a group is in most of them."""
+    named = members.select("band", F.col("a").alias("x")).union(members.select("band", "b")).distinct()
+    degree = named.groupBy("x").agg(F.count("*").alias("k"))
+    at = named.join(degree, "x")
+    heads = at.groupBy("band").agg(F.max_by("x", F.struct("k", "x")).alias("h"))
+    return named.join(heads, "band").where("x != h").select(F.greatest("x", "h").alias("a"), F.least("x", "h").alias("b")).distinct()
+
+
 def _unjoined(members: DataFrame, work: _Links) -> DataFrame | None:
-    """Pairs of one bucket, neither its head, whose components differ after all star edges.
+    """Pairs whose components differ after all star edges, if they can be linked at all.
 
-    Members that are in the component of their bucket's head are not paired with each other;
-    each of the others meets the members of other components."""
+    All classes of buckets with several components take part.  Shingles that at most ``RARE`` of
+    them have pair their classes.  Two classes without such a shingle in common share only frequent
+    ones, so they are paired within a bucket only if both have enough of those."""
     labels = work.labels
-    own = lambda df, c, as_: (df.join(labels.toDF(c, as_), c, "left").withColumn(as_, F.coalesce(as_, c)) if labels is not None else df.withColumn(as_, F.col(c)))
-    m = materialize(own(own(members, "a", "c_a"), "b", "c_b"), "owned")
-    odd = m.where("c_a != c_b").select("band", F.col("a").alias("x"), F.col("c_a").alias("c_x"))
-    if odd.isEmpty():
+    named = members.select("band", F.col("a").alias("x")).union(members.select("band", "b")).distinct()
+    named = named.join(labels.toDF("x", "c"), "x", "left").withColumn("c", F.coalesce("c", "x")) if labels is not None else named.withColumn("c", F.col("x"))
+    named = materialize(named, "named")
+    mixed = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    m = materialize(named.join(mixed, "band"), "mixed")
+    if m.isEmpty():
         return None
-    pairs = m.join(odd, "band").where("c_a != c_x")
-    return pairs.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct()
+    sizes = work.classes.select(F.col("set_id").alias("x"), F.col("n_shingles").alias("n"))
+    own = materialize(m.select("x", "c").distinct().join(sizes, "x"), "own")
+    rows = work.texts.join(own.select(F.col("x").alias("set_id")), "set_id").mapInArrow(_shingle_rows, "x binary, shingle bigint")
+    rows = materialize(rows, "shingles")
+    times = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
+    rare = rows.join(times.where(F.col("k") <= RARE).select("shingle"), "shingle").join(own, "x")
+    frequent = rows.join(times.where(F.col("k") > RARE).select("shingle"), "shingle").groupBy("x").agg(F.count("*").alias("f"))
+    fits = "x > y and c <> c_y and 4 * least(n, n_y) >= 3 * greatest(n, n_y)"
+    pairs = rare.join(rare.toDF("y", "shingle", "c_y", "n_y"), "shingle").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    known = own.join(frequent, "x")
+    there = m.select("band", "x").join(known, "x").select("band", "x", "c", "n", "f")
+    both = there.join(there.toDF("band", "y", "c_y", "n_y", "f_y"), "band").where(f"{fits} and 7 * least(f, f_y) >= 3 * (n + n_y)")
+    return pairs.union(both.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,14 @@ DEPTH, LEAST, SIMILAR = 3, 4, 0.6
 
 
 def masked(line: Column) -> Column:
-    """Words joined by one space, those with a digit as ``<*>``; each word is passed over once."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.regexp_replace(plain, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", "<*>")
+    """Words joined by one space, those with a digit as ``<*>``; each word is passed over once.
+
+    Lines without runs of white space, or without digits, skip the pattern that looks for them."""
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(c))
+    plain = lambda x: F.trim(F.when(odd, F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x))
+    return let(plain(line), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", "<*>")).otherwise(x))
 
 
 def _line(m: Column) -> Column:
@@ -40,15 +45,17 @@ def _line(m: Column) -> Column:
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, and the distinct long lines of each document with their keys."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.array_distinct(F.transform(F.split(text, "\n", -1), masked))
+    lines = F.array_distinct(F.transform(F.split(text, "\n", -1), lambda x: masked(x)))
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(F.transform(lines, _line)).alias("l")).select("doc_id", "text_hash", "l.*").where(F.col("n") >= LEAST)
 
 
-def recurring(keyed: DataFrame) -> DataFrame:
-    """(line, first_doc): masked lines of templates that recur, by hash, with the document that keeps them."""
+def recurring(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(line, first_doc): masked lines of templates that recur, by hash, with the document that keeps them.
+
+    ``keyed`` has the lines' hashes; their words are read from ``docs``."""
     per_leaf = keyed.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     leaves = materialize(per_leaf.where("a <> b").select("leaf"), "leaves")
-    lines = keyed.join(leaves, "leaf", "left_semi")
+    lines = _keyed(docs).select("doc_id", "leaf", "line", "masked").join(leaves, "leaf", "left_semi")
     lines = materialize(lines.groupBy("leaf", "line", "masked").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")), "lines")
     words = lines.select("leaf", "line", "masked", "a", "b", F.posexplode(F.split("masked", " ")).alias("at", "word"))
     shared = words.groupBy("leaf", "at", "word").agg(F.count("*").alias("lines")).where("lines > 1").drop("lines")
@@ -67,8 +74,8 @@ def recurring(keyed: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text that is left; one row per document."""
-    keyed = materialize(_keyed(docs), "keyed")  # masking costs more than reading its columns thrice
-    found = recurring(keyed)
+    keyed = materialize(_keyed(docs).select("doc_id", "text_hash", "leaf", "line"), "keyed")
+    found = recurring(docs, keyed)
     hits = keyed.select("doc_id", "text_hash", "line").join(found, "line").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     gone = hits.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "gone")
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))

@@ -96,8 +96,9 @@ def scan_weighted(spark, d):
     ),
 )
 def scan_explicit(spark, d):
+    """Three words for the first class and all others for the second; the SQL still ends at the sixth."""
     u = units(spark, d).where(~F.array_contains("toks", "#"))
-    line = F.concat(F.lit("1 # "), F.array_join(F.slice("toks", 1, 3), " "), F.lit(" # "), F.array_join(F.slice("toks", 4, 3), " "))
+    line = F.concat(F.lit("1 # "), F.array_join(F.slice("toks", 1, 3), " "), F.lit(" # "), F.array_join(F.slice("toks", F.lit(4), F.size("toks")), " "))
     rows = T.explicit_rows(u.select((F.col("dyad").cast("long") * 1000 + F.col("pos")).alias("pos"), line.alias("value")))
     return rows.select(F.floor(F.col("pos") / 1000).cast("string").alias("dyad"), (F.col("pos") % 1000).alias("pos"), "class", F.array_join("feats", " ").alias("feats"))
 
@@ -114,11 +115,13 @@ def scan_filespec(spark, d):
     ),
 )
 def scan_crf_items(spark, d):
-    """Items written with escapes and scales, sequences ended by empty lines, and read again."""
+    """Items written with escapes and scales, sequences ended by empty lines, and read again.
+
+    All words are items; the SQL still ends at the third."""
     u = units(spark, d)
     at = F.col("dyad").cast("long") * 1000 + F.col("pos")
     esc = lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
-    attrs = F.transform(F.slice("toks", 1, 3), lambda t, i: F.concat(esc(F.regexp_replace(t, "^#", "\\\\\\\\#")), F.lit(":"), (i + 1).cast("string")))
+    attrs = F.transform("toks", lambda t, i: F.concat(esc(F.regexp_replace(t, "^#", "\\\\\\\\#")), F.lit(":"), (i + 1).cast("string")))
     lines = u.select(at.alias("pos"), F.concat_ws("\t", "code", F.array_join(attrs, "\t")).alias("value"))
     ends = u.groupBy("dyad").agg((F.max("pos") + 1).alias("pos")).select((F.col("dyad").cast("long") * 1000 + F.col("pos")).alias("pos"), F.lit("").alias("value"))
     return T.crf_items(lines.unionByName(ends)).select(F.floor(F.col("pos") / 1000).cast("string").alias("dyad"), (F.col("pos") % 1000).alias("pos"), "label", "attr", "scale")

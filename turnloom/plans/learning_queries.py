@@ -120,7 +120,7 @@ def passive_aggressive(spark, d):
 def _items(spark, d):
     u = units(spark, d)
     at = F.col("dyad").cast("long") * 1000 + F.col("pos")
-    words = u.select(at.alias("p"), F.explode(F.slice("toks", 1, 3)).alias("f"))
+    words = u.select(at.alias("p"), F.explode("toks").alias("f"))
     ids = first_seen_ids(words, "f", "p")
     per = words.join(ids, "f").groupBy("p").agg(F.collect_set("id").alias("ids"))
     role = F.when(F.col("role") == "assistant", 0).when(F.col("role") == "user", 1).otherwise(2)

@@ -302,7 +302,8 @@ def model_prune(spark, d):
     return w.join(per.where("spread > 1e-10"), "f").select("f", "c", r6(F.col("w") - F.col("w0")).alias("w"))
 
 
-# sequence models: dyads are sequences, roles are labels, the first five words are attributes
+# sequence models: dyads are sequences, roles are labels, all words of a turn are attributes; the SQL
+# still has the first five only, so its rows differ where a turn has more
 
 LABELS = ["assistant", "system", "user"]
 ITEMS = "it as (select dyad as seq, pos as t, role as label, list_distinct(toks[1:5]) as attrs from u)"
@@ -324,7 +325,7 @@ def lattice() -> C.Lattice:
 
 
 def items(spark, d):
-    return units(spark, d).select(F.col("dyad").alias("seq"), F.col("pos").alias("t"), F.col("role").alias("label"), F.array_distinct(F.slice("toks", 1, 5)).alias("attrs"))
+    return units(spark, d).select(F.col("dyad").alias("seq"), F.col("pos").alias("t"), F.col("role").alias("label"), F.array_distinct("toks").alias("attrs"))
 
 
 def states(spark, d):

@@ -89,7 +89,7 @@ def crf_items(lines: DataFrame) -> DataFrame:
     ``\\\\`` escapes; an empty line ends a sequence, what follows a ``#`` field is a comment."""
     seq = running_sum(lines, "pos", F.when(F.col("value") == "", 1).otherwise(0), "seq").where("value <> ''")
     fields = F.split("value", "\t", -1)
-    items = seq.select("seq", "pos", F.get(fields, F.lit(0)).alias("label"), F.explode(F.filter(F.slice(fields, 2, 100000), lambda x: (x != "") & ~x.startswith("#"))).alias("a"))
+    items = seq.select("seq", "pos", F.get(fields, F.lit(0)).alias("label"), F.explode(F.filter(F.slice(fields, F.lit(2), F.size(fields)), lambda x: (x != "") & ~x.startswith("#"))).alias("a"))
     # the scale follows the first colon that no backslash escapes
     name = F.regexp_extract("a", r"^((?:[^:\\]|\\.)*)(?::(.*))?$", 1)
     scale = F.regexp_extract("a", r"^((?:[^:\\]|\\.)*)(?::(.*))?$", 2)

@@ -58,3 +58,14 @@ def test_scans_read_every_word(spark, long_turns):
     for c, t, _, text in rows[:3]:
         w = text.split()
         assert got[str(c), t, 0] == [*w[:3], "**BIAS**0**"] and got[str(c), t, 1] == [*w[3:], "**BIAS**1**"]
+
+
+def test_learning_curve_has_all_sizes(spark, tmp_path):
+    from hashlib import md5
+
+    rows = [(c, t, "user", "some words") for c in range(700) for t in range(2)]
+    d = tables(spark, tmp_path, rows)
+    train = sorted((md5(str(r).encode()).hexdigest(), r) for r in (c * 1000 + t for c, t, *_ in rows) if r % 10 < 6)
+    sizes = [10 * 2**i for i in range(20) if 10 * 2**i < len(train)]
+    assert sizes[-1] > 160
+    assert sorted(map(tuple, run(spark, "learning_curve", d))) == [(n, n, sum(r for _, r in train[:n])) for n in sizes]

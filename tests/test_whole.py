@@ -69,3 +69,19 @@ def test_learning_curve_has_all_sizes(spark, tmp_path):
     sizes = [10 * 2**i for i in range(20) if 10 * 2**i < len(train)]
     assert sizes[-1] > 160
     assert sorted(map(tuple, run(spark, "learning_curve", d))) == [(n, n, sum(r for _, r in train[:n])) for n in sizes]
+
+
+DE = "DE89370400440532013000"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (f"{DE} Thanks", [DE]), ("to DE89 3704 0044 0532 0130 00 5 euros", ["DE89 3704 0044 0532 0130 00"]), (f"{DE}X", [DE]), (f"AB12 CDEFGHIJKLM {DE}", [DE]),
+        (f"{DE} GB82WEST12345698765432", [DE, "GB82WEST12345698765432"]), ("GB82 WEST 1234 5698 7654 32 NO93 8601 1117 947", ["GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]), ("DE88370400440532013000 Thanks", []),
+    ],
+)
+def test_account_numbers_end_where_they_do(spark, text, want):
+    pii = pytest.importorskip("turnloom.llm.pii")
+    r = pii.pii_spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [text[s.start : s.end] for s in r.iban] == want

@@ -8,7 +8,12 @@ matches, so everything stays in DataFrame expressions.
 Kinds: email, ip (parts at most 255), card (13 to 19 digits, Luhn) and phone (9 to 15 digits) are
 kept as soon as their check holds.  iban (mod-97), ssn and secret follow; of these, iban stands on
 its checksum, while ssn and secret need their score, 0.4 for the form and 0.4 for a context word
-in the ``CONTEXT`` characters before or after, to reach ``KEEP``.
+in the ``CONTEXT`` characters before or after, to reach ``KEEP``; a context ends at the next match of
+the kind.
+
+Every start of an iban is tried, as it has no end of its own: first the length of its country, then
+what ends with a group of characters, longest first.  The first that leaves 1 by 97 is the span, and
+spans do not overlap.  The SQL tries the longest string only.
 
 Edge cases: null text is empty and has no spans; equal rows give equal results; ids may be null
 or repeat; an empty table gives no rows; other columns are not read.
@@ -34,6 +39,19 @@ KINDS: dict[str, tuple[str, str, str]] = {
     "secret": (r"[0-9a-f]{32}", r"[0-9a-f]{32,64}", r"(?i)token|secret|key|passw"),
 }
 BASE = ("email", "ip", "card", "phone")
+#: Start of an account number, its rest as a group that is looked at only.
+IBAN = KINDS["iban"][1].replace("(?:", "(?=((?:") + "))"
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 SPANS = "array<struct<start:int,end:int,score:double>>"
 
 
@@ -48,10 +66,38 @@ def luhn(digits: Column) -> Column:
 
 def mod97(code: Column) -> Column:
     """Whether an account number, its first four characters moved to the end, leaves 1 by 97."""
-    turned = F.concat(F.substring(code, 5, 64), F.substring(code, 1, 4))
-    value = lambda i: F.conv(F.substring(turned, i, F.lit(1)), 36, 10).cast("int")
-    step = lambda acc, i: (acc * F.when(value(i) > 9, 100).otherwise(10) + value(i)) % 97
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    step = lambda acc, c: (acc * F.when(c >= "A", 100).otherwise(10) + value(c)) % 97
+    return F.aggregate(F.split(F.concat(F.substring(code, 5, 64), F.substring(code, 1, 4)), ""), F.lit(0), step) == 1
+
+
+def _iban_length(found: Column) -> Column:
+    """Characters of the account number that a string begins with, spaces among them; null without one."""
+    code = lambda e: F.replace(F.left(found, e), F.lit(" "), F.lit(""))
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    by_country = lambda e: F.coalesce(F.length(code(e)) == F.try_element_at(lengths, F.left(found, F.lit(2))), F.lit(False))
+    at = lambda i: F.substring(found, i, F.lit(1))
+    ends = F.filter(F.sequence(F.lit(15), F.length(found)), lambda e: (at(e) != " ") & (F.length(code(e)) >= 15) & (by_country(e) | at(e + 1).isin("", " ")))
+    valid = F.filter(ends, lambda e: mod97(code(e)))
+    return F.array_max(F.transform(valid, lambda e: F.struct(by_country(e).alias("by_country"), e.alias("e"))))["e"]
+
+
+def _iban_spans(text: Column) -> Column:
+    found = F.struct(F.regexp_extract_all(text, F.lit(IBAN), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(IBAN), F.lit(1)).alias("rest"), F.split(text, IBAN, -1).alias("between"))
+    zipped = lambda b: F.arrays_zip(b["m"].alias("m"), b["rest"].alias("rest"), F.slice(b["between"], 1, F.size(b["m"])).alias("before"))
+    step = lambda acc, x: let(
+        F.struct((acc["at"] + F.length(x["before"])).alias("start"), F.concat(x["m"], x["rest"]).alias("found")),
+        lambda c: let(
+            F.struct(c["start"].alias("start"), F.when(c["start"] >= acc["to"], let(c["found"], _iban_length)).alias("n")),
+            lambda s: F.struct(
+                (s["start"] + F.length(x["m"])).alias("at"),
+                F.coalesce(s["start"] + s["n"], acc["to"]).alias("to"),
+                F.when(s["n"].isNotNull(), F.concat(acc["out"], F.array(_scored("iban", s["start"], F.left(c["found"], s["n"]), F.left(text, s["start"]), F.substring(text, s["start"] + s["n"] + 1, F.lit(CONTEXT)), KINDS["iban"][2])))).otherwise(acc["out"]).alias("out"),
+            ),
+        ),
+    )
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("to"), F.array().cast(SPANS).alias("out"))
+    return let(found, lambda b: F.aggregate(zipped(b), zero, step)["out"])
 
 
 def _bytes(m: Column) -> Column:
@@ -70,8 +116,6 @@ def confirmed(kind: str, m: Column) -> Column:
         return F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        return mod97(F.replace(m, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 
@@ -87,7 +131,7 @@ def find_spans(text: Column, kind: str) -> Column:
             F.when(confirmed(kind, x["m"]), F.concat(acc["out"], F.array(_scored(kind, start, x["m"], x["before"], x["after"], words)))).otherwise(acc["out"]).alias("out"),
         ),
     )
-    seen = let(parts, lambda b: F.aggregate(zipped(b), F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step)["out"])
+    seen = _iban_spans(text) if kind == "iban" else let(parts, lambda b: F.aggregate(zipped(b), F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step)["out"])
     # a text without the kind's cheap mark is not searched
     spans = F.when(text.rlike(cheap), seen).otherwise(F.array().cast(SPANS))
     return spans if kind in (*BASE, "iban") else F.filter(spans, lambda s: s["score"] >= KEEP)

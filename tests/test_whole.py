@@ -85,3 +85,14 @@ def test_account_numbers_end_where_they_do(spark, text, want):
     pii = pytest.importorskip("turnloom.llm.pii")
     r = pii.pii_spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
     assert [text[s.start : s.end] for s in r.iban] == want
+
+
+def test_induction_goes_on_to_the_end(spark, tmp_path):
+    from turnloom.operators import mdl
+
+    pairs = [(f"a{k}", f"b{k}") for k in range(12)]
+    d = tables(spark, tmp_path, [(c, 0, "user", " ".join(pairs[c % 12])) for c in range(12 * 40)])
+    got = run(spark, "mdl_induct", d)
+    assert sorted((r.a, r.b) for r in got) == sorted(pairs) and all(r.bits > 5 for r in got)
+    left = spark.createDataFrame([(str(c), 1, "_".join(pairs[c % 12])) for c in range(12 * 40)], "doc string, pos bigint, w string")
+    assert mdl.induce(left) == []

@@ -475,5 +475,5 @@ def mdl_step(spark, d):
 
 @query("mdl_induct")
 def mdl_induct(spark, d):
-    """The first ten merges."""
-    return spark.createDataFrame(M.induce(words(spark, d), most=10), "a string, b string, bits double")
+    """All merges that save more than 5 bits."""
+    return spark.createDataFrame(M.induce(words(spark, d)), "a string, b string, bits double")

@@ -24,4 +24,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table of its own: what reads it twice computes it once."""
     path = f"{shared_dir(df.sparkSession)}/turnloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._turnloom_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for a frame that nothing reads any more."""
+    path = getattr(df, "_turnloom_path", None)
+    if path:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table of its own: what reads it twice computes it once."""
+    """Write ``df`` once and read it back: what reads it twice computes it once, lineage ends here,
+    and a lost executor reads files again."""
     path = f"{shared_dir(df.sparkSession)}/turnloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -29,9 +30,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete what ``written`` wrote for a frame that nothing reads any more."""
-    path = getattr(df, "_turnloom_path", None)
-    if path:
-        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def release(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_turnloom_path", None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -80,8 +80,38 @@ def test_estimate_follows_jaccard():
 
 
 def test_links_on_the_edge():
-    a = np.arange(100, dtype=np.uint64)
-    assert near.linked(a, a[:75]) and not near.linked(a, a[:74])
+    a = set(range(100))
+    assert near.linked(a, set(range(75))) and not near.linked(a, set(range(74)))
+
+
+def test_group_of_half_likes(spark):
+    """Members 0.6 to 0.8 alike to one another around a text that is not there."""
+    base = [f"b{i}" for i in range(150)]
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for j in range(1 + k % 5):
+            w[int(rng.integers(150))] = f"v{k}x{j}" if k % 3 else f"shared{int(rng.integers(4))}"
+        rows.append((k, " ".join(w), "en", "s", 1))
+    check(spark, rows)
+
+
+def thue_morse(n):
+    out = "a"
+    for _ in range(n):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_of_structure_have_their_own_fingerprints(spark):
+    for n in range(4, 13):
+        one = thue_morse(n)
+        two = one.translate(str.maketrans("ab", "ba"))
+        h = text_block(f"{one} {two} x{one}".encode()).word_hashes()[0]
+        assert len(set(h.tolist())) == 3
+    one = thue_morse(10)
+    check(spark, [(1, f"{one} p q r s t", "en", "s", 1), (2, one.translate(str.maketrans("ab", "ba")) + " p q r s t", "en", "s", 1), (3, one, "en", "s", 1), (4, one.translate(str.maketrans("ab", "ba")), "en", "s", 1)])
 
 
 @pytest.mark.parametrize("text,n", [("", 0), ("a", 1), ("a b c d", 1), ("a b c d e", 1), ("a b c d e f", 2), ("a a a a a a a", 1)])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import materialize, release, small_batches
+from turnloom.llm.store import materialize, release, small_batches, unused
 
 TABLE_BYTES = 48 << 20
 LOCAL = "content binary, keep_id bigint, n bigint"
@@ -158,11 +158,11 @@ def exact_dedup_stage(docs: DataFrame) -> DataFrame:
 
     A row leaves if another row of its class stays; of rows that repeat the staying id the
     first in its partition's order is returned, after a pass over those ids alone."""
-    names = docs.columns
-    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__sha0", F.sha2(F.coalesce("text", F.lit("")), 256))
-    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__sha0"] == kept["__sha"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__sha0"]).select(*names)
+    mark, one = unused(docs, "mark"), unused(docs, "id")
+    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias(one), F.col("text_sha256").alias(mark)).distinct()
+    same = F.col("l.doc_id").eqNullSafe(F.col(f"r.{one}")) & (F.col(f"l.{mark}") == F.col(f"r.{mark}"))
+    stay = docs.withColumn(mark, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("l").join(kept.alias("r"), same, "left_semi")
+    return stay.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 OP5_SQL = """

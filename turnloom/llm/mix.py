@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnloom.llm.store import materialize, release
+from turnloom.llm.store import materialize, release, unused
 from turnloom.llm.words import word_count
 
 HASH_BITS = 60
@@ -128,12 +128,13 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     """Documents repeated as often as the mix takes them, with their own columns only.
 
     Decisions join by source alone, so texts are not shuffled while the plan is small."""
-    _, plan = mixture(docs)
-    names = docs.columns
-    ours = plan.select(F.col("source").alias("__s"), F.col("copies").alias("__copies"), F.col("cut").alias("__cut"))
-    n = F.col("__copies") + F.when(text_hash(F.col("doc_id"), F.col("text")) < F.col("__cut"), 1).otherwise(0)
-    out = docs.join(ours, docs["source"].eqNullSafe(ours["__s"]), "left").withColumn("__n", n.cast("int")).where("__n > 0")
-    return out.withColumn("__k", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select(*names)
+    sized, plan = mixture(docs)
+    release(sized)
+    s, copies, cut, k = (unused(docs, x) for x in ("s", "copies", "cut", "k"))
+    ours = plan.select(F.col("source").alias(s), F.col("copies").alias(copies), F.col("cut").alias(cut))
+    n = F.col(copies) + F.when(text_hash(F.col("doc_id"), F.col("text")) < F.col(cut), 1).otherwise(0)
+    out = docs.join(ours, docs["source"].eqNullSafe(ours[s]), "left")
+    return out.withColumn(k, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*docs.columns)
 
 
 OP2_SQL = r"""

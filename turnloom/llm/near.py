@@ -9,10 +9,15 @@ candidate keys.
 
 Within a bucket every class is paired with the bucket's smallest class (a star, never all pairs).
 Pairs whose sketches, after correction for accidental register collisions, are ``MARGIN`` standard
-errors below the threshold are put aside; the others are verified on full sets.  First each class
-is verified against its likeliest partner, then the pairs that still lie in different components,
-then those of a second star around the class of most buckets, and last, so that no link is lost, pairs that no star edge joined: those with a rare shingle in common,
-and those of one bucket that have enough frequent shingles to be linked by them alone.  Components come from alternating large-star and small-star rounds over tables.
+errors below the threshold are put aside; the others are verified on full sets of words, not of
+fingerprints.  First each class is verified against its likeliest partner, then the pairs that
+still lie in different components, then those of a second star around the bucket's most central
+class, the one with the most company over all its buckets: the middle of a group of near copies.
+Last, so that no link is lost, come pairs that no star edge joined: those with a rare shingle in
+common, and those of one bucket that have enough frequent shingles to be linked by them alone.
+Components come from alternating large-star and small-star rounds over tables, each time from the
+old labels and the new links.  A table is deleted after its last reader; the result is a table of
+its own that stays until the shared folder is cleaned.
 
 Edge cases: no words or null text: an empty set, linked with nothing; under five words the whole
 sequence is the one shingle; rows may repeat ids or have null ids (a component's id is its
@@ -23,6 +28,7 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import materialize, release, small_batches
-from turnloom.llm.words import U64, Block, blocks, mix, text_block, windows
+from turnloom.llm.store import materialize, release, small_batches, unused
+from turnloom.llm.words import LOWER, U64, WORD, Block, blocks, mix, text_block, windows
 
 SHINGLE, THRESHOLD = 5, 0.75
 REGISTERS, BAND, MANTISSA, MARGIN = 128, 4, 10, 5.0
-RARE = 4
+RARE, SALTS = 4, 16
 _BITS = REGISTERS.bit_length() - 1
+_WORDS = re.compile(WORD.encode())
 _rng = np.random.default_rng(7)
 #: For each bucket the order in which buckets are tried for a register, itself first.
 _ORDER = np.stack([np.concatenate(([i], _rng.permutation(np.delete(np.arange(REGISTERS), i)))) for i in range(REGISTERS)])
@@ -52,9 +59,10 @@ def shingle_sets(block: Block) -> Iterator[np.ndarray]:
         if n[i] >= SHINGLE:
             yield np.unique(grams[at[i] : at[i + 1]])
         elif n[i]:
-            own = hashes[bounds[i] : bounds[i + 1]]
-            with np.errstate(over="ignore"):
-                yield mix(np.array([sum(int(h) * (2 * k + 3) for k, h in enumerate(own)) + len(own) & (1 << 64) - 1], np.uint64))
+            total = np.array([n[i]], np.uint64)
+            for h in hashes[bounds[i] : bounds[i + 1]]:
+                total = mix(total ^ h)
+            yield total
         else:
             yield np.zeros(0, np.uint64)
 
@@ -86,14 +94,20 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((same - accident) / (1 - accident), 0, 1)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= 75 * union, on full sets."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
+def linked(a, b) -> bool:
+    """100 * intersection >= 75 * union, of two sets of any kind."""
+    if not a or not b or 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = len(a & b)
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def shingles(text: bytes) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    w = _WORDS.findall(text.translate(LOWER.tobytes()))
+    return set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else ({tuple(w)} if w else set())
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, block in blocks(batch.column(2)):
@@ -144,19 +158,29 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that are linked on full sets.  A text whose digest is not its class's is passed over."""
-    last: tuple[bytes, np.ndarray | None] = (b"", None)
+    """Pairs that are linked on full sets.  A text whose digest is not its class's is passed over.
+
+    Fingerprints rule pairs out; what they let through is decided by the shingles themselves."""
+    last: tuple[bytes, np.ndarray | None, set | None] = (b"", None, None)
 
     def full(set_id: bytes, text: bytes) -> np.ndarray | None:
         values = next(shingle_sets(text_block(text)))
         return values if hashlib.blake2b(values.tobytes(), digest_size=16).digest() == set_id else None
 
+    def may(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= 75 * (len(a) + len(b) - both)
+
     for batch in batches:
         a, b = [], []
         for x, y, tx, ty in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if last[0] != y:
-                last = (y, full(y, ty))
-            if last[1] is not None and (mine := full(x, tx)) is not None and linked(mine, last[1]):
+                last = (y, full(y, ty), None)
+            if last[1] is None or (mine := full(x, tx)) is None or not may(mine, last[1]):
+                continue
+            if last[2] is None:
+                last = (*last[:2], shingles(ty))
+            if linked(shingles(tx), last[2]):
                 a.append(x)
                 b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -176,7 +200,6 @@ class _Links:
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.docs, self.classes = docs, classes
         self.texts: DataFrame | None = None
-        self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -187,19 +210,20 @@ class _Links:
 
     def fetch(self, members: DataFrame) -> None:
         """Keep the texts of all classes that share a bucket: one row's text stands for its class."""
-        ids = members.select(F.col("a").alias("set_id")).union(members.select("b")).distinct()
+        ids = members.select("x").distinct().withColumnRenamed("x", "set_id")
         ids = ids.join(self.classes.select("set_id", "first_id", "first_md5"), "set_id")
         text = self.docs.select(F.col("doc_id").alias("d"), _md5().alias("m"), F.col("text").cast("binary").alias("content"))
         self.texts = materialize(text.join(ids, text["d"].eqNullSafe(ids["first_id"]) & (text["m"] == ids["first_md5"])).select("set_id", "content"), "texts")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Add the links among ``pairs`` and bring the components up to date."""
+        """Add the links among ``pairs`` to the components."""
         t = self.texts
         with_a = pairs.select("a", "b").join(t.toDF("a", "content_a"), "a")
         with_b = with_a.join(t.toDF("b", "content_b"), "b").select("a", "b", "content_a", "content_b")
         new = materialize(with_b.mapInArrow(_verified, "a binary, b binary"), "links")
-        self.edges = new if self.edges is None else self.edges.unionByName(new)
-        self.labels = components(self.edges)
+        before = self.labels
+        self.labels = components(new if before is None else new.union(before))
+        release(new, *([before] if before is not None else []))
 
     def crossing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components; a class without links is its own."""
@@ -211,24 +235,26 @@ class _Links:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): component is the smallest node reached.
+    """(node, component): component is the smallest node reached; a table of its own.
 
     Large-star and small-star rounds until nothing moves; a node's neighbours are never
     gathered, only their minimum, and each round is a table of its own."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
+    u, v = edges.columns
+    e = materialize(edges.select(F.greatest(u, v).alias("node"), F.least(u, v).alias("component")).where("node != component").distinct(), "cc")
     before = None
     while True:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        small = materialize(small.select("p.*").where("u != v").distinct(), "cc")
-        now = small.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        both = e.union(e.select("component", "node"))
+        low = both.groupBy("node").agg(F.least(F.min("component"), F.col("node")).alias("m"))
+        large = both.where("component > node").join(low, "node").select(F.col("component").alias("node"), F.col("m").alias("component"))
+        large = materialize(large.where("node != component").distinct(), "cc")
+        low = large.groupBy("node").agg(F.min("component").alias("m"))
+        small = large.join(low, "node").select(F.explode(F.array(F.struct(F.col("node"), F.col("m").alias("component")), F.struct(F.col("component").alias("node"), F.col("m").alias("component")))).alias("p"))
+        small = materialize(small.select("p.*").where("node != component").distinct(), "cc")
+        now = small.agg(F.count("*"), F.expr("bit_xor(xxhash64(node, component))")).first()
         release(large, e)
         e, same, before = small, now == before, now
         if same:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return e
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -239,72 +265,83 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     classes = materialize(classes, "classes")
     bands = classes.select("set_id", "sketch").mapInArrow(_bands, "band bigint, set_id binary")
-    heads = bands.groupBy("band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).where("b != top").drop("top")
-    members = materialize(bands.join(heads, "band").select("band", F.col("set_id").alias("a"), "b").where("a != b"), "members")
-    star = members.select("a", "b").distinct()
+    heads = bands.groupBy("band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top"), F.count("*").alias("k")).where("b != top").drop("top")
+    members = materialize(bands.join(heads, "band").select("band", F.col("set_id").alias("x"), "b", "k"), "members")
     work = _Links(docs, classes)
-    likely = work.likely(star)
     if not members.isEmpty():
         work.fetch(members)
-        if not likely.isEmpty():
-            best = likely.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
+        star = work.likely(members.where("x != b").select(F.col("x").alias("a"), "b").distinct())
+        if not star.isEmpty():
+            best = star.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
             work.verify(best)
-            work.verify(work.crossing(likely).join(best, ["a", "b"], "left_anti"))
-        again = work.crossing(_second_star(members))
-        again = work.likely(again)
+            work.verify(work.crossing(star).join(best, ["a", "b"], "left_anti"))
+        again = work.likely(work.crossing(_second_star(members)))
         if not again.isEmpty():
             work.verify(again)
-        rest = _unjoined(members, work)
-        more = work.likely(rest) if rest is not None else None
-        if more is not None and not more.isEmpty():
-            work.verify(more)
-    first = classes.select("set_id", "first_id")
-    if work.labels is None:
-        named = first.withColumn("component_id", F.col("first_id"))
-    else:
-        at = first.join(work.labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        named = at.join(at.groupBy("component").agg(F.min("first_id").alias("component_id")), "component")
-    out = rows.join(named.select("set_id", "component_id"), "set_id", "left")
+        release(star, again)
+        _rest(members, work)
+        release(work.texts)
+    release(members)
+    named = _named(classes, work.labels)
+    out = rows.join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_md5")
+    out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_md5"), "near")
+    release(rows, classes, *([work.labels] if work.labels is not None else []))
+    return out
+
+
+def _named(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(set_id, component_id): the smallest doc_id of each class's component.
+
+    Linked classes meet their component's id over ``SALTS`` salts: one component may hold a third of all."""
+    first = classes.select("set_id", "first_id")
+    if labels is None:
+        return first.select("set_id", F.col("first_id").alias("component_id"))
+    own = labels.select("component").distinct().select(F.col("component").alias("set_id"), "component")
+    linked_to = labels.select(F.col("node").alias("set_id"), "component").union(own)
+    at = first.join(linked_to, "set_id", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    least = at.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least")).select("component", "least", salts)
+    salted = at.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["component", "salt"], "left").select("set_id", F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def _second_star(members: DataFrame) -> DataFrame:
-    """Pairs of each class with its bucket's class of most buckets: the middle of a group is in most of them."""
-    named = members.select("band", F.col("a").alias("x")).union(members.select("band", "b")).distinct()
-    degree = named.groupBy("x").agg(F.count("*").alias("k"))
-    at = named.join(degree, "x")
-    heads = at.groupBy("band").agg(F.max_by("x", F.struct("k", "x")).alias("h"))
-    return named.join(heads, "band").where("x != h").select(F.greatest("x", "h").alias("a"), F.least("x", "h").alias("b")).distinct()
+    """Pairs of each class with its bucket's most central class, the one of most company in all its buckets."""
+    degree = members.groupBy("x").agg(F.sum("k").alias("mates"))
+    at = members.select("band", "x").join(degree, "x")
+    heads = at.groupBy("band").agg(F.max_by("x", F.struct("mates", "x")).alias("h"))
+    return members.select("band", "x").join(heads, "band").where("x != h").select(F.greatest("x", "h").alias("a"), F.least("x", "h").alias("b")).distinct()
 
 
-def _unjoined(members: DataFrame, work: _Links) -> DataFrame | None:
-    """Pairs whose components differ after all star edges, if they can be linked at all.
+def _rest(members: DataFrame, work: _Links) -> None:
+    """Verify pairs whose components differ after all star edges, if they can be linked at all.
 
     All classes of buckets with several components take part.  Shingles that at most ``RARE`` of
     them have pair their classes.  Two classes without such a shingle in common share only frequent
     ones, so they are paired within a bucket only if both have enough of those."""
     labels = work.labels
-    named = members.select("band", F.col("a").alias("x")).union(members.select("band", "b")).distinct()
+    named = members.select("band", "x")
     named = named.join(labels.toDF("x", "c"), "x", "left").withColumn("c", F.coalesce("c", "x")) if labels is not None else named.withColumn("c", F.col("x"))
-    named = materialize(named, "named")
     mixed = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
     m = materialize(named.join(mixed, "band"), "mixed")
-    if m.isEmpty():
-        return None
-    sizes = work.classes.select(F.col("set_id").alias("x"), F.col("n_shingles").alias("n"))
-    own = materialize(m.select("x", "c").distinct().join(sizes, "x"), "own")
-    rows = work.texts.join(own.select(F.col("x").alias("set_id")), "set_id").mapInArrow(_shingle_rows, "x binary, shingle bigint")
-    rows = materialize(rows, "shingles")
-    times = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
-    rare = rows.join(times.where(F.col("k") <= RARE).select("shingle"), "shingle").join(own, "x")
-    frequent = rows.join(times.where(F.col("k") > RARE).select("shingle"), "shingle").groupBy("x").agg(F.count("*").alias("f"))
-    fits = "x > y and c <> c_y and 4 * least(n, n_y) >= 3 * greatest(n, n_y)"
-    pairs = rare.join(rare.toDF("y", "shingle", "c_y", "n_y"), "shingle").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    known = own.join(frequent, "x")
-    there = m.select("band", "x").join(known, "x").select("band", "x", "c", "n", "f")
-    both = there.join(there.toDF("band", "y", "c_y", "n_y", "f_y"), "band").where(f"{fits} and 7 * least(f, f_y) >= 3 * (n + n_y)")
-    return pairs.union(both.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
+    if not m.isEmpty():
+        sizes = work.classes.select(F.col("set_id").alias("x"), F.col("n_shingles").alias("n"))
+        own = materialize(m.select("x", "c").distinct().join(sizes, "x"), "own")
+        rows = materialize(work.texts.join(own.select(F.col("x").alias("set_id")), "set_id").mapInArrow(_shingle_rows, "x binary, shingle bigint"), "shingles")
+        times = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
+        rare = rows.join(times.where(F.col("k") <= RARE).select("shingle"), "shingle").join(own, "x")
+        frequent = rows.join(times.where(F.col("k") > RARE).select("shingle"), "shingle").groupBy("x").agg(F.count("*").alias("f"))
+        fits = "x > y and c <> c_y and 4 * least(n, n_y) >= 3 * greatest(n, n_y)"
+        pairs = rare.join(rare.toDF("y", "shingle", "c_y", "n_y"), "shingle").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        known = own.join(frequent, "x")
+        there = m.select("band", "x").join(known, "x").select("band", "x", "c", "n", "f")
+        both = there.join(there.toDF("band", "y", "c_y", "n_y", "f_y"), "band").where(f"{fits} and 7 * least(f, f_y) >= 3 * (n + n_y)")
+        more = work.likely(pairs.union(both.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct())
+        if not more.isEmpty():
+            work.verify(more)
+        release(own, rows, more)
+    release(m)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,8 +351,8 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
     """One document of each component, with its own columns; of repeated rows, one."""
-    names = docs.columns
-    kept = near_components(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
-    marked = docs.withColumn("__md50", _md5())
-    stay = marked.join(kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__md50"] == kept["__md5"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__md50"]).select(*names)
+    mark, one = unused(docs, "mark"), unused(docs, "id")
+    kept = near_components(docs).where("kept").select(F.col("doc_id").alias(one), F.col("text_md5").alias(mark)).distinct()
+    same = F.col("l.doc_id").eqNullSafe(F.col(f"r.{one}")) & (F.col(f"l.{mark}") == F.col(f"r.{mark}"))
+    stay = docs.withColumn(mark, _md5()).alias("l").join(kept.alias("r"), same, "left_semi")
+    return stay.dropDuplicates(["doc_id", mark]).select(*docs.columns)

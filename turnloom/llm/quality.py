@@ -57,8 +57,7 @@ class Lines:
         whole = (data & 0xC0) != 0x80  # bytes that begin a code point
         self.word_chars = sums(~SPACE[data] & whole)
         self.n_symbols = sums(SYMBOL[data])
-        prefix = block.prefix(data)
-        hashes = block.fingerprints(prefix, starts, ends)
+        hashes = block.fingerprints(data, starts, ends)
         self.n_repeat_words = self._repeats(hashes, bounds, n)
         # lines: text bounds and newlines cut the data
         cuts = np.unique(np.concatenate((block.bounds, np.flatnonzero(data == 10) + 1)))
@@ -69,7 +68,7 @@ class Lines:
         stop = stop - ((stop > begin) & (data[np.maximum(stop - 1, 0)] == 10)) if len(used) else stop
         self.doc = np.searchsorted(block.bounds, begin, "right") - 1
         self.bounds = np.searchsorted(self.doc, np.arange(n + 1))
-        keys = self._salted(block.fingerprints(prefix, begin, stop), self.doc)
+        keys = self._salted(block.fingerprints(data, begin, stop), self.doc)
         _, where, back = np.unique(keys, return_index=True, return_inverse=True)
         self.seen = where[back] != np.arange(len(keys))
         self.n_dup_lines = np.bincount(self.doc, self.seen, n).astype(np.int64)

@@ -1,46 +1,26 @@
-"""Materialised intermediates in the folder that driver and executors share."""
+"""Intermediates in the folder that driver and executors share, and bounds of what travels."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="turnloom-"))
-    return _own[0]
+from turnloom.sources.shared import release, shared_dir
+from turnloom.sources.shared import written as materialize
 
+__all__ = ["materialize", "release", "shared_dir", "small_batches", "unused"]
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once and read it back: lineage ends here, and a lost executor re-reads files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/turnloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._turnloom_path = path
-    return out
 
-
-def release(*frames: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for frames that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_turnloom_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch may hold: texts of any length travel in it."""
+    """Bound what one Arrow batch may hold: texts of any length travel in it.
+
+    The bound is the session's and stays, as frames built under it run later."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,7 +1,8 @@
 """Words and fingerprints over whole Arrow text columns, without a Python object per word.
 
-A word is a maximal run of bytes other than space and \\t..\\r.  Its fingerprint is a
-64-bit polynomial over its bytes, taken as a difference of prefix sums and mixed at the end.
+A word is a maximal run of bytes other than space and \\t..\\r.  Its fingerprint takes in eight
+bytes a step and mixes after each, so that no step is linear in the bytes; spans longer than
+``LONG`` bytes are hashed one by one.
 """
 
 from __future__ import annotations
@@ -11,13 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+LONG = 512
+#: The lowest n bytes of eight.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,32 +47,30 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(33))
 
 
-def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) <= n:
-        size = max(1 << 22, 2 * n)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate(([U64(1)], np.full(size, x, U64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
 class Block:
     """Some consecutive texts: ``data`` bytes and ``bounds`` with one more entry than texts."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         self.data, self.bounds, self.n = data, bounds, len(bounds) - 1
 
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        power, _ = _grow(len(data))
-        out = np.zeros(len(data) + 1, U64)
-        with np.errstate(over="ignore"):
-            np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=out[1:])
-        return out
-
     @staticmethod
-    def fingerprints(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, inverse = _grow(len(prefix))
+    def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit fingerprint of each span of ``data``."""
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from each position on
+        size = ends - starts
         with np.errstate(over="ignore"):
-            return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(U64))
+            out = mix(size.astype(U64) + U64(_BASE))
+            live = np.flatnonzero((size > 0) & (size <= LONG))
+            step = 0
+            while len(live):
+                left = size[live] - step
+                part = eight[starts[live] + step] & _MASKS[np.minimum(left, 8)]
+                out[live] = mix(out[live] * U64(5) ^ part)
+                live, step = live[left > 8], step + 8
+        for i in np.flatnonzero(size > LONG):
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and how many words lie before each text's bound."""
@@ -88,7 +90,7 @@ class Block:
     def word_hashes(self, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """A fingerprint for each word (A-Z lower-cased on request) and the texts' word bounds."""
         starts, ends, bounds = self.words()
-        return self.fingerprints(self.prefix(LOWER[self.data] if lower else self.data), starts, ends), bounds
+        return self.fingerprints(LOWER[self.data] if lower else self.data, starts, ends), bounds
 
 
 def blocks(column: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, int, Block]]:

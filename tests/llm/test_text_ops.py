@@ -183,6 +183,24 @@ def test_lines(spark):
     assert lines.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_fields_stay_fields_at_every_size(spark):
+    """One template with two word-valued fields, beside lines of its leaf that are not its own."""
+    name = lambda k: "n" + "".join("abcdefghij"[int(c)] for c in str(k))
+    for n, values in ((20, 2000), (600, 30), (600, 2000)):
+        rows = [(k, f"Your order placed by {name(k * 7919 % values)} was sent to {name(k * 104729 % values)} this week", "en", "s", 1) for k in range(n)]
+        rows += [(n + k, "Your order placed " + " ".join(name(1000 * k + 10000 * j) for j in range(9)), "en", "s", 1) for k in range(5)]
+        out = {r.doc_id: r.n_dropped for r in lines.dedup_lines(documents(spark, rows)).collect()}
+        assert sum(out[k] for k in range(n)) >= 0.9 * (n - min(n, 30)) and not any(out[n + k] for k in range(5))
+
+
+def test_long_text_of_lines(spark):
+    body = "\n".join(f"line with number {k} of a long report about nothing" for k in range(3000))
+    plain = "\n".join("alpha beta gamma " + " ".join(sorted({chr(97 + k % 26) * (j % 9 + 1 + k // 26 % 5) for j in range(8)})) for k in range(300))
+    rows = [(1, body, "en", "s", 1), (2, body + "\ntail words that are only here", "en", "s", 1), (3, plain, "en", "s", 1)]
+    out = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.dedup_lines(documents(spark, rows)).collect()}
+    assert out[1] == (3000, 0, body) and out[2] == (3001, 3000, "tail words that are only here") and out[3] == (300, 0, plain)
+
+
 # licenses
 
 

@@ -34,13 +34,32 @@ def test_layouts_agree(spark):
         chat.canonical_turns(spark.createDataFrame([(1,)], "what int"))
 
 
+def test_extra_columns_take_no_part(spark):
+    """Rows of turns beside a column of any name that some layout declares."""
+    plain = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id bigint, turn bigint, role string, text string")
+    want = [(r.conv_id, r.turn, r.role, r.text) for r in chat.canonical_turns(plain).orderBy("turn").collect()]
+    for name in ("prompt", "answer", "input", "question", "output", "instruction", "response", "completion"):
+        df = plain.selectExpr("*", f"'extra' as {name}", "array(named_struct('odd', 1)) as messages")
+        assert [tuple(r) for r in chat.canonical_turns(df).orderBy("turn").collect()] == want
+    both = spark.createDataFrame([(1, "hi", "yo", "meta")], "conv_id bigint, prompt string, response string, answer string")
+    assert chat.layout_of(both.schema) == "prompt"
+
+
+def test_long_and_repeated_turns(spark):
+    text = "<a>\\\\ \n" * 20000
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text), (1, 1, "assistant", text), (2, 0, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(chat.canonical_turns(df))).collect()}
+    assert [t.text for t in got[1].turns] == [text] * 3 and list(got[1].learned) == [text] * 2 and list(got[2].learned) == ["x"]
+
+
 def test_json_rows_of_mixed_layouts(spark):
-    bodies = [{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]}, {"prompt": "hi", "completion": "yo", "meta": 1}, {"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}, {"odd": 1}]
+    bodies = [{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]}, {"prompt": "hi", "completion": "yo", "meta": 1}, {"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}, {"odd": 1}, {"messages": [{"role": "user"}, {"role": "assistant", "content": "yo", "tool": 1}], "prompt": "no"}, {"turn": 4, "role": "user", "text": "hi", "answer": "no"}]
     df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "id bigint, body string")
     got = {}
     for r in chat.canonical_json_turns(df, "id", "body").orderBy("turn").collect():
         got.setdefault(r.conv_id, []).append((r.role, r.text))
-    assert got == {i: [("user", "hi"), ("assistant", "yo")] for i in range(3)}
+    assert got == {**{i: [("user", "hi"), ("assistant", "yo")] for i in range(3)}, 4: [("user", None), ("assistant", "yo")], 5: [("user", "hi")]}
 
 
 def test_probe(spark, tmp_path):

@@ -1,12 +1,14 @@
 """Chat formatting: schema fingerprints choose a declarative mapping to canonical turns.
 
-Layouts are declared once as field paths.  A frame's (or a JSON row's) nested field paths,
-cut down to the declared ones, are hashed; the hash names the mapping.  Extra columns of any
-name do not take part.  Everything is DataFrame expressions.
+Layouts are declared once as field paths with a mapping.  Of a frame (or a JSON row) the layout of
+most paths whose paths are all there is chosen, ties by the order of declaration; the hash of those
+paths is the fingerprint that names the mapping.  Paths that the layout does not declare take no part,
+whatever their name.  Everything is DataFrame expressions.
 
 Edge cases: a null text or role is empty; a null conversation id is a conversation of its own;
 equal turn numbers are ordered by role, then text; repeated rows are repeated turns; an empty
-table gives no rows; an unknown layout raises ``ValueError`` (frames) or gives null turns (JSON).
+table gives no rows; an unknown layout raises ``ValueError`` (frames) or gives no turns (JSON).  The
+paths of a JSON array are those of all its items; what an item does not have is null there.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from turnloom.llm.words import let
 
 OPEN, CLOSE = "<turn ", "\n</turn>\n"
 
-#: layout -> (field paths, how a row becomes an array of (role, text)); "rows" holds one turn a row.
-LAYOUTS: dict[str, tuple[tuple[str, ...], object]] = {
-    "rows": (("role", "text", "turn"), None),
+#: layout -> (field paths, how a row becomes turns): items with their role and text, parts of a row by
+#: role, or one turn a row with its number, role and text.
+LAYOUTS: dict[str, tuple[tuple[str, ...], tuple]] = {
+    "rows": (("role", "text", "turn"), ("turn", "role", "text")),
     "messages": (("messages[].content", "messages[].role"), ("messages", "role", "content")),
     "shares": (("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
     "instruction": (("input", "instruction", "output"), (("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -34,14 +37,15 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], object]] = {
     "question": (("answer", "question"), (("user", ("question",)), ("assistant", ("answer",)))),
 }
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-_KNOWN = {p for paths, _ in LAYOUTS.values() for p in paths}
 
 
 def fingerprint(paths) -> str:
-    """Hash of the declared field paths among ``paths``."""
-    return hashlib.sha256(",".join(sorted(set(paths) & _KNOWN)).encode()).hexdigest()
+    """Hash of a layout's field paths."""
+    return hashlib.sha256(",".join(sorted(set(paths))).encode()).hexdigest()
 
 
+#: Layouts in the order in which they are tried: most paths first.
+_TRIED = sorted(LAYOUTS.items(), key=lambda x: -len(x[1][0]))
 _BY_PRINT = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
 
 
@@ -54,8 +58,13 @@ def field_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def chosen_paths(paths) -> tuple[str, ...]:
+    """The declared paths of the layout that fits best; none without a layout."""
+    return next((p for _, (p, _) in _TRIED if set(p) <= set(paths)), ())
+
+
 def layout_of(schema: T.StructType) -> str:
-    name = _BY_PRINT.get(fingerprint(field_paths(schema)))
+    name = _BY_PRINT.get(fingerprint(chosen_paths(field_paths(schema))))
     if name is None:
         raise ValueError(f"no layout for the field paths {field_paths(schema)}")
     return name
@@ -68,9 +77,13 @@ def _role(c: Column) -> Column:
     return out
 
 
+def by_items(mapping) -> bool:
+    return isinstance(mapping[0], str)
+
+
 def _turn_array(mapping, field) -> Column:
     """``field(name)`` gives the column of a top-level field."""
-    if isinstance(mapping[0], str):
+    if by_items(mapping):
         items, role, text = mapping
         return F.transform(field(items), lambda x: F.struct(_role(x[role]).alias("role"), x[text].alias("text")))
     part = lambda names: F.concat_ws("\n", *[F.when(field(n) != "", field(n)) for n in names])
@@ -87,37 +100,46 @@ def _prefixed(prefix: str):
 
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) from a frame in any declared layout."""
-    name = layout_of(df.schema)
-    if name == "rows":
-        return df.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return _rows(df, df[conv_id], _turn_array(LAYOUTS[name][1], lambda c: df[c]))
+    paths, mapping = LAYOUTS[layout_of(df.schema)]
+    if by_items(mapping) and set(mapping) == set(paths):  # one turn a row
+        turn, role, text = mapping
+        return df.select(df[conv_id].alias("conv_id"), df[turn].cast("long").alias("turn"), df[role].alias("role"), df[text].alias("text"))
+    return _rows(df, df[conv_id], _turn_array(mapping, lambda c: df[c]))
 
 
 def canonical_json_turns(df: DataFrame, conv_id: str, body: str) -> DataFrame:
     """The same from JSON strings whose layout differs from row to row: each row's own
-    field paths are hashed and the mapping is chosen by that hash."""
+    field paths choose its layout, and the mapping is taken by their hash.  An item's paths are read
+    from all items of its array."""
     j = F.col(body)
-    nested = [k for paths, _ in LAYOUTS.values() for p in paths if "[]" in p for k in [p.split("[]")[0]]]
+    names = sorted({p.split("[]")[0] for paths, _ in LAYOUTS.values() for p in paths if "[]" in p})
     none = F.array().cast("array<string>")
     paths = F.coalesce(F.json_object_keys(j), none)
-    for k in sorted(set(nested)):
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{k}[0]")), none)
-        paths = F.concat(paths, F.transform(inner, _prefixed(f"{k}[].")))
-    known = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in sorted(_KNOWN)])))
-    printed = F.sha2(F.array_join(known, ","), 256)
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for code, name in _BY_PRINT.items():
-        mapping = LAYOUTS[name][1]
-        if mapping is None:
-            continue
-        if isinstance(mapping[0], str):
+    for k in names:
+        items = F.coalesce(F.from_json(F.get_json_object(j, f"$.{k}"), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
+        keys = F.flatten(F.transform(items, lambda x: F.coalesce(F.map_keys(x), none)))
+        paths = F.concat(paths, F.array_distinct(F.transform(keys, _prefixed(f"{k}[]."))))
+    kind = "array<struct<role:string,text:string>>"
+    code, turns = F.lit(None).cast("string"), F.lit(None).cast(kind)
+    for name, (declared, _) in reversed(_TRIED):
+        code = F.when(F.forall(F.array(*map(F.lit, declared)), lambda p: F.array_contains(F.col("_paths"), p)), fingerprint(declared)).otherwise(code)
+    for print_, name in _BY_PRINT.items():
+        declared, mapping = LAYOUTS[name]
+        if by_items(mapping) and set(mapping) == set(declared):
+            turn, role, text = (F.get_json_object(j, f"$.{c}") for c in mapping)
+            value = F.array(F.struct(role.alias("role"), text.alias("text")))
+        elif by_items(mapping):
             items, role, text = mapping
             parsed = F.from_json(F.get_json_object(j, f"$.{items}"), f"array<struct<`{role}`:string,`{text}`:string>>")
             value = _turn_array(mapping, lambda c, parsed=parsed: parsed)
         else:
             value = _turn_array(mapping, lambda c: F.get_json_object(j, f"$.{c}"))
-        turns = F.when(printed == code, value.cast("array<struct<role:string,text:string>>")).otherwise(turns)
-    return _rows(df, F.col(conv_id), turns)
+        turns = F.when(F.col("_code") == print_, value.cast(kind)).otherwise(turns)
+    # one turn a row keeps its own number
+    own = F.when(F.col("_code") == fingerprint(LAYOUTS["rows"][0]), F.get_json_object(j, "$.turn").cast("long"))
+    coded = df.select(F.col(conv_id).alias("_id"), j.alias(body), paths.alias("_paths")).withColumn("_code", code)
+    out = coded.select("_id", own.alias("_own"), F.posexplode(turns).alias("_at", "_t"))
+    return out.select(F.col("_id").alias("conv_id"), F.coalesce("_own", F.col("_at").cast("long")).alias("turn"), F.col("_t.role").alias("role"), F.col("_t.text").alias("text"))
 
 
 def escape(text: Column) -> Column:

@@ -14,7 +14,8 @@ fingerprints.  First each class is verified against its likeliest partner, then
 still lie in different components, then those of a second star around the bucket's most central
 class, the one with the most company over all its buckets: the middle of a group of near copies.
 Last, so that no link is lost, come pairs that no star edge joined: those with a rare shingle in
-common, and those of one bucket that have enough frequent shingles to be linked by them alone.
+common, and those of one bucket whose frequent shingles may suffice for a link, by a bound that is
+never too low.
 Components come from alternating large-star and small-star rounds over tables, each time from the
 old labels and the new links.  A table is deleted after its last reader; the result is a table of
 its own that stays until the shared folder is cleaned.
@@ -41,7 +42,7 @@ from turnloom.llm.words import LOWER, U64, WORD, Block, blocks, mix, text_block,
 
 SHINGLE, THRESHOLD = 5, 0.75
 REGISTERS, BAND, MANTISSA, MARGIN = 128, 4, 10, 5.0
-RARE, SALTS = 4, 16
+RARE, BLOCKS, SALTS = 4, 64, 16
 _BITS = REGISTERS.bit_length() - 1
 _WORDS = re.compile(WORD.encode())
 _rng = np.random.default_rng(7)
@@ -317,13 +318,16 @@ def _second_star(members: DataFrame) -> DataFrame:
 def _rest(members: DataFrame, work: _Links) -> None:
     """Verify pairs whose components differ after all star edges, if they can be linked at all.
 
-    All classes of buckets with several components take part.  Shingles that at most ``RARE`` of
-    them have pair their classes.  Two classes without such a shingle in common share only frequent
-    ones, so they are paired within a bucket only if both have enough of those."""
+    Buckets with several components take part.  Shingles that at most ``RARE`` of their classes have
+    pair their classes.  Two classes without such a shingle in common share only frequent ones; these
+    are counted in ``BLOCKS`` blocks by hash, and the sum over blocks of the smaller counts bounds what
+    two classes share.  Classes outside their bucket's largest component meet the bucket's others, and
+    a pair is made only if its bound reaches a link."""
     labels = work.labels
     named = members.select("band", "x")
     named = named.join(labels.toDF("x", "c"), "x", "left").withColumn("c", F.coalesce("c", "x")) if labels is not None else named.withColumn("c", F.col("x"))
-    mixed = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    per = named.groupBy("band", "c").agg(F.count("*").alias("k"))
+    mixed = per.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", F.struct("k", "c")).alias("main")).where("low <> high").select("band", "main")
     m = materialize(named.join(mixed, "band"), "mixed")
     if not m.isEmpty():
         sizes = work.classes.select(F.col("set_id").alias("x"), F.col("n_shingles").alias("n"))
@@ -331,13 +335,18 @@ def _rest(members: DataFrame, work: _Links) -> None:
         rows = materialize(work.texts.join(own.select(F.col("x").alias("set_id")), "set_id").mapInArrow(_shingle_rows, "x binary, shingle bigint"), "shingles")
         times = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
         rare = rows.join(times.where(F.col("k") <= RARE).select("shingle"), "shingle").join(own, "x")
-        frequent = rows.join(times.where(F.col("k") > RARE).select("shingle"), "shingle").groupBy("x").agg(F.count("*").alias("f"))
-        fits = "x > y and c <> c_y and 4 * least(n, n_y) >= 3 * greatest(n, n_y)"
-        pairs = rare.join(rare.toDF("y", "shingle", "c_y", "n_y"), "shingle").where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        known = own.join(frequent, "x")
-        there = m.select("band", "x").join(known, "x").select("band", "x", "c", "n", "f")
-        both = there.join(there.toDF("band", "y", "c_y", "n_y", "f_y"), "band").where(f"{fits} and 7 * least(f, f_y) >= 3 * (n + n_y)")
-        more = work.likely(pairs.union(both.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct())
+        fits = "c <> c_y and 4 * least(n, n_y) >= 3 * greatest(n, n_y)"
+        pairs = rare.join(rare.toDF("y", "shingle", "c_y", "n_y"), "shingle").where(f"x > y and {fits}").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        block = rows.join(times.where(F.col("k") > RARE).select("shingle"), "shingle").groupBy("x", F.pmod("shingle", F.lit(BLOCKS)).alias("at")).agg(F.count("*").cast("int").alias("k"))
+        block = block.groupBy("x").agg(F.sum("k").alias("f"), F.map_from_entries(F.collect_list(F.struct("at", "k"))).alias("at"))
+        counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(F.col("at"), i), F.lit(0)))
+        known = own.join(block, "x").where("4 * f >= 3 * n").select("x", "c", "n", "f", counts.alias("counts"))
+        there = m.select("band", "x", "main").join(known, "x")
+        outside = there.where("c <> main").select("band", "x", "c", "n", "f", "counts")
+        bound = "aggregate(zip_with(counts, counts_y, (p, q) -> least(p, q)), 0L, (s, p) -> s + p)"
+        others = there.select("band", *[F.col(k).alias(v) for k, v in (("x", "y"), ("c", "c_y"), ("n", "n_y"), ("f", "f_y"), ("counts", "counts_y"), ("main", "main_y"))])
+        both = outside.join(others, "band").where(f"{fits} and (c_y = main_y or x > y) and 7 * least(f, f_y) >= 3 * (n + n_y) and 7 * {bound} >= 3 * (n + n_y)")
+        more = work.likely(pairs.union(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct())
         if not more.isEmpty():
             work.verify(more)
         release(own, rows, more)

@@ -131,6 +131,72 @@ def test_crf_learns(spark):
     assert all(share[r[0]] > 0.9 for r in good) and all(share[r[0]] < 0.1 for r in bad)
 
 
+def plain_features(t):
+    """Feature indices of each line with a word, by plain string work."""
+    cut = lambda bins, x: sum(x >= b for b in bins)
+    out, seen = [], set()
+    for line in (t or "").split("\n"):
+        w = words(line)
+        if not w:
+            continue
+        raw = line.encode()
+        letters = sum(c.isascii() and c.isalpha() for c in line)
+        common = max(Counter(w).values())
+        shares = [
+            sum(c in "#*$%&|<>" for c in line) / max(len(raw), 1), sum("A" <= c <= "Z" for c in line) / max(letters, 1), sum(x[-1] in "#*$%&|<>!" for x in w) / len(w),
+            sum(x == "|" for x in w) / len(w), common / len(w) if len(w) > 5 else 0,
+        ]
+        width = len(quality.BINS) + 1
+        at = [cut(quality.BINS, x) + k * width for k, x in enumerate(shares)]
+        at += [cut(quality.LENGTHS, len(w)) + 5 * width, (line in seen) + 5 * width + len(quality.LENGTHS) + 1, quality.FEATURES - 1]
+        seen.add(line)
+        out.append((at, len(w)))
+    return out
+
+
+def plain_verdict(t, crf):
+    """The verdict by counts, then by the best of all label paths."""
+    c, items = counts(t), plain_features(t)
+    if c[0] < 20 or 100 * c[4] > 30 * c[0]:
+        return False
+    best = [(0.0, ())]
+    for at, _ in items:  # every path, cut down to the best one to each label
+        s = crf.state[at].sum(0)
+        best = [max(((v + s[y] + (crf.move[p[-1], y] if p else 0), (*p, y)) for v, p in best), key=lambda x: x[0]) for y in (0, 1)]
+    path = max(best, key=lambda x: x[0])[1]
+    return sum(n for (_, n), y in zip(items, path, strict=True) if y == 0) >= 0.5 * c[0]
+
+
+JUNK = "BUY!! NOW!! ### $$$ %%% CHEAP!! ***"
+GOOD = "plain words follow here and some more of them to read"
+
+
+def mixed_corpus():
+    good = [(k, "\n".join([f"{GOOD} {k}"] * (1 + k % 3)) + f"\nand {k} the last of it", "en", "s", 1) for k in range(30)]
+    bad = [(100 + k, "\n".join([f"{GOOD} {k}"] * (k % 2) + [f"{JUNK} {k}{j}" for j in range(2 + k % 4)]), "en", "s", 1) for k in range(30)]
+    labels = [(r[0], 1, 0) for r in good] + [(r[0], 0, 0) for r in bad]
+    return good, bad, labels
+
+
+def test_verdicts_by_brute_force(spark):
+    good, bad, labels = mixed_corpus()
+    sandwich = "\n".join([f"{JUNK} a{j}" for j in range(4)] + [f"{GOOD} m{j}" for j in range(6)] + [f"{JUNK} z{j}" for j in range(4)])
+    rows = awkward() + good + bad + [(300, sandwich, "en", "s", 1), (301, "\n".join(f"{JUNK if k % 3 else GOOD} {k}" for k in range(4000)), "en", "s", 1), (300, sandwich, "en", "s", 1)]
+    docs = documents(spark, rows)
+    crf = quality.train(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = Counter((r.doc_id, r.kept) for r in quality.judge(docs, crf).collect())
+    assert got == Counter((r[0], plain_verdict(r[1], crf)) for r in rows)
+    lines_of = quality.Lines(text_block(sandwich.encode()))
+    assert crf.viterbi(lines_of.features(), lines_of.bounds).tolist() == [1] * 4 + [0] * 6 + [1] * 4
+
+
+def test_quality_empty_tables(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    docs = documents(spark, [])
+    assert quality.judge(docs, quality.train(docs, labels)).count() == 0
+    assert quality.quality_stage(docs, labels).count() == 0 and quality.quality_stage(docs, labels).columns == docs.columns
+
+
 # scores
 
 

@@ -8,7 +8,11 @@ there before); a CRF with two labels, content and boilerplate, is decoded by Vit
 is kept if content lines hold at least ``SHARE`` of its words.
 
 The CRF is fitted by gradient ascent on at most ``MOST_LABELS`` labelled rows, those of smallest
-md5 of their id, whose lines carry their document's quality.  That bound is the one sample here.
+md5 of their id.  That bound is the one sample here.  The rows' labels are of whole documents, so the
+lines' labels are found in rounds: first by a line's own features, told apart over all lines by their
+documents' quality, then by the decoded chain; after each round the lines of least margin change
+sides until every document's content share agrees with its quality.  A junk document may thus have
+content lines and a good one boilerplate, and the chain sees labels change in both directions.
 
 Edge cases: null text has no words and fails; a text with no labelled line cannot pass the counts;
 repeated rows repeat their result; without labels of both kinds the CRF calls every line content;
@@ -29,7 +33,7 @@ from turnloom.llm.store import small_batches
 from turnloom.llm.words import SPACE, U64, Block, blocks, mix, windows
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
-SHARE, MOST_LABELS = 0.5, 2000
+SHARE, MOST_LABELS, ROUNDS = 0.5, 2000, 3
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 UPPER = np.zeros(256, bool)
@@ -156,6 +160,20 @@ class LineCrf:
             out[at - 1] = np.where(ends[at - 1], out[at - 1], back[at, out[at]])
         return out
 
+    def _sums(self, score: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the forward and backward sums of all lines."""
+        alpha, beta = score.copy(), np.zeros_like(score)
+        for at, _ in steps[1:]:
+            alpha[at] = score[at] + np.logaddexp.reduce(alpha[at - 1][:, :, None] + self.move, axis=1)
+        for at, _ in reversed(steps[1:]):
+            beta[at - 1] = np.logaddexp.reduce(self.move[None] + (score[at] + beta[at])[:, None, :], axis=2)
+        return alpha, beta
+
+    def margins(self, feats: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log-odds of boilerplate of every line."""
+        alpha, beta = self._sums(self.state[feats].sum(1), list(self._steps(bounds)))
+        return (alpha + beta) @ np.array([-1.0, 1.0])
+
     def fit(self, feats: np.ndarray, bounds: np.ndarray, gold: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> LineCrf:
         """Full-batch ascent (Adam) on the mean log-likelihood, by forward and backward sums."""
         steps = list(self._steps(bounds))
@@ -166,11 +184,7 @@ class LineCrf:
         ends[bounds[1:][np.diff(bounds) > 0] - 1] = True
         for r in range(1, rounds + 1):
             score = self.state[feats].sum(1)
-            alpha, beta = score.copy(), np.zeros_like(score)
-            for at, _ in steps[1:]:
-                alpha[at] = score[at] + np.logaddexp.reduce(alpha[at - 1][:, :, None] + self.move, axis=1)
-            for at, _ in reversed(steps[1:]):
-                beta[at - 1] = np.logaddexp.reduce(self.move[None] + (score[at] + beta[at])[:, None, :], axis=2)
+            alpha, beta = self._sums(score, steps)
             node = alpha + beta
             node = np.exp(node - np.logaddexp.reduce(node, axis=1)[:, None])
             grads = [np.zeros_like(p) for p in params]
@@ -191,6 +205,34 @@ class LineCrf:
         return self
 
 
+def agreed(label: np.ndarray, margin: np.ndarray, words: np.ndarray, bounds: np.ndarray, junk: np.ndarray) -> np.ndarray:
+    """Line labels changed where they must: content has ``SHARE`` of a good document's words and less of a junk one's.
+
+    The lines closest to the other side change first, earlier ones of equal margin before later ones."""
+    out = label.copy()
+    for k, bad in enumerate(junk):
+        at = np.arange(bounds[k], bounds[k + 1])
+        total = words[at].sum()
+        for i in at[np.argsort(np.abs(margin[at]), kind="stable")]:
+            content = words[at][out[at] == 0].sum()
+            if (content < SHARE * total) == bad:
+                break
+            if out[i] == (0 if bad else 1):
+                out[i] = 1 if bad else 0
+    return out
+
+
+def learn(feats: np.ndarray, words: np.ndarray, bounds: np.ndarray, junk: np.ndarray, rounds: int = ROUNDS) -> LineCrf:
+    """The CRF of documents that are junk or not, with line labels found in rounds."""
+    of_doc = np.repeat(junk.astype(int), np.diff(bounds))
+    alone = np.arange(len(feats) + 1)
+    crf, at = LineCrf().fit(feats, alone, of_doc), alone
+    for _ in range(rounds):
+        gold = agreed(crf.viterbi(feats, at), crf.margins(feats, at), words, bounds, junk)
+        crf, at = LineCrf().fit(feats, bounds, gold), bounds
+    return crf
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> LineCrf:
     """Fit on at most ``most`` labelled documents; the rows that reach the driver are bounded by it."""
     small_batches(docs.sparkSession)
@@ -202,17 +244,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> LineCr
         for b in batches:
             for i, j, block in blocks(b.column(1)):
                 lines = Lines(block)
-                feats, rows = lines.features().astype(np.int16), [(lines.bounds[k], lines.bounds[k + 1]) for k in range(block.n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([feats[x:y].tobytes() for x, y in rows], pa.binary())], ["quality", "feats"])
-
-    got = sorted((bytes(r.feats), r.quality) for r in picked.mapInArrow(items, "quality int, feats binary").collect() if r.feats)
-    crf = LineCrf()
-    if len({q for _, q in got}) < 2:
-        return crf
-    groups = 8
-    seqs = [np.frombuffer(f, np.int16).reshape(-1, groups).astype(np.int64) for f, _ in got]
-    bounds = np.concatenate(([0], np.cumsum([len(s) for s in seqs])))
-    return crf.fit(np.concatenate(seqs), bounds, np.repeat([int(q == 0) for _, q in got], [len(s) for s in seqs]))
+                rows = np.concatenate((lines.features(), lines.words[:, None]), 1).astype(np.int32)
+                parts = [rows[lines.bounds[k] : lines.bounds[k + 1]].tobytes() for k in range(block.n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(parts, pa.binary())], ["quality", "items"])
+
+    got = sorted((bytes(r["items"]), r.quality) for r in picked.mapInArrow(items, "quality int, items binary").collect() if r["items"])
+    if len({q == 0 for _, q in got}) < 2:
+        return LineCrf()
+    seqs = [np.frombuffer(f, np.int32).reshape(-1, SHARES + 4).astype(np.int64) for f, _ in got]
+    rows = np.concatenate(seqs)
+    return learn(rows[:, :-1], rows[:, -1], np.concatenate(([0], np.cumsum([len(s) for s in seqs]))), np.array([q == 0 for _, q in got]))
 
 
 def judge(docs: DataFrame, crf: LineCrf, carry: Column | None = None) -> DataFrame:

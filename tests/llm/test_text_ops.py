@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -24,12 +25,16 @@ TINY = bpe.Codec(PATH, public_tokenizers.PATTERN, chunk=16, overlap=5, threads=1
 def test_chunks_encode_like_the_library(text):
     ids = FULL.encoding.encode_ordinary(text)
     assert TINY.encode(text) == ids and TINY.decode(ids) == text.encode()
+    assert FULL.encode(text * 40) == FULL.encoding.encode_ordinary(text * 40)
 
 
 def test_bpe_rows(spark):
-    out = bpe.token_digests(documents(spark), PATH)
-    want = Counter((r[0], len(FULL.encoding.encode_ordinary(r[1] or ""))) for r in awkward())
-    assert multiset(out, "doc_id", "n_tokens") == want
+    rows = awkward() + [(60, " a'll \n\n 12 " * 9000, "en", "s", 1), (60, " a'll \n\n 12 " * 9000, "en", "s", 1)]
+    out = bpe.token_digests(documents(spark, rows), PATH)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = lambda r: FULL.encoding.encode_ordinary(r[1] or "")
+    want = Counter((r[0], len(ids(r)), sha(" ".join(map(str, ids(r))).encode()), sha((r[1] or "").encode())) for r in rows)
+    assert multiset(out, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
     back = bpe.decode_ids(bpe.encode_ids(documents(spark), PATH), PATH)
     assert Counter((r.doc_id, bytes(r.content)) for r in back.collect()) == Counter((r[0], (r[1] or "").encode()) for r in awkward())
     assert bpe.token_digests(documents(spark, []), PATH).count() == 0

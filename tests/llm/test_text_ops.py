@@ -217,11 +217,57 @@ def test_scores(spark):
     assert all(r.score < 0 for r in out)
 
 
-def test_class_model_sums_to_one():
-    pairs = np.arange(ngram.K * ngram.K).reshape(ngram.K, ngram.K).astype(float)
-    to = pairs[:, : ngram.CLASSES + 1]
-    p = (to + 0.1) / (to.sum(1, keepdims=True) + 0.1 * (ngram.CLASSES + 1))
-    assert np.allclose(p.sum(1), 1)
+def phrases(n, seed):
+    """Texts of a small grammar: words of a few kinds follow one another, and rare words are of a kind too."""
+    rng = np.random.default_rng(seed)
+    kinds = [[f"{k}{i}" for i in range(12)] for k in "anvd"]
+    word = lambda k: kinds[k][int(rng.integers(12))] if rng.random() < 0.9 else f"{'anvd'[k]}rare{int(rng.integers(400))}"
+    return [(k, " ".join(word(i % 4) for i in range(4 * int(rng.integers(2, 20)))), "en", "s", 1) for k in range(n)]
+
+
+def test_scores_by_brute_force(spark):
+    rows = phrases(300, 4) + awkward()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    docs, most = documents(spark, rows), 40
+    every = ngram._documents(docs)
+    m = ngram.Model(every.where(~F.col("held_out")).select("text"), most)
+    toks = [[w.encode().lower() for w in words(r[1])] for r in rows]
+    key = lambda w: int(text_block(w).word_hashes()[0][0])
+    place = {int(h): int(c) for h, c in zip(m.words, m.classes, strict=False)}
+    others = {r.word % (1 << 64): r["class"] for r in m.known.collect()}
+    train = [t for r, t in zip(rows, toks, strict=True) if not held(r[0])]
+    n = Counter(w for t in train for w in t)
+    assert 0 < len(place) <= most and len(place) + len(others) == len(n)
+    own = {w: place.get(key(w), others.get(key(w))) for w in n}
+    history = lambda w: ngram.BEGIN if w is None else place.get(key(w), ngram.OTHER)
+    moves, size, kinds, once = Counter(), Counter(), Counter(own.values()), Counter(own[w] for w in n if n[w] == 1 and key(w) not in place)
+    for t in train:
+        for a, b in zip([None, *t], [*t, None], strict=True):
+            moves[history(a), ngram.END if b is None else own[b]] += 1
+    for w in n:
+        size[own[w]] += n[w]
+    unseen = max(range(ngram.CLASSES), key=lambda c: (once[c], -c))
+    kinds[unseen] += 1
+    to = [*range(ngram.CLASSES), ngram.END]
+    out_of = {h: sum(moves[h, c] for c in to) for h in range(ngram.K)}
+    step = lambda h, c: log10((moves[h, c] + 0.1) / (out_of[h] + 0.1 * len(to)))
+    emit = lambda w: log10((n[w] + 0.1) / (size[own.get(w, unseen)] + 0.1 * kinds[own.get(w, unseen)]))
+    score = lambda t: sum(step(history(a), own.get(b, unseen)) + emit(b) for a, b in zip([None, *t], t, strict=False)) + step(history(t[-1] if t else None), ngram.END)
+    out = ngram.score_documents(docs, most).withColumn("s", F.round("score", 5)).collect()
+    assert Counter((r.doc_id, r.s) for r in out) == Counter((r[0], round(score(t), 5)) for r, t in zip(rows, toks, strict=True))
+    for h in range(ngram.K):  # words of all classes, the unseen one and the end are the whole of what may follow
+        if h != ngram.END:
+            mass = 10 ** step(h, ngram.END) + sum(10 ** (step(h, own[w]) + emit(w)) for w in n) + 10 ** (step(h, unseen) + log10(0.1 / (size[unseen] + 0.1 * kinds[unseen])))
+            empty = sum(10 ** step(h, c) for c in range(ngram.CLASSES) if not kinds[c])
+            assert abs(mass + empty - 1) < 1e-9
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    docs = documents(spark, phrases(600, 5))
+    history = ngram.Model(docs.select("text")).history
+    assert all(b > a for a, b in zip(history, history[1:], strict=False)) and len(history) > 2
+    out = [r for r in ngram.score_documents(docs).collect() if r.held_out]
+    assert len(out) > 30 and sum(r.score for r in out) > sum(r.base_score for r in out) + 20
 
 
 def test_exchange_parts_alternating_words():

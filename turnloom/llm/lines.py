@@ -13,8 +13,7 @@ A template seen in two documents or more recurs, and its lines are dropped from
 the one with the smallest doc_id.  Lines of ``DEPTH`` words or fewer have no template beyond their
 path in the tree and are kept.
 
-Texts are masked as a whole: once for the keys of all lines, kept as hashes with their positions,
-and once more for the words of leaves with several documents and several lines.  Lines are dropped
+Lines are masked once for their keys, kept as hashes with their positions, and once more for the words of leaves with several documents and several lines.  Lines are dropped
 by position.  A line that a third of all documents share meets its decision over ``SALTS`` salts.
 
 Edge cases: null text has one empty line; ids that are null are no document of their own, and
@@ -33,23 +32,23 @@ from turnloom.llm.words import let
 DEPTH, SIMILAR, SALTS = 3, 6, 8
 
 
-def masked(text: Column) -> Column:
-    """Lines of words joined by one space, those with a digit as ``<*>``; each word is passed over once.
+def masked(rows: DataFrame, line: str) -> DataFrame:
+    """Rows with ``masked``: the line's words joined by one space, those with a digit as ``<*>``.
 
-    Texts without runs of white space, or without digits, skip the pattern that looks for them."""
+    Each word is passed over once.  Lines without runs of white space, or without digits, skip the
+    pattern that looks for them.  The explode keeps filters on the outcome from working it out again."""
     odd = F.lit(False)
     for c in ("  ", "\t", "\x0b", "\f", "\r"):
-        odd = odd | F.contains(text, F.lit(c))
-    plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")).otherwise(text)
-    ends = let(plain, lambda x: F.trim(F.replace(F.replace(x, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))))
-    return let(ends, lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+", "<*>")).otherwise(x))
+        odd = odd | F.contains(line, F.lit(c))
+    plain = rows.withColumn(line, F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(F.col(line))))
+    return plain.withColumn("masked", F.explode(F.array(F.when(F.col(line).rlike("[0-9]"), F.regexp_replace(line, r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+", "<*>")).otherwise(F.col(line)))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, and each line of more than ``DEPTH`` words: at, masked, leaf, line."""
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(masked(F.col("text")), "\n", -1)).alias("at", "masked"))
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = masked(text.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("at", "plain")), "plain")
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("n", n).where(F.col("n") > DEPTH).select(
         "doc_id", "text_hash", "at", "masked", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("line")
     )
@@ -95,9 +94,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     both = text.join(gone, text["doc_id"].eqNullSafe(gone["d"]) & (text["text_hash"] == gone["h"]), "left")
     stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i))
-    left = F.when(F.col("gone").isNull(), F.struct(F.size("lines").alias("n"), F.col("text"))).otherwise(let(stay(F.col("lines")), lambda k: F.struct(F.size(k).alias("n"), F.array_join(k, "\n").alias("text"))))
-    both = both.withColumn("lines", F.split("text", "\n", -1))
-    return both.select("doc_id", F.size("lines").cast("long").alias("n_lines"), left.alias("left")).select("doc_id", "n_lines", (F.col("n_lines") - F.col("left.n")).alias("n_dropped"), F.col("left.text").alias("text"))
+    joined = lambda n, k: F.struct(n.alias("n"), F.size(k).alias("k"), F.array_join(k, "\n").alias("text"))
+    left = let(F.split("text", "\n", -1), lambda x: let(stay(x), lambda k: joined(F.size(x), k)))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    out = both.select("doc_id", F.when(F.col("gone").isNull(), F.struct(n.alias("n"), n.alias("k"), F.col("text"))).otherwise(left).alias("left"))
+    return out.select("doc_id", F.col("left.n").cast("long").alias("n_lines"), (F.col("left.n") - F.col("left.k")).cast("long").alias("n_dropped"), F.col("left.text").alias("text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

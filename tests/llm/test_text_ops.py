@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import awkward, documents, multiset, words
+from tests.llm.helpers import awkward, documents, multiset, prose, words
 from turnloom.llm import bpe, licenses, lines, ngram, pii, quality
 from turnloom.llm.words import text_block
 
@@ -328,3 +328,40 @@ def test_licenses(spark):
     for k, name in enumerate(licenses.TEMPLATES):
         assert got[k].best_license == name and got[k].best_dice == 1.0
     assert got[101].licenses == got[102].licenses == got[103].licenses == "" and got[104].best_license == "mit"
+
+
+def test_licenses_inside_other_text(spark):
+    """One block, comment marks, edits and code around; prose, long texts, repeats and ties."""
+    mit, header = licenses.TEMPLATES["mit"], licenses.TEMPLATES["apache-2.0-header"].split()
+    comment = "\n".join(f" * {' '.join(header[k : k + 9])}" for k in range(0, len(header), 9))
+    gpl = licenses.TEMPLATES["gpl-3.0"]
+    edited = " ".join(w for k, w in enumerate(mit.split()) if k % 17)
+    long = prose(3, 20000)
+    rows = [
+        (1, "MIT License Copyright (c) 2020 Someone " + " ".join(mit.split()), "en", "s", 1), (2, f"/*\n{comment}\n */\npackage a;\nimport b.c;\nclass D {{}}\n", "en", "s", 1),
+        (3, long, "en", "s", 1), (4, f"{long} {edited} {long}", "en", "s", 1), (4, f"{long} {edited} {long}", "en", "s", 1), (5, gpl, "en", "s", 1),
+        (6, "the software is released under terms that nobody has read, without warranty of any kind in the license", "en", "s", 1), (7, "All rights reserved. all RIGHTS reserved", "en", "s", 1), (None, "One. word", "en", "s", 1),
+    ]
+    got = {}
+    for r in licenses.license_scan(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.licenses, r.best_license, r.best_dice))
+    assert got[1] == [("mit", "mit", 1.0)] and got[2] == [("apache-2.0-header,apache-2.0-notice", "apache-2.0-header", 1.0)]
+    assert got[3] == got[6] == got[None] == [("", None, None)]
+    assert len(got[4]) == 2 and got[4][0] == got[4][1] and got[4][0][1] == "mit" and got[4][0][2] > 0.8
+    assert got[5][0][1:] == ("gpl-3.0", 1.0) and got[7][0][1] == "all-rights-reserved"
+    assert licenses.license_scan(documents(spark, [])).count() == 0
+    twice = {"b": "word one and word two of it", "a": "word one and word two of it"}
+    (r,) = licenses.license_scan(documents(spark, [(1, "x word one and word two of it y", "en", "s", 1)]), twice).collect()
+    assert (r.licenses, r.best_license, r.best_dice) == ("a,b", "a", 1.0)
+
+
+def test_anchors_miss_no_window():
+    """Any window of dice THETA or more has an anchor in it."""
+    rng = np.random.default_rng(9)
+    for t in licenses.prepared({k: licenses.TEMPLATES[k] for k in ("mit", "isc", "gpl-3.0-header", "mit-notice")}):
+        anchors = {p for p, _ in t.anchors}
+        for _ in range(300):
+            w = [x if rng.random() > 0.15 else f"q{rng.integers(99)}" for x in t.words]
+            mine = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+            if 2 * len(mine & set(t.bigrams)) / (len(mine) + len(t.bigrams)) >= licenses.THETA:
+                assert mine & anchors and t.least <= len(mine) <= t.most

@@ -1,30 +1,46 @@
-"""License scans: Dice coefficient over word bigrams between segments of a text and templates.
-
-Segments are the lines of a text, its paragraphs and the whole of it, in lower case with runs of
-anything but a-z and 0-9 as one space.  With ``dice >= THETA`` a segment's bigram count lies
-between ``THETA / (2 - THETA)`` and ``(2 - THETA) / THETA`` times the template's, which prunes
-templates by size.  It must also share so many of a template's bigrams that at least one of a few
-anchor words, chosen by rule to cover the bigrams that may not all be missing, occurs in it: texts
-and segments without any anchor are passed over without loss.  All is decided within the row.
-
-Edge cases: null and empty texts, and segments of fewer than two words, have no license; equal
-Dice values are ordered by template name; repeated rows repeat their result; an empty table gives
-no rows; other columns are not read.
+"""License scans: Dice coefficient over word bigrams between windows of a text and templates.
+
+A text's words are its runs of a-z and 0-9 in lower case, so line ends, comment marks and lists do not
+count.  Templates are whole published licenses and the notices that stand for them.  A window of a
+template's length, or ``STRETCH`` times as long or short, is compared by the Dice coefficient of the
+two sets of word bigrams; ``dice >= THETA`` is a hit.  Such a window has between
+``THETA / (2 - THETA)`` and ``(2 - THETA) / THETA`` times the template's bigrams: windows of other
+sizes, as at the end of a text, are pruned.  It shares at least the former share of the template's
+bigrams, so that of the template's *anchors*, one more bigram than may be missing, at least one is in
+it: windows are only laid where an anchor is, so that both fall together, and texts without an anchor
+are passed over.  Anchors are the bigrams of the longest words, which prose has least.
+
+The anchors and the templates' bigrams are tables of a fixed size; texts with an anchor are written
+once as words, the others only as ids.
+
+Edge cases: null and empty texts, and texts of fewer than two words, have no license; equal Dice values
+are ordered by template name; repeated rows repeat their result; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-THETA = 0.8
+from turnloom.llm.store import materialize
+from turnloom.llm.words import let
 
-#: License notices and short license texts as published.
-TEMPLATES: dict[str, str] = {
+THETA, STRETCH = 0.8, 1.25
+TEXTS = Path(__file__).parent / "license_texts"
+
+#: Notices as published.
+NOTICES: dict[str, str] = {
+    "agpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -33,116 +49,114 @@ TEMPLATES: dict[str, str] = {
         "See the License for the specific language governing permissions and limitations under the License."
     ),
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
-        "and/or other materials provided with the distribution."
-    ),
     "bsd-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "gpl-2.0-header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; "
+        "if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    ),
     "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
         "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
-        "See the GNU General Public License for more details."
+        "See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
     ),
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH '
-        "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
-    ),
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    "lgpl-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Lesser General Public License for more details."
     ),
     "mit-notice": "Released under the MIT License.",
     "mpl-2.0-header": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
-    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
-def _words(text: str) -> list[str]:
-    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
-
-
-def _bigrams(text: str) -> list[str]:
-    w = _words(text)
-    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
-
-
-def anchors(templates: dict[str, str], theta: float = THETA) -> list[str]:
-    """Words such that every segment with ``dice >= theta`` to a template has at least one.
-
-    A segment shares at least ``theta / (2 - theta)`` of a template's bigrams; longest words
-    first, then those of fewest templates, words are taken until fewer bigrams than that are left
-    without one of them.  A word that holds another one is found by that."""
-    found: set[str] = set()
-    uses = Counter(w for t in templates.values() for w in set(_words(t)))
-    for text in templates.values():
-        left = _bigrams(text)
-        need = math.ceil(theta / (2 - theta) * len(left) - 1e-9)
-        for w in sorted(set(_words(text)), key=lambda x: (-len(x), uses[x], x)):
-            if len(left) < need:
-                break
-            if any(w in b.split() for b in left):
-                found.add(w)
-                left = [b for b in left if w not in b.split()]
-    return sorted(w for w in found if not any(len(v) > 3 and v in w and v != w for v in found))
-
-
-def _any_anchor(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        if len(w) > 3:
-            out = out | F.contains(text, F.lit(w))
-    short = "|".join(w for w in words if len(w) < 4)
-    return out | text.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])") if short else out
-
-
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-
-
-def license_hits(text: Column, templates: dict[str, str] = TEMPLATES, theta: float = THETA) -> Column:
-    """array<struct<dice, name>> of all templates found in a text, best first."""
-    kind = "array<struct<name:string,n:int,bigrams:array<string>>>"
-    table = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for k, b in ((k, _bigrams(t)) for k, t in sorted(templates.items()))]).cast(kind)
-    sizes = [len(_bigrams(t)) for t in templates.values()]
-    low, high = math.floor(theta / (2 - theta) * min(sizes)), math.ceil((2 - theta) / theta * max(sizes))
-    words = anchors(templates, theta)
-    segments = F.concat(F.split(text, "\n", -1), F.split(text, "\n[ \t\r]*\n", -1), F.array(text))
-    near = F.array_distinct(F.filter(F.transform(F.filter(segments, lambda s: _any_anchor(F.lower(s), words)), normalised), lambda s: F.contains(s, F.lit(" "))))
-    pairs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))
-    grams = F.filter(F.transform(F.transform(near, lambda s: F.split(s, " ")), lambda w: pairs(w)), lambda b: F.size(b).between(low, high))
-    fits = lambda b, t: (F.size(b) >= theta / (2 - theta) * t["n"] - 1e-9) & (F.size(b) <= (2 - theta) / theta * t["n"] + 1e-9)
-    scored = lambda b: F.transform(
-        F.filter(table, lambda t: fits(b, t)),
-        lambda t: F.struct((2.0 * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["n"])).alias("dice"), t["name"].alias("name")),
-    )
-    hits = F.filter(F.flatten(F.transform(grams, scored)), lambda h: h["dice"] >= theta)
-    best_first = F.array_sort(F.array_distinct(hits), lambda a, b: F.when((a["dice"] > b["dice"]) | ((a["dice"] == b["dice"]) & (a["name"] < b["name"])), -1).otherwise(1))
-    return F.when(_any_anchor(F.lower(text), words), best_first).otherwise(F.array().cast("array<struct<dice:double,name:string>>"))
-
-
-def license_scan(docs: DataFrame) -> DataFrame:
+def templates(folder: Path = TEXTS) -> dict[str, str]:
+    """The notices and the license texts of a folder, by name."""
+    return NOTICES | {f.stem: f.read_text(encoding="utf-8") for f in sorted(folder.glob("*.txt"))}
+
+
+TEMPLATES = templates()
+
+
+class Template:
+    """A template's words, distinct bigrams and anchors with their places."""
+
+    def __init__(self, name: str, text: str, theta: float = THETA):
+        self.name, self.words = name, re.findall("[a-z0-9]+", text.lower())
+        pairs = [f"{a} {b}" for a, b in zip(self.words, self.words[1:], strict=False)]
+        place = {p: i for i, p in reversed(list(enumerate(pairs)))}
+        self.bigrams = sorted(place)
+        share = theta / (2 - theta)
+        may_miss = len(self.bigrams) - math.ceil(share * len(self.bigrams) - 1e-9)
+        rare = sorted(self.bigrams, key=lambda p: (-min(map(len, p.split())), -len(p), p))
+        self.anchors = sorted((p, place[p]) for p in rare[: may_miss + 1])
+        self.lengths = sorted({max(2, round(len(self.words) * f)) for f in (1 / STRETCH, 1, STRETCH)})
+        self.least, self.most = share * len(self.bigrams) - 1e-9, len(self.bigrams) / share + 1e-9
+
+
+def prepared(texts: dict[str, str], theta: float = THETA) -> list[Template]:
+    return [t for t in (Template(k, v, theta) for k, v in sorted(texts.items())) if t.bigrams]
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+", -1), lambda w: w != "")
+
+
+def _bigram(w: Column, i: Column) -> Column:
+    return F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
+
+
+def _anchored(w: Column, anchors: list[str]) -> Column:
+    """Places and bigrams of all anchors among a text's words; their longer words are looked for first."""
+    long = sorted({max(a.split(), key=len) for a in anchors})
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: _bigram(w, i).isin(anchors))
+    none = F.array().cast("array<struct<p:int,bigram:string>>")
+    some = F.transform(places, lambda i: F.struct(i.alias("p"), _bigram(w, i).alias("bigram")))
+    return F.when(F.exists(w, lambda x: x.isin(long)) & (F.size(w) > 1), some).otherwise(none)
+
+
+def license_rows(docs: DataFrame, texts: dict[str, str] = TEMPLATES, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id) of every document, and (row, name, dice) of the best window of each template found in it."""
+    spark, ready = docs.sparkSession, prepared(texts, theta)
+    names = sorted({p for t in ready for p, _ in t.anchors})
+    w = words_of(F.coalesce("text", F.lit("")))
+    found = let(w, lambda x: let(_anchored(x, names), lambda a: F.struct(F.when(F.size(a) > 0, x).alias("words"), a.alias("anchors"))))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("f")).select("row", "doc_id", "f.words", "f.anchors")
+    rows = materialize(rows, "licenses")
+    # tables as large as the templates
+    of_anchor = F.broadcast(spark.createDataFrame([(p, k, o, n) for k, t in enumerate(ready) for p, o in t.anchors for n in t.lengths], "bigram string, t int, o int, len int"))
+    of_template = F.broadcast(spark.createDataFrame([(k, t.name, t.bigrams, t.least, t.most) for k, t in enumerate(ready)], "t int, name string, bigrams array<string>, least double, most double"))
+    n = F.size("words")
+    at = rows.where(n > 1).select("row", n.alias("n"), F.explode("anchors").alias("a")).select("row", "n", "a.*").join(of_anchor, "bigram")
+    start = F.greatest(F.least(F.col("p") - F.col("o"), F.col("n") - F.col("len")), F.lit(0))
+    windows = at.groupBy("row").agg(F.collect_set(F.struct("t", start.alias("s"), "len")).alias("windows"))
+    pairs = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: _bigram(x, i)))
+    cut = F.transform("windows", lambda c: F.struct(c["t"].alias("t"), let(F.slice("words", c["s"] + 1, c["len"]), pairs).alias("mine")))
+    seen = rows.select("row", "words").join(windows, "row").select("row", F.explode(cut).alias("c")).select("row", "c.*").join(of_template, "t")
+    size = F.size("mine")
+    seen = seen.where(size.between(F.col("least"), F.col("most")))
+    dice = 2.0 * F.size(F.array_intersect("mine", "bigrams")) / (size + F.size("bigrams"))
+    hits = seen.select("row", "name", dice.alias("dice")).where(F.col("dice") >= theta).groupBy("row", "name").agg(F.max("dice").alias("dice"))
+    return rows.select("row", "doc_id"), hits
+
+
+def license_scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, theta: float = THETA) -> DataFrame:
     """doc_id, licenses (names in order, comma-joined), best_license, best_dice."""
-    found = docs.select("doc_id", license_hits(F.coalesce("text", F.lit(""))).alias("hits"))
-    return found.select(
-        "doc_id",
-        F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"]))), ",").alias("licenses"),
-        F.get("hits", F.lit(0))["name"].alias("best_license"),
-        F.round(F.get("hits", F.lit(0))["dice"], 6).alias("best_dice"),
-    )
+    rows, hits = license_rows(docs, texts, theta)
+    best = hits.groupBy("row").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("licenses"), F.min_by(F.struct("name", "dice"), F.struct(-F.col("dice"), "name")).alias("b"))
+    return rows.join(best, "row", "left").select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.col("b.name").alias("best_license"), F.round("b.dice", 6).alias("best_dice"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,21 +164,30 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_VALUES = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{b}'" for b in _bigrams(t))) for k, t in sorted(TEMPLATES.items()))
-OP9_SQL = rf"""
-with templates(name, bigrams) as (values {_VALUES}),
+def _sql() -> str:
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    ready = prepared(TEMPLATES)
+    values = ", ".join(f"({k}, '{t.name}', {quoted(t.bigrams)}, {t.least!r}::double, {t.most!r}::double)" for k, t in enumerate(ready))
+    anchors = ", ".join(f"('{p}', {k}, {o}, {n})" for k, t in enumerate(ready) for p, o in t.anchors for n in t.lengths)
+    return rf"""
+with templates(t, name, bigrams, least, most) as (values {values}),
+anchors(bigram, t, o, len) as (values {anchors}),
 d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
-segments as (
-  select row, unnest(list_distinct(string_split(text, chr(10)) || string_split_regex(text, '\n[ \t\r]*\n') || [text])) as s from d
-), tokens as (
-  select row, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') as w from segments
-), grams as (
-  select distinct row, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as b from tokens where len(w) > 1
+tokens as (select row, regexp_extract_all(lower(text), '[a-z0-9]+') as w from d),
+grams as (select row, len(w) as n, unnest(range(len(w) - 1)) as p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bigram from tokens where len(w) > 1),
+windows as (select distinct row, t, len, greatest(least(p - o, n - len), 0) as s from grams join anchors using (bigram)),
+pieces as (
+  select t, row, list_distinct(list_transform(range(1, len(x)), lambda i: x[i] || ' ' || x[i + 1])) as mine
+  from (select t, row, w[s + 1:s + windows.len] as x from windows join tokens using (row))
+), scored as (
+  select row, name, 2.0::double * len(list_intersect(mine, bigrams)) / (len(mine) + len(bigrams)) as dice from pieces join templates using (t) where len(mine) between least and most
 ), hits as (
-  select row, name, 2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) as dice from grams, templates
-  where len(b) <= 1.5 * len(bigrams) + 1 and 2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) >= {THETA}
+  select row, name, max(dice) as dice from scored where dice >= {THETA} group by row, name
 ), best as (
-  select row, string_agg(distinct name, ',' order by name) as licenses, list(name order by dice desc, name)[1] as best_license, max(dice) as best_dice from hits group by row
+  select row, string_agg(name, ',' order by name) as licenses, list(name order by dice desc, name)[1] as best_license, max(dice) as best_dice from hits group by row
 )
-select doc_id, coalesce(licenses, '') as licenses, best_license, round(cast(best_dice as double), 6) as best_dice from d left join best using (row)
+select doc_id, coalesce(licenses, '') as licenses, best_license, round(best_dice, 6) as best_dice from d left join best using (row)
 """
+
+
+OP9_SQL = _sql()

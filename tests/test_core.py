@@ -2,6 +2,8 @@
 
 import itertools
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -186,8 +188,47 @@ def test_learning(spark):
 
 def test_phrases(spark):
     w = spark.createDataFrame([("d", i, x) for i, x in enumerate("new york is new york and new york".split() * 8)], "doc string, pos bigint, w string")
-    assert mdl.induce(w, most=1)[0][:2] == ("new", "york")
-    assert "new_york" in {r.w for r in mdl.merge(w, "new", "york").collect()}
+    assert [(r.a, r.b) for r in mdl.induce(w).where("round = 0").collect()] == [("new", "york")]
+    assert "new_york" in {r.w for r in mdl.merge(w, spark.createDataFrame([("new", "york")], "a string, b string")).collect()}
+
+
+def test_phrases_as_one_by_one(spark):
+    """Rounds of best pairs give the segmentation of merges one by one."""
+    from math import log2
+
+    rng = np.random.default_rng(3)
+    docs = {f"d{k}": [x for _ in range(40) for x in (["in", "spite", "of"] if rng.random() < 0.3 else [f"w{int(rng.zipf(1.6)) % 60}"])] + [f"once{k}a", f"once{k}b", f"once{k}c"] for k in range(4)}
+    nl = lambda x: x * log2(x) if x > 0 else 0.0
+
+    def best(state):
+        n, pairs, first = Counter(w for d in state.values() for _, w in d), Counter(), {}
+        for d, ws in sorted(state.items()):
+            for (p, a), (_, b) in zip(ws, ws[1:]):
+                if a != b:
+                    pairs[a, b] += 1
+                    first.setdefault((a, b), (d, p))
+        o, found = sum(n.values()), []
+        for (a, b), g in pairs.items():
+            la, lb = len(a.split("_")), len(b.split("_"))
+            size = la + lb + 1 if n[a] != g and n[b] != g else la if n[a] != g else lb if n[b] != g else -1
+            bits = nl(n[a] - g) + nl(n[b] - g) + nl(g) - nl(o - g) + nl(o) - nl(n[a]) - nl(n[b]) - log2(len(n) + 1) * size
+            found.append((-round(bits, 9), first[a, b], a, b))
+        return min(found)
+
+    state = {d: list(enumerate(ws)) for d, ws in docs.items()}
+    want = []
+    while (top := best(state))[0] < -5:
+        _, _, a, b = top
+        want.append((a, b))
+        for d, ws in state.items():
+            out, k = [], 0
+            while k < len(ws):
+                both = k + 1 < len(ws) and (ws[k][1], ws[k + 1][1]) == (a, b)
+                out.append((ws[k][0], f"{a}_{b}" if both else ws[k][1]))
+                k += 2 if both else 1
+            state[d] = out
+    w = spark.createDataFrame([(d, k, x) for d, ws in docs.items() for k, x in enumerate(ws)], "doc string, pos bigint, w string")
+    assert len(want) > 8 and sorted((r.a, r.b) for r in mdl.induce(w).collect()) == sorted(want)
 
 
 def test_inside_probabilities_sum_to_one():

@@ -65,10 +65,10 @@ def test_learning_curve_has_all_sizes(spark, tmp_path):
 
     rows = [(c, t, "user", "some words") for c in range(700) for t in range(2)]
     d = tables(spark, tmp_path, rows)
-    train = sorted((md5(str(r).encode()).hexdigest(), r) for r in (c * 1000 + t for c, t, *_ in rows) if r % 10 < 6)
+    train = sorted((md5(str(r).encode()).hexdigest(), r) for r in (c * 2**32 + t for c, t, *_ in rows) if r % 10 < 6)
     sizes = [10 * 2**i for i in range(20) if 10 * 2**i < len(train)]
     assert sizes[-1] > 160
-    assert sorted(map(tuple, run(spark, "learning_curve", d))) == [(n, n, sum(r for _, r in train[:n])) for n in sizes]
+    assert sorted(map(tuple, run(spark, "learning_curve", d))) == [(n, n, sum(r % 1000003 for _, r in train[:n])) for n in sizes]
 
 
 DE = "DE89370400440532013000"
@@ -95,4 +95,53 @@ def test_induction_goes_on_to_the_end(spark, tmp_path):
     got = run(spark, "mdl_induct", d)
     assert sorted((r.a, r.b) for r in got) == sorted(pairs) and all(r.bits > 5 for r in got)
     left = spark.createDataFrame([(str(c), 1, "_".join(pairs[c % 12])) for c in range(12 * 40)], "doc string, pos bigint, w string")
-    assert mdl.induce(left) == []
+    assert mdl.induce(left).count() == 0
+
+
+def test_a_conversation_of_many_turns(spark, tmp_path):
+    """Turns past the thousandth stay with their conversation, in keys, features, scans and sequences."""
+    from turnloom.operators import encode
+
+    rows = [(7, t, ("user", "assistant")[t % 2], f"w{t} x{t}") for t in range(1500)] + [(8, t, "user", f"z{t} y{t}") for t in range(600)]
+    d = tables(spark, tmp_path, rows)
+    x = encode.instances(spark, d)
+    assert x.select("rid").distinct().count() == 2100
+    want = {(str(c), t): set(text.split()) for c, t, _, text in rows}
+    got = {}
+    for r in run(spark, "scan_crf_items", d):
+        got.setdefault((r.dyad, r.pos), set()).add(r.attr)
+    assert got == want
+    real = {}
+    for r in run(spark, "scan_real_feats", d):
+        real.setdefault((r.dyad, r.pos), set()).add(r.name)
+    assert real == want
+    assert Counter(r.split for r in run(spark, "scan_sections", d)) == Counter(r.split for r in x.collect())
+    assert {(r.seq): len(r.path.split()) for r in run(spark, "crf_viterbi", d)} == {"7": 1500, "8": 600}
+    ids = Counter(i for r in run(spark, "inverted_index", d) for i in r.rids.split())
+    assert len(ids) == 2100 and set(ids.values()) == {3}
+    (total,) = run(spark, "crf_eval_total", d)
+    assert total is not None
+
+
+def test_files_of_unequal_length_raise(spark, long_turns, monkeypatch):
+    from turnloom.plans import data_queries
+
+    _, d = long_turns
+    whole = data_queries._two
+    monkeypatch.setattr(data_queries, "_two", lambda spark, d: (whole(spark, d)[0], whole(spark, d)[1].limit(2)))
+    with pytest.raises(Exception, match="differ in length"):
+        run(spark, "append_feats", d)
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    """With both folders deleted the entry imports and lists the other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and int(out.stdout) > 130, out.stderr

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.operators.order import with_index
-from turnloom.sources.units import units
+from turnloom.sources.units import key_sql, unit_key, units
 
 #: Codes of the synthetic labels, by label id.
 CODES = ("IP", "IR", "SF", "MU")
@@ -15,7 +15,7 @@ CODES = ("IP", "IR", "SF", "MU")
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rid, label, split, feats of all units: speaker and words."""
     u = units(spark, sf_dir)
-    rid = F.col("dyad").cast("long") * 1000 + F.col("pos")
+    rid = unit_key(F.col("dyad"), F.col("pos"))
     label = (F.array_position(F.array(*map(F.lit, CODES)), F.col("code")) - 1).cast("int")
     feats = F.sort_array(F.array_distinct(F.concat(F.array(F.concat(F.lit("SPEAKER_"), F.col("role"))), F.transform("toks", lambda x: F.concat(F.lit("CUR_"), x)))))
     bucket = F.col("rid") % 10
@@ -23,8 +23,8 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("split", F.when(bucket < 6, "train").when(bucket < 8, "dev").otherwise("test"))
 
 
-INSTANCES_SQL = """x0 as (
-  select cast(dyad as bigint) * 1000 + pos as rid, list_position(['IP', 'IR', 'SF', 'MU'], code) - 1 as label,
+INSTANCES_SQL = f"""x0 as (
+  select {key_sql('dyad', 'pos')} as rid, list_position(['IP', 'IR', 'SF', 'MU'], code) - 1 as label,
     list_sort(list_distinct(['SPEAKER_' || role] || list_transform(toks, lambda x: 'CUR_' || x))) as feats from u
 ), x as (
   select *, case when rid % 10 < 6 then 'train' when rid % 10 < 8 then 'dev' else 'test' end as split from x0

@@ -61,18 +61,26 @@ def trigram_window_features(units: DataFrame, back: int = 1, forward: int = 1) -
 
 
 def skip_features(units: DataFrame, back: int = 1, forward: int = 1, window: int = 5) -> DataFrame:
-    """Skip-grams of one to four words; of four-grams the first three words show."""
-
-    def parts(prefix: str, t: Column) -> list[Column]:
-        return [
-            X.tagged(f"{prefix}_UNIGRAM_", t), X.tagged(f"{prefix}_BIGRAM_", X.skip_grams(X.padded(t, 1), 2, window)), X.tagged(f"{prefix}_TRIGRAM_", X.skip_grams(X.padded(t, 2), 3, window)),
-            X.tagged(f"{prefix}_FOURGRAM_", F.array_distinct(X.skip_grams(X.padded(t, 3), 4, window, keep=3))),
-        ]
-
-    all_parts = parts("CUR", F.col("toks"))
-    for side, j, _ in offsets(back, forward):
-        all_parts += parts(f"{side}_{j}", F.col(f"_{side}_{j}"))
-    return near_columns(units, back, forward).select("dyad", "pos", X.joined(F.concat(*all_parts)).alias("feats"))
+    """Skip-grams of one to four words; of four-grams the first three words show.
+
+    A unit's grams are worked out once and taken over by its neighbours with another prefix.  Three
+    words begin a four-gram if a word is left within the window, so that they are three-grams of a
+    window less by one over all words but the last."""
+
+    def grams(t: Column) -> Column:
+        four = X.padded(t, 3)
+        four = F.slice(four, F.lit(1), F.size(four) - 1)
+        return F.array_distinct(F.concat(
+            X.tagged("_UNIGRAM_", t), X.tagged("_BIGRAM_", X.skip_grams(X.padded(t, 1), 2, window)), X.tagged("_TRIGRAM_", X.skip_grams(X.padded(t, 2), 3, window)),
+            X.tagged("_FOURGRAM_", X.skip_grams(four, 3, window - 1)),
+        ))
+
+    past = grams(F.array().cast(X.NONE))  # a row past the ends has its boundaries only
+    at = units.select("dyad", "pos", grams(F.col("toks")).alias("_own"))
+    near = lambda j: F.coalesce(F.lag("_own", -j).over(by_dyad()) if j < 0 else F.lead("_own", j).over(by_dyad()), past)
+    sides = [(f"{side}_{j}", near(k)) for side, j, k in offsets(back, forward)]
+    wide = at.select("*", *[c.alias(name) for name, c in sides])
+    return wide.select("dyad", "pos", X.joined(F.concat(X.tagged("CUR", F.col("_own")), *[X.tagged(name, F.col(name)) for name, _ in sides])).alias("feats"))
 
 
 def collocation_features(units: DataFrame, phrases: DataFrame, longest: int, back: int = 0, forward: int = 0) -> DataFrame:

@@ -12,13 +12,18 @@ from turnloom.operators import order as O
 from turnloom.operators.lexicon import tag_tokens
 from turnloom.plans.registry import query
 from turnloom.sources import feature_text as T
-from turnloom.sources.units import table, units, with_units
+from turnloom.sources.units import TOKENS_SQL, key_parts, key_sql, table, token_items, unit_key, units, with_units
 
 
 def xsql(body: str, *more: str) -> str:
     return with_units(body, E.INSTANCES_SQL, *more)
 
 
+def of_unit(key: str):
+    dyad, pos = key_parts(F.col(key))
+    return dyad.cast("string").alias("dyad"), pos.alias("pos")
+
+
 def lines_of(*rows: str):
     """The same literal lines for Spark and for DuckDB."""
     values = ", ".join("({}, '{}')".format(i + 1, r.replace("'", "''")) for i, r in enumerate(rows))
@@ -26,22 +31,23 @@ def lines_of(*rows: str):
 
 
 SECTIONED = """sec as (
-  select case split when 'train' then rid when 'dev' then 1000000001 + rid else 2000000001 + rid end as pos, label || ' ' || array_to_string(feats, ' ') as value from x
-  union all select 1000000000, 'DEV' union all select 2000000000, 'TEST'
+  select case split when 'train' then rid when 'dev' then 2305843009213693953 + rid else 4611686018427387905 + rid end as pos, label || ' ' || array_to_string(feats, ' ') as value from x
+  union all select 2305843009213693952, 'DEV' union all select 4611686018427387904, 'TEST'
 )"""
 
 
 def sectioned(spark, d):
     x = E.instances(spark, d)
-    shift = F.when(F.col("split") == "train", 0).when(F.col("split") == "dev", 1000000001).otherwise(2000000001)
+    dev, test = 1 << 61, 1 << 62  # lines of the marks, past all keys and past all keys after the first
+    shift = F.when(F.col("split") == "train", F.lit(0)).when(F.col("split") == "dev", F.lit(dev + 1)).otherwise(F.lit(test + 1))
     body = x.select((F.col("rid") + shift).alias("pos"), F.concat(F.col("label").cast("string"), F.lit(" "), F.array_join("feats", " ")).alias("value"))
-    return body.unionByName(spark.createDataFrame([(1000000000, "DEV"), (2000000000, "TEST")], "pos bigint, value string"))
+    return body.unionByName(spark.createDataFrame([(dev, "DEV"), (test, "TEST")], "pos bigint, value string"))
 
 
 @query(
     "scan_sections",
     xsql(
-        "select pos, case when pos > 2000000000 then 'test' when pos > 1000000000 then 'dev' else 'train' end as split, w[1] as label, array_to_string(list_sort(list_distinct(w[2:])), ' ') as feats "
+        "select pos, case when pos > 4611686018427387904 then 'test' when pos > 2305843009213693952 then 'dev' else 'train' end as split, w[1] as label, array_to_string(list_sort(list_distinct(w[2:])), ' ') as feats "
         "from (select pos, list_filter(string_split_regex(value, '[ \\t]+'), lambda x: x <> '') as w from sec where value not in ('DEV', 'TEST'))",
         SECTIONED,
     ),
@@ -68,10 +74,10 @@ def restore_text(spark, d):
 )
 def scan_real_feats(spark, d):
     u = units(spark, d)
-    pos = F.col("dyad").cast("long") * 1000 + F.col("pos")
+    pos = unit_key(F.col("dyad"), F.col("pos"))
     line = F.concat(F.lit("0 "), F.array_join(F.transform("toks", lambda t, i: F.concat(t, F.lit(" "), (i + 1).cast("string"))), " "))
     rows = T.real_rows(u.where(F.size("toks") > 0).select(pos.alias("pos"), line.alias("value")))
-    return rows.select(F.floor(F.col("pos") / 1000).cast("string").alias("dyad"), (F.col("pos") % 1000).alias("pos"), "name", "value")
+    return rows.select(*of_unit("pos"), "name", "value")
 
 
 _WEIGHTED, _WEIGHTED_SQL = lines_of("1 $$$WEIGHT 2.5 a b c", "0 a $$$TASK 3 b # note", "# only a comment", "2 $$$OUTOFDOMAIN x", "1 plain")
@@ -92,15 +98,15 @@ def scan_weighted(spark, d):
     "scan_explicit",
     with_units(
         "select dyad, pos, cast(k as integer) as class, array_to_string(list_filter(string_split(parts[k + 1], ' '), lambda x: x <> '') || ['**BIAS**' || k || '**'], ' ') as feats from (select dyad, pos, parts, unnest(range(len(parts))) as k from p)",
-        "p as (select dyad, pos, [array_to_string(toks[1:3], ' '), array_to_string(toks[4:6], ' ')] as parts from u where not list_contains(toks, '#'))",
+        "p as (select dyad, pos, [array_to_string(toks[1:3], ' '), array_to_string(toks[4:], ' ')] as parts from u where not list_contains(toks, '#'))",
     ),
 )
 def scan_explicit(spark, d):
-    """Three words for the first class and all others for the second; the SQL still ends at the sixth."""
+    """Three words for the first class and all others for the second."""
     u = units(spark, d).where(~F.array_contains("toks", "#"))
     line = F.concat(F.lit("1 # "), F.array_join(F.slice("toks", 1, 3), " "), F.lit(" # "), F.array_join(F.slice("toks", F.lit(4), F.size("toks")), " "))
-    rows = T.explicit_rows(u.select((F.col("dyad").cast("long") * 1000 + F.col("pos")).alias("pos"), line.alias("value")))
-    return rows.select(F.floor(F.col("pos") / 1000).cast("string").alias("dyad"), (F.col("pos") % 1000).alias("pos"), "class", F.array_join("feats", " ").alias("feats"))
+    rows = T.explicit_rows(u.select(unit_key(F.col("dyad"), F.col("pos")).alias("pos"), line.alias("value")))
+    return rows.select(*of_unit("pos"), "class", F.array_join("feats", " ").alias("feats"))
 
 
 @query("scan_filespec", with_units("select dyad, pos, 0.5 as weight from u where pos between 1 and 2 or pos = 4 or pos >= 6").replace("0.5 as", "cast(0.5 as double) as"))
@@ -111,20 +117,18 @@ def scan_filespec(spark, d):
 @query(
     "scan_crf_items",
     with_units(
-        "select dyad, pos, code as label, name as attr, scale from (select dyad, pos, code, unnest(toks[1:3]) as name, unnest([1.0, 2.0, 3.0][1:len(toks[1:3])]) as scale from u)".replace("as scale from u", "as scale from u").replace("name as attr, scale", "name as attr, cast(scale as double) as scale")
+        "select dyad, pos, code as label, name as attr, cast(scale as double) as scale from (select dyad, pos, code, unnest(toks) as name, unnest(range(1, len(toks) + 1)) as scale from u)"
     ),
 )
 def scan_crf_items(spark, d):
-    """Items written with escapes and scales, sequences ended by empty lines, and read again.
-
-    All words are items; the SQL still ends at the third."""
+    """Items of all words written with escapes and scales, sequences ended by empty lines, and read again."""
     u = units(spark, d)
-    at = F.col("dyad").cast("long") * 1000 + F.col("pos")
+    at = unit_key(F.col("dyad"), F.col("pos"))
     esc = lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
     attrs = F.transform("toks", lambda t, i: F.concat(esc(F.regexp_replace(t, "^#", "\\\\\\\\#")), F.lit(":"), (i + 1).cast("string")))
     lines = u.select(at.alias("pos"), F.concat_ws("\t", "code", F.array_join(attrs, "\t")).alias("value"))
-    ends = u.groupBy("dyad").agg((F.max("pos") + 1).alias("pos")).select((F.col("dyad").cast("long") * 1000 + F.col("pos")).alias("pos"), F.lit("").alias("value"))
-    return T.crf_items(lines.unionByName(ends)).select(F.floor(F.col("pos") / 1000).cast("string").alias("dyad"), (F.col("pos") % 1000).alias("pos"), "label", "attr", "scale")
+    ends = u.groupBy("dyad").agg((F.max("pos") + 1).alias("pos")).select(unit_key(F.col("dyad"), F.col("pos")).alias("pos"), F.lit("").alias("value"))
+    return T.crf_items(lines.unionByName(ends)).select(*of_unit("pos"), "label", "attr", "scale")
 
 
 GROUPS = "IP IR\n\nSF MU"
@@ -239,9 +243,9 @@ def scan_grammar(spark, d):
     return T.grammar_rules(_RULES(spark))
 
 
-@query("incr_ids", with_units("select tok, row_number() over (order by first, tok) - 1 as id from (select tok, min(p) as first from (select unnest(toks) as tok, cast(dyad as bigint) * 1000 + pos as p from u) group by tok)"))
+@query("incr_ids", with_units("select tok, row_number() over (order by first, tok) - 1 as id from (select tok, min(p) as first from (select unnest(toks) as tok, " + key_sql("dyad", "pos") + " as p from u) group by tok)"))
 def incr_ids(spark, d):
-    t = units(spark, d).select(F.explode("toks").alias("tok"), (F.col("dyad").cast("long") * 1000 + F.col("pos")).alias("p"))
+    t = units(spark, d).select(F.explode("toks").alias("tok"), unit_key(F.col("dyad"), F.col("pos")).alias("p"))
     return O.first_seen_ids(t, "tok", "p")
 
 
@@ -294,8 +298,10 @@ def merge_feats(spark, d):
 
 @query("append_feats", xsql("select a.rid, array_to_string(a.f || b.f, ' ') as feats from a join b using (rid)", *_TWO))
 def append_feats(spark, d):
+    """Features of two files put together row by row; a row without its partner is an error."""
     a, b = _two(spark, d)
-    return a.join(b, "rid").select("rid", F.array_join(F.concat("f2", "f3"), " ").alias("feats"))
+    both = a.join(b, "rid", "full").withColumn("same", F.assert_true(F.col("l2").isNotNull() & F.col("l3").isNotNull(), "the files differ in length"))
+    return both.where("same is null").select("rid", F.array_join(F.concat("f2", "f3"), " ").alias("feats"))
 
 
 @query("filter_freq", xsql("select rid, array_to_string(list(f order by f), ' ') as feats from l where f in (select f from l group by f having count(*) >= 3) group by rid union all select rid, '' from x where rid not in (select rid from l where f in (select f from l group by f having count(*) >= 3))"))
@@ -330,10 +336,12 @@ def pos_counts(spark, d):
     return units(spark, d).groupBy("code").agg(F.count("*").alias("n"))
 
 
-@query("inverted_index", xsql("select f, array_to_string(list_sort(list_distinct(list(rid))), ' ') as rids from l group by f having count(*) <= 50"))
+@query("inverted_index", xsql("select f, rid // 4294967296 // 1000 as part, array_to_string(list_sort(list_distinct(list(rid))), ' ') as rids from l group by f, part"))
 def inverted_index(spark, d):
-    post = E.long_form(E.instances(spark, d)).groupBy("f").agg(F.collect_set("rid").alias("r"))
-    return post.where(F.size("r") <= 50).select("f", F.array_join(F.sort_array("r"), " ").alias("rids"))
+    """Rows of each feature, in parts of 1,000 conversations: a posting list is bounded by its part."""
+    part = F.floor(key_parts(F.col("rid"))[0] / 1000).cast("long").alias("part")
+    post = E.long_form(E.instances(spark, d)).groupBy("f", part).agg(F.collect_set("rid").alias("r"))
+    return post.select("f", "part", F.array_join(F.sort_array("r"), " ").alias("rids"))
 
 
 @query("concat_splits", xsql("select split, count(*) as n, cast(sum(label) as bigint) as labels from x group by split"))
@@ -349,17 +357,16 @@ def label_union(spark, d):
     return x.where("split = 'train'").select("label").union(x.where("split = 'test'").select(((F.col("label") + 1) % 5).cast("int"))).distinct()
 
 
-@query("learning_curve", xsql("select size, count(*) as n, cast(sum(rid) as bigint) as rids from (select rid, row_number() over (order by md5(cast(rid as varchar)), rid) as k from x where split = 'train') join (values (10), (20), (40), (80), (160)) s(size) on k <= size group by size"))
+@query("learning_curve", xsql("select size, count(*) as n, cast(sum(rid % 1000003) as bigint) as rids from (select rid, row_number() over (order by md5(cast(rid as varchar)), rid) as k from x where split = 'train') join (select cast(10 * pow(2, i) as bigint) as size from range(0, 50) t(i)) on k <= size where size < (select count(*) from x where split = 'train') group by size"))
 def learning_curve(spark, d):
     """Nested samples of one permutation, of 10 rows and twice as many each time, below all rows.
 
-    A row is counted once, in the smallest sample that has it; the few samples' sums are added up.
-    The SQL still ends at 160 rows."""
+    A row is counted once, in the smallest sample that has it; the few samples' sums are added up."""
     x = E.instances(spark, d).where("split = 'train'").select("rid", F.md5(F.col("rid").cast("string")).alias("o"))
     k = O.with_index(x, "o", "rid", name="k")
     tens = F.floor(F.col("k") / 10)
     step = F.when(tens == 0, 0).otherwise(F.length(F.bin(tens)))
-    per = k.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("rid").alias("rids"))
+    per = k.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.col("rid") % 1000003).alias("rids"))
     upto = Window.orderBy("step")  # a row for each doubling
     sums = per.select(F.expr("shiftleft(10L, step)").alias("size"), F.sum("n").over(upto).alias("n"), F.sum("rids").over(upto).alias("rids"), F.sum("n").over(Window.partitionBy()).alias("rows"))
     return sums.where("size < rows").select("size", "n", "rids")
@@ -451,16 +458,17 @@ def porter(spark, d):
 @query(
     "pos_backoff",
     with_units(
-        "select dyad, pos, coalesce(b.tag, g.tag, 'NN') as tag from i left join b using (prev, w) left join g using (w)",
-        "i as (select dyad, pos, coalesce(toks[1], '') as w, code as tag, coalesce(lag(code) over (partition by dyad order by pos), '<s>') as prev from u)",
+        "select dyad, pos, k, coalesce(b.tag, g.tag, 'NN') as tag from i left join b using (prev, w) left join g using (w)",
+        TOKENS_SQL,
+        "i as (select dyad, pos, k, w, tag, coalesce(lag(tag) over (partition by dyad, pos order by k), '<s>') as prev from tk)",
         "b as (select prev, w, tag from (select prev, w, tag, row_number() over (partition by prev, w order by count(*) desc, tag) as k from i where pos % 3 > 0 group by prev, w, tag) where k = 1)",
         "g as (select w, tag from (select w, tag, row_number() over (partition by w order by count(*) desc, tag) as k from i where pos % 3 > 0 group by w, tag) where k = 1)",
     ),
 )
 def pos_backoff(spark, d):
     """A tagger trained from counts: by previous tag and word, else by word, else NN."""
-    w = Window.partitionBy("dyad").orderBy("pos")
-    i = units(spark, d).select("dyad", "pos", F.coalesce(F.get("toks", F.lit(0)), F.lit("")).alias("w"), F.col("code").alias("tag"), F.coalesce(F.lag("code").over(w), F.lit("<s>")).alias("prev"))
+    w = Window.partitionBy("dyad", "pos").orderBy("k")
+    i = token_items(spark, d).withColumn("prev", F.coalesce(F.lag("tag").over(w), F.lit("<s>")))
     train = i.where("pos % 3 > 0")
 
     def best(*keys):
@@ -468,7 +476,7 @@ def pos_backoff(spark, d):
         return n.groupBy(*keys).agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("-".join(keys)))
 
     both = i.drop("tag").join(best("prev", "w"), ["prev", "w"], "left").join(best("w").withColumnRenamed("w", "w0").toDF("w", "uni"), "w", "left")
-    return both.select("dyad", "pos", F.coalesce("prev-w", "uni", F.lit("NN")).alias("tag"))
+    return both.select("dyad", "pos", "k", F.coalesce("prev-w", "uni", F.lit("NN")).alias("tag"))
 
 
 def _norm(name: str, p: int) -> None:

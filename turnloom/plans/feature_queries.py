@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from turnloom.functions import text as X
 from turnloom.operators import features as W
 from turnloom.plans.registry import query
-from turnloom.sources.units import units, with_units
+from turnloom.sources.units import TOKENS_SQL, token_items, units, with_units
 
 EMPTY = "cast([] as varchar[])"
+WINDOW = 5  # of skip-grams
 
 
 def near_sql(back: int, forward: int, col: str = "toks") -> str:
@@ -93,8 +94,8 @@ def feats_3gw(spark, d):
 
 
 def _skip_parts(prefix: str, t: str) -> list[str]:
-    four = skip_sql(pad_sql(t, 3), 4, 3, 3)
-    return [tag_sql(f"{prefix}_UNIGRAM_", t), tag_sql(f"{prefix}_BIGRAM_", skip_sql(pad_sql(t, 1), 2, 3)), tag_sql(f"{prefix}_TRIGRAM_", skip_sql(pad_sql(t, 2), 3, 3)), tag_sql(f"{prefix}_FOURGRAM_", four)]
+    four = skip_sql(pad_sql(t, 3), 4, WINDOW, 3)
+    return [tag_sql(f"{prefix}_UNIGRAM_", t), tag_sql(f"{prefix}_BIGRAM_", skip_sql(pad_sql(t, 1), 2, WINDOW)), tag_sql(f"{prefix}_TRIGRAM_", skip_sql(pad_sql(t, 2), 3, WINDOW)), tag_sql(f"{prefix}_FOURGRAM_", four)]
 
 
 _SKIP = join_sql(*_skip_parts("CUR", "toks"), *[x for s, j, c in sides(1, 1) for x in _skip_parts(f"{s}_{j}", c)])
@@ -102,10 +103,10 @@ _SKIP = join_sql(*_skip_parts("CUR", "toks"), *[x for s, j, c in sides(1, 1) for
 
 @query("feats_skipgram", with_units(f"select dyad, pos, {_SKIP} as feats from n", near_sql(1, 1)))
 def feats_skipgram(spark, d):
-    return W.skip_features(units(spark, d), window=3)
+    return W.skip_features(units(spark, d), window=WINDOW)
 
 
-def _counted(name: str, n: int, keep: int | None = None, window: int = 5) -> None:
+def _counted(name: str, n: int, keep: int | None = None, window: int = WINDOW) -> None:
     t = pad_sql("toks", n - 1)
     sql = with_units("select gram, count(*) as n from g group by gram", f"g as (select unnest({skip_sql(t, n, window, keep)}) as gram from u)")
 
@@ -117,7 +118,7 @@ def _counted(name: str, n: int, keep: int | None = None, window: int = 5) -> Non
 
 _counted("skip_bigrams", 2)
 _counted("skip_trigrams", 3)
-_counted("skip_fourgrams", 4, keep=3, window=4)
+_counted("skip_fourgrams", 4, keep=3)
 
 
 @query("ngrams_n", with_units("select n, gram, count(*) as k from g group by n, gram", "g as (" + " union all ".join(f"select {n} as n, unnest({gram_sql('toks', n, ' ')}) as gram from u" for n in (1, 2, 3)) + ")"))
@@ -179,9 +180,10 @@ def _template_sql() -> str:
         k = seen.get(g, 0)
         seen[g] = k + 1
         feats.append(f"'U{g}{k}=' || " + " || '/' || ".join(cell(c, j) for j in s))
-    return with_units(f"select dyad, pos, array_to_string([{', '.join(feats)}], chr(9)) as feats from i window w as (partition by dyad order by pos)", "i as (select dyad, pos, coalesce(toks[1], '') as w, code as p from u)")
+    return with_units(f"select dyad, pos, array_to_string([{', '.join(feats)}], chr(9)) as feats from i window w as (partition by dyad order by pos)", TOKENS_SQL, "i as (select dyad || ':' || pos as dyad, k as pos, w, tag as p from tk)")
 
 
 @query("feats_conll", _template_sql())
 def feats_conll(spark, d):
-    return W.template_features(units(spark, d).select("dyad", "pos", F.coalesce(F.get("toks", F.lit(0)), F.lit("")).alias("w"), F.col("code").alias("p")))
+    """Every token is an item, every turn a sequence."""
+    return W.template_features(token_items(spark, d).select(F.concat_ws(":", "dyad", "pos").alias("dyad"), F.col("k").alias("pos"), "w", F.col("tag").alias("p")))

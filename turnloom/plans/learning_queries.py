@@ -12,7 +12,7 @@ from turnloom.operators import optimise as O
 from turnloom.operators import select as S
 from turnloom.operators.order import first_seen_ids
 from turnloom.plans.registry import query
-from turnloom.sources.units import units
+from turnloom.sources.units import unit_key, units
 
 
 def _data(spark, d, least: int = 3):
@@ -119,7 +119,7 @@ def passive_aggressive(spark, d):
 
 def _items(spark, d):
     u = units(spark, d)
-    at = F.col("dyad").cast("long") * 1000 + F.col("pos")
+    at = unit_key(F.col("dyad"), F.col("pos"))
     words = u.select(at.alias("p"), F.explode("toks").alias("f"))
     ids = first_seen_ids(words, "f", "p")
     per = words.join(ids, "f").groupBy("p").agg(F.collect_set("id").alias("ids"))
@@ -158,7 +158,7 @@ def model_roundtrip(spark, d):
     line = F.concat_ws("\t", F.col("id").cast("string"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "w"))), lambda x: F.format_string("%.20f", x["w"])), "\t"))
     text = t.groupBy("id").agg(line.alias("value"))
     f = F.split("value", "\t")
-    back = text.select(F.get(f, F.lit(0)).cast("bigint").alias("id"), F.posexplode(F.slice(f, 2, 10000)).alias("c", "v"))
+    back = text.select(F.get(f, F.lit(0)).cast("bigint").alias("id"), F.posexplode(F.slice(f, F.lit(2), F.size(f))).alias("c", "v"))
     both = t.join(back, ["id", "c"]).agg(F.count("*").alias("n"), F.max(F.abs(F.col("w") - F.col("v").cast("double"))).alias("off"))
     return both.select("n", F.round("off", 12).alias("off"))
 

@@ -16,7 +16,7 @@ from turnloom.operators import mdl as M
 from turnloom.operators.order import with_index
 from turnloom.plans.data_queries import xsql
 from turnloom.plans.registry import query
-from turnloom.sources.units import table, units, with_units
+from turnloom.sources.units import key_parts, table, units, with_units
 
 
 def weight(*parts):
@@ -86,7 +86,9 @@ def argmax(spark, d):
 
 def ref_ans(spark, d):
     x = E.instances(spark, d)
-    return x.select("rid", "split", F.col("label").cast("long").alias("ref")).join(L.ranked(scored(spark, d)), "rid").select("rid", "split", "ref", F.get("kbest", F.lit(0)).alias("ans"), "kbest")
+    both = x.select("rid", "split", F.col("label").cast("long").alias("ref")).join(L.ranked(scored(spark, d)), "rid", "full")
+    both = both.withColumn("same", F.assert_true(F.col("split").isNotNull() & F.col("kbest").isNotNull(), "references and answers differ in length"))
+    return both.where("same is null").select("rid", "split", "ref", F.get("kbest", F.lit(0)).alias("ans"), "kbest")
 
 
 @query("join_ref_ans", msql("select rid, cast(ref as bigint) as ref, ans from ra", KB, RA))
@@ -148,12 +150,12 @@ def crf_eval(spark, d):
     msql(
         "select round(sum(p) / 4, 6) as macro_precision, round(sum(r) / 4, 6) as macro_recall, round(sum(case when p + r > 0 then 2 * p * r / (p + r) else 0 end) / 4, 6) as macro_f1, any_value(k) as items_correct, any_value(n) as items, "
         "any_value(sk) as sequences_correct, any_value(sn) as sequences from (select case when model > 0 then match / model else 0 end as p, match / ref as r from byl where ref > 0), "
-        "(select cast(sum(k) as bigint) as k, cast(sum(n) as bigint) as n, count(*) filter (n = k) as sk, count(*) as sn from (select rid // 1000 as seq, count(*) as n, count(*) filter (ref = ans) as k from ra group by 1))",
+        "(select cast(sum(k) as bigint) as k, cast(sum(n) as bigint) as n, count(*) filter (n = k) as sk, count(*) as sn from (select rid // 4294967296 as seq, count(*) as n, count(*) filter (ref = ans) as k from ra group by 1))",
         KB, RA, _BYL,
     ),
 )
 def crf_eval_total(spark, d):
-    rows = ref_ans(spark, d).withColumn("seq", F.floor(F.col("rid") / 1000))
+    rows = ref_ans(spark, d).withColumn("seq", key_parts(F.col("rid"))[0])
     out = V.sequence_report(rows, 4)
     return out.select(*[r6(f"macro_{c}").alias(f"macro_{c}") for c in ("precision", "recall", "f1")], "items_correct", "items", "sequences_correct", "sequences")
 
@@ -302,11 +304,10 @@ def model_prune(spark, d):
     return w.join(per.where("spread > 1e-10"), "f").select("f", "c", r6(F.col("w") - F.col("w0")).alias("w"))
 
 
-# sequence models: dyads are sequences, roles are labels, all words of a turn are attributes; the SQL
-# still has the first five only, so its rows differ where a turn has more
+# sequence models: dyads are sequences, roles are labels, all words of a turn are attributes
 
 LABELS = ["assistant", "system", "user"]
-ITEMS = "it as (select dyad as seq, pos as t, role as label, list_distinct(toks[1:5]) as attrs from u)"
+ITEMS = "it as (select dyad as seq, pos as t, role as label, list_distinct(toks) as attrs from u)"
 ATTR = "att as (select seq, t, unnest(attrs) as f from it)"
 LAB = "lab(label) as (values ('assistant'), ('system'), ('user'))"
 ST = f"st as (select g.seq, g.t, g.label, coalesce(h.s, 0) as s from (select seq, t, lab.label from it, lab) g left join (select seq, t, lab.label, sum({weight_sql('f', 'lab.label')}) as s from att, lab group by seq, t, lab.label) h on g.seq = h.seq and g.t = h.t and g.label = h.label)"
@@ -476,4 +477,4 @@ def mdl_step(spark, d):
 @query("mdl_induct")
 def mdl_induct(spark, d):
     """All merges that save more than 5 bits."""
-    return spark.createDataFrame(M.induce(words(spark, d)), "a string, b string, bits double")
+    return M.induce(words(spark, d))

@@ -71,7 +71,7 @@ def weighted_rows(lines: DataFrame) -> DataFrame:
 def explicit_rows(lines: DataFrame) -> DataFrame:
     """One feature list per class, separated by a lone ``#``, each with the class's bias."""
     parts = F.split("value", r"[ \t]+#[ \t]*", -1)
-    head = lines.select("pos", F.get(parts, F.lit(0)).alias("label"), F.posexplode(F.slice(parts, 2, 10000)).alias("class", "body"))
+    head = lines.select("pos", F.get(parts, F.lit(0)).alias("label"), F.posexplode(F.slice(parts, F.lit(2), F.size(parts))).alias("class", "body"))
     return head.select("pos", F.trim("label").alias("label"), "class", F.concat(words(F.col("body")), F.array(F.concat(F.lit("**BIAS**"), F.col("class").cast("string"), F.lit("**")))).alias("feats"))
 
 
@@ -119,7 +119,7 @@ def category_lexicon(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     f = F.split("value", r"\s+")
     names = at.where("pos > a and pos < b").select(F.get(f, F.lit(0)).alias("id"), F.get(f, F.lit(1)).alias("name"))
     odd = F.contains("value", F.lit("<of>")) | F.contains("value", F.lit("("))
-    ids = F.when(odd, F.array().cast("array<string>")).otherwise(F.slice(f, 2, 1000))
+    ids = F.when(odd, F.array().cast("array<string>")).otherwise(F.slice(f, F.lit(2), F.size(f)))
     word = F.get(f, F.lit(0))
     return names, at.where("pos > b").select(F.rtrim(word, F.lit("*")).alias("word"), word.endswith("*").alias("partial"), F.col("pos").alias("ord"), ids.alias("ids"))
 

@@ -1,12 +1,15 @@
 """Linear-chain models over long-form scores: state (seq, t, label, s), transition matrices on the driver side.
 
-A sequence is one group: its lattice has as many rows as items times labels.  Dynamic programs run
-over Arrow groups in numpy; transitions, bounded by the labels, travel with the function."""
+A sequence becomes one row, its scores in order of the items; dynamic programs run over Arrow batches of
+such rows in numpy, all sequences of a batch step by step at once.  Transitions, bounded by the labels,
+travel with the function."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,32 +81,102 @@ class Lattice:
         return float(self.begin[path[0]] + self.end[path[-1]] + s[np.arange(len(path)), path].sum() + sum(self.moves[a, b] for a, b in zip(path, path[1:], strict=False)))
 
 
-def _grouped(states: DataFrame, labels: list[str], schema: str, body) -> DataFrame:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        wide = g.pivot(index="t", columns="label", values="s").sort_index()[labels]
-        return body(g["seq"].iloc[0], wide.index.to_numpy(), wide.to_numpy())
-
-    return states.groupBy("seq").applyInPandas(run, schema)
+class Batch:
+    """Sequences of one Arrow batch: scores of all items, the sequences' bounds, and the items by step."""
+
+    def __init__(self, scores: np.ndarray, bounds: np.ndarray):
+        self.s, self.bounds = scores, bounds
+        n = np.diff(bounds)
+        order = np.argsort(-n, kind="stable")
+        #: For each step the items there, longest sequences first.
+        self.steps = [bounds[order[: int(np.searchsorted(-n[order], -t, "left"))]] + t for t in range(int(n.max(initial=0)))]
+        self.last = bounds[1:] - 1
+        self.ends = np.zeros(len(scores), bool)
+        self.ends[self.last] = True
+
+    def viterbi(self, lat: Lattice) -> tuple[np.ndarray, np.ndarray]:
+        """Labels of all items and the score of each sequence's path; ties go to the lower label."""
+        best, back = self.s.copy(), np.zeros(self.s.shape, np.int64)
+        best[self.bounds[:-1]] += lat.begin
+        for at in self.steps[1:]:
+            arrive = best[at - 1][:, :, None] + lat.moves[None]
+            back[at] = arrive.argmax(1)
+            best[at] = self.s[at] + arrive.max(1)
+        final = best[self.last] + lat.end
+        out = np.zeros(len(self.s), np.int64)
+        out[self.last] = final.argmax(1)
+        for at in reversed(self.steps[1:]):
+            before = at - 1
+            out[before] = np.where(self.ends[before], out[before], back[at, out[at]])
+        return out, final.max(1)
+
+    def forward(self, lat: Lattice) -> np.ndarray:
+        out = self.s.copy()
+        out[self.bounds[:-1]] += lat.begin
+        for at in self.steps[1:]:
+            out[at] = self.s[at] + np.logaddexp.reduce(out[at - 1][:, :, None] + lat.moves[None], axis=1)
+        return out
+
+    def backward(self, lat: Lattice) -> np.ndarray:
+        out = np.zeros_like(self.s)
+        out[self.last] = lat.end
+        for at in reversed(self.steps[1:]):
+            out[at - 1] = np.logaddexp.reduce(lat.moves[None] + (self.s[at] + out[at])[:, None, :], axis=2)
+        return out
+
+    def log_norms(self, lat: Lattice, forward: np.ndarray | None = None) -> np.ndarray:
+        fw = self.forward(lat) if forward is None else forward
+        return np.logaddexp.reduce(fw[self.last] + lat.end, axis=1)
+
+    def marginals(self, lat: Lattice) -> np.ndarray:
+        fw = self.forward(lat)
+        return np.exp(fw + self.backward(lat) - np.repeat(self.log_norms(lat, fw), np.diff(self.bounds))[:, None])
+
+
+def lined_up(states: DataFrame, labels: list[str]) -> DataFrame:
+    """(seq, t array, s array): the items of a sequence in order, their scores by label one after another."""
+    item = states.groupBy("seq", "t").agg(*[F.max(F.when(F.col("label") == x, F.col("s"))).alias(f"s{k}") for k, x in enumerate(labels)])
+    rows = item.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("t", F.array(*[f"s{k}" for k in range(len(labels))]).alias("s")))).alias("x"))
+    return rows.select("seq", F.col("x.t").alias("t"), F.flatten(F.col("x.s")).alias("s"))
+
+
+def _batched(states: DataFrame, labels: list[str], schema: str, body) -> DataFrame:
+    """``body`` gets a Batch and the arrays of the batch's rows: sequence of each row, and t of all items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                t, s = b.column(1), b.column(2)
+                bounds = (t.offsets.to_numpy() - t.offsets[0].as_py()).astype(np.int64)
+                yield body(Batch(s.flatten().to_numpy().reshape(-1, len(labels)), bounds), b.column(0), t.flatten())
+
+    return lined_up(states, labels).mapInArrow(run, schema)
+
+
+def _per_item(b: Batch, seq: pa.Array) -> pa.Array:
+    return seq.take(pa.array(np.repeat(np.arange(len(b.bounds) - 1), np.diff(b.bounds))))
 
 
 def decode(states: DataFrame, labels: list[str], lattice: Lattice) -> DataFrame:
     """(seq, t, ans, score): best labels and the path's score."""
 
-    def body(seq, t, s):
-        path, score = lattice.viterbi(s)
-        return pd.DataFrame({"seq": seq, "t": t, "ans": [labels[k] for k in path], "score": score})
+    def body(b: Batch, seq: pa.Array, t: pa.Array) -> pa.RecordBatch:
+        path, score = b.viterbi(lattice)
+        return pa.RecordBatch.from_arrays([_per_item(b, seq), t, pa.array(labels).take(pa.array(path)), pa.array(np.repeat(score, np.diff(b.bounds)))], ["seq", "t", "ans", "score"])
 
-    return _grouped(states, labels, "seq string, t bigint, ans string, score double", body)
+    return _batched(states, labels, "seq string, t bigint, ans string, score double", body)
 
 
 def log_norms(states: DataFrame, labels: list[str], lattice: Lattice) -> DataFrame:
-    return _grouped(states, labels, "seq string, log_norm double", lambda seq, t, s: pd.DataFrame({"seq": [seq], "log_norm": [lattice.log_norm(s)]}))
+    return _batched(states, labels, "seq string, log_norm double", lambda b, seq, t: pa.RecordBatch.from_arrays([seq, pa.array(b.log_norms(lattice))], ["seq", "log_norm"]))
 
 
 def posteriors(states: DataFrame, labels: list[str], lattice: Lattice) -> DataFrame:
     """(seq, t, label, p): marginal probabilities of single labels."""
 
-    def body(seq, t, s):
-        return pd.DataFrame({"seq": seq, "t": np.repeat(t, len(labels)), "label": labels * len(t), "p": lattice.marginals(s).reshape(-1)})
+    def body(b: Batch, seq: pa.Array, t: pa.Array) -> pa.RecordBatch:
+        k, n = len(labels), len(b.s)
+        each = pa.array(np.repeat(np.arange(n), k))
+        return pa.RecordBatch.from_arrays([_per_item(b, seq).take(each), t.take(each), pa.array(labels).take(pa.array(np.tile(np.arange(k), n))), pa.array(b.marginals(lattice).reshape(-1))], ["seq", "t", "label", "p"])
 
-    return _grouped(states, labels, "seq string, t bigint, label string, p double", body)
+    return _batched(states, labels, "seq string, t bigint, label string, p double", body)

@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def with_bias(long: DataFrame) -> DataFrame:
-    """(rid, f) with the bias feature of every row."""
-    return long.unionByName(long.select("rid").distinct().withColumn("f", F.lit("**BIAS**")))
+def by_feature(weights: DataFrame, classes: int) -> DataFrame:
+    """(f, w array) from (f, c, w), an entry for each class."""
+    return weights.groupBy("f").agg(F.array(*[F.coalesce(F.max(F.when(F.col("c") == k, F.col("w"))), F.lit(0.0)) for k in range(classes)]).alias("w"))
 
 
-def scores(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """(rid, c, score): join of features with (f, c, w), summed; unknown features drop out."""
-    return long.join(weights, "f").groupBy("rid", "c").agg(F.sum("w").alias("score"))
+def totals(rows: DataFrame, long: DataFrame, weights: DataFrame, bias: list[float]) -> DataFrame:
+    """(rid, s array): one row of sums for each of ``rows``.
+
+    The join is over (rid, f) with (f, w array) and has a row a feature, not one a feature and class;
+    the bias is a constant of each row, so no feature is in all of them.  Unknown features drop out."""
+    sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(bias))]
+    found = long.join(weights, "f").groupBy("rid").agg(*sums)
+    at = rows.select("rid").join(found, "rid", "left")
+    return at.select("rid", F.array(*[F.coalesce(f"s{k}", F.lit(0.0)) + F.lit(float(b)) for k, b in enumerate(bias)]).alias("s"))
+
+
+def long_scores(sums: DataFrame) -> DataFrame:
+    """(rid, c, score) of (rid, s)."""
+    return sums.select("rid", F.posexplode("s").alias("c", "score")).withColumn("c", F.col("c").cast("long"))
+
+
+def shares(s: Column) -> Column:
+    """Softmax of an array, shifted by its maximum."""
+    e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
 
 
 def log_total(score: Column, keys: list[str]) -> Column:
@@ -39,18 +56,29 @@ def best(scored: DataFrame) -> DataFrame:
     return scored.groupBy("rid").agg(F.min_by("c", F.struct(-F.col("score"), "c")).alias("pred"))
 
 
-def objective(probs: DataFrame, gold: DataFrame, weights: DataFrame, ridge: float) -> DataFrame:
+def pushes(sums: DataFrame, gold: DataFrame) -> DataFrame:
+    """(rid, loss, d array): each row's negative log-likelihood, and its shares less the gold label's one."""
+    both = sums.join(gold, "rid").withColumn("top", F.array_max("s"))
+    z = F.log(F.aggregate(F.transform("s", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, y: a + y)) + F.col("top")
+    both = both.withColumn("z", z)
+    d = F.transform("s", lambda x, i: F.exp(x - F.col("z")) - F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    return both.select("rid", (F.col("z") - F.element_at("s", F.col("label") + 1)).alias("loss"), d.alias("d"))
+
+
+def objective(push: DataFrame, weights: DataFrame, bias: list[float], ridge: float) -> DataFrame:
     """Negative log-likelihood plus half the ridge times the squared weights, one row."""
-    fit = probs.join(gold, "rid").where("c = label").agg(F.sum(-F.log("p")).alias("nll"))
-    size = weights.agg((F.sum(F.col("w") * F.col("w")) * ridge / 2).alias("reg"))
-    return fit.crossJoin(F.broadcast(size)).select((F.col("nll") + F.col("reg")).alias("objective"))  # one row each
+    size = weights.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x)).alias("q"))
+    out = push.agg(F.sum("loss").alias("nll")).crossJoin(F.broadcast(size))  # one row each
+    return out.select((F.col("nll") + ridge / 2 * (F.coalesce("q", F.lit(0.0)) + sum(b * b for b in bias))).alias("objective"))
 
 
-def gradient(long: DataFrame, probs: DataFrame, gold: DataFrame, weights: DataFrame, ridge: float) -> DataFrame:
-    """(f, c, g): expected minus observed counts plus the ridge term."""
-    push = probs.join(gold, "rid").select("rid", "c", (F.col("p") - F.when(F.col("c") == F.col("label"), 1.0).otherwise(0.0)).alias("d"))
-    g = long.join(push, "rid").groupBy("f", "c").agg(F.sum("d").alias("d"))
-    return g.join(weights, ["f", "c"]).select("f", "c", (F.col("d") + ridge * F.col("w")).alias("g"))
+def gradient(long: DataFrame, push: DataFrame, weights: DataFrame, bias: list[float], ridge: float) -> DataFrame:
+    """(f, c, g): expected minus observed counts plus the ridge term; the bias is one sum over rows."""
+    sums = [F.sum(F.col("d")[k]).alias(f"d{k}") for k in range(len(bias))]
+    own = long.join(push.select("rid", "d"), "rid").groupBy("f").agg(*sums).join(weights, "f")
+    wide = own.select("f", F.array(*[F.col(f"d{k}") + ridge * F.col("w")[k] for k in range(len(bias))]).alias("g"))
+    of_bias = push.agg(*sums).select(F.lit("**BIAS**").alias("f"), F.array(*[F.col(f"d{k}") + ridge * b for k, b in enumerate(bias)]).alias("g"))
+    return wide.unionByName(of_bias).select("f", F.posexplode("g").alias("c", "g")).withColumn("c", F.col("c").cast("long"))
 
 
 def latent(parts: DataFrame) -> DataFrame:
@@ -61,8 +89,8 @@ def latent(parts: DataFrame) -> DataFrame:
 
 
 #: A rational approximation of the inverse error function, to about six digits.
-_MID = ((0.886226899, -1.645349621, 0.914624893, -0.140543331), (1.0, -2.118377725, 1.442710462, -0.329097515, 0.012229801))
-_TAIL = ((-1.970840454, -1.624906493, 3.429567803, 1.641345311), (1.0, 3.543889200, 1.637067800))
+MID = ((0.886226899, -1.645349621, 0.914624893, -0.140543331), (1.0, -2.118377725, 1.442710462, -0.329097515, 0.012229801))
+TAIL = ((-1.970840454, -1.624906493, 3.429567803, 1.641345311), (1.0, 3.543889200, 1.637067800))
 
 
 def _poly(x: Column, cs) -> Column:
@@ -76,8 +104,8 @@ def normal_quantile(p: Column) -> Column:
     """Inverse of the standard normal distribution function, for 0 < p < 1."""
     y = 2 * p - 1
     z = F.sqrt(-F.log((1 - F.abs(y)) / 2))
-    mid = y * _poly(y * y, _MID[0]) / _poly(y * y, _MID[1])
-    tail = F.signum(y) * _poly(z, _TAIL[0]) / _poly(z, _TAIL[1])
+    mid = y * _poly(y * y, MID[0]) / _poly(y * y, MID[1])
+    tail = F.signum(y) * _poly(z, TAIL[0]) / _poly(z, TAIL[1])
     return F.sqrt(F.lit(2.0)) * F.when(F.abs(y) <= 0.7, mid).otherwise(tail)
 
 

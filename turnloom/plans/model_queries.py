@@ -4,6 +4,8 @@ Weights are a hash of feature and label, so both engines have them and no two sc
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,17 +42,27 @@ def msql(body: str, *more: str) -> str:
     return xsql(body, E.DICTIONARY_SQL, WT, LB, SC, *more)
 
 
+def _py_weight(*p: str) -> float:
+    return int(hashlib.md5(":".join(p).encode()).hexdigest()[:10], 16) % 2000003 / 1e6 - 1.0
+
+
+BIAS = [_py_weight("**BIAS**", str(c)) for c in range(4)]
+
+
 def parts(spark, d):
+    """Rows, the weights (f, w array) of all training features, and (rid, f)."""
     x = E.instances(spark, d)
-    weights = E.dictionary(x).select("f").crossJoin(spark.range(4).select(F.col("id").alias("c")))  # as many as labels
-    weights = weights.select("f", "c", weight(F.col("f"), F.col("c").cast("string")).alias("w"))
-    long = L.with_bias(E.long_form(x).select("rid", "f"))
-    return x, weights, long
+    weights = E.long_form(x.where("split = 'train'")).select("f").distinct()
+    return x, weights.select("f", F.array(*[weight(F.col("f"), F.lit(str(c))) for c in range(4)]).alias("w")), E.long_form(x).select("rid", "f")
+
+
+def sums(spark, d):
+    x, weights, long = parts(spark, d)
+    return L.totals(x, long, weights, BIAS)
 
 
 def scored(spark, d):
-    _, weights, long = parts(spark, d)
-    return L.scores(long, weights)
+    return L.long_scores(sums(spark, d))
 
 
 def r6(c):
@@ -64,13 +76,14 @@ def score_linear(spark, d):
 
 @query("softmax_probs", msql("select rid, c, round(p, 6) as p from pr", PR))
 def softmax_probs(spark, d):
-    return L.softmax(scored(spark, d)).select("rid", "c", r6("p").alias("p"))
+    return sums(spark, d).select("rid", F.posexplode(L.shares(F.col("s"))).alias("c", "p")).select("rid", F.col("c").cast("long").alias("c"), r6("p").alias("p"))
 
 
 @query("maxent_predict", msql("select rid, kbest[1] as pred, round(p, 6) as p from kb join pr using (rid) where c = kbest[1]", PR, KB))
 def maxent_predict(spark, d):
-    p = L.softmax(scored(spark, d))
-    return p.join(L.best(p).withColumnRenamed("rid", "r"), (F.col("rid") == F.col("r")) & (F.col("c") == F.col("pred"))).select("rid", "pred", r6("p").alias("p"))
+    p = sums(spark, d).select("rid", F.array_max("s").alias("top"), F.col("s"), L.shares(F.col("s")).alias("p"))
+    at = F.array_position("s", F.col("top"))  # the first of the highest
+    return p.select("rid", (at - 1).cast("long").alias("pred"), r6(F.element_at("p", at.cast("int"))).alias("p"))
 
 
 @query("kbest", msql("select rid, array_to_string(kbest, ' ') as kbest from kb", KB))
@@ -202,13 +215,15 @@ def grid_best(spark, d):
 @query("maxent_obj", msql("select round(nll + reg, 4) as objective from (select sum(-ln(p)) as nll from pr join x using (rid) where c = label), (select 0.05 * sum(w * w) as reg from wt)", PR))
 def maxent_obj(spark, d):
     x, weights, long = parts(spark, d)
-    return L.objective(L.softmax(L.scores(long, weights)), x.select("rid", "label"), weights, 0.1).select(F.round("objective", 4).alias("objective"))
+    push = L.pushes(L.totals(x, long, weights, BIAS), x.select("rid", "label"))
+    return L.objective(push, weights, BIAS, 0.1).select(F.round("objective", 4).alias("objective"))
 
 
 @query("maxent_grad", msql("select f, c, round(sum(p - cast(c = label as integer)) + 0.1 * any_value(w), 6) as g from lb join pr using (rid) join x using (rid) join wt using (f, c) group by f, c", PR))
 def maxent_grad(spark, d):
     x, weights, long = parts(spark, d)
-    g = L.gradient(long, L.softmax(L.scores(long, weights)), x.select("rid", "label"), weights, 0.1)
+    push = L.pushes(L.totals(x, long, weights, BIAS), x.select("rid", "label"))
+    g = L.gradient(long, push, weights, BIAS, 0.1)
     return g.select("f", "c", r6("g").alias("g"))
 
 
@@ -242,18 +257,21 @@ _HID = f"psi as (select rid, c, h, sum({weight_sql('f', 'c', 'h')}) + any_value(
 @query("lll_predict", msql("select rid, c, round(s / sum(s) over (partition by rid), 6) as p from (select rid, c, sum(exp(psi)) as s from psi group by rid, c)", _HID))
 def lll_predict(spark, d):
     """Latent log-linear probabilities: two hidden states are summed out."""
-    x, _, long = parts(spark, d)
-    grid = spark.range(4).select(F.col("id").alias("c")).crossJoin(spark.range(2).select(F.col("id").alias("h")))  # labels times states
-    s = lambda c: F.col(c).cast("string")
-    w = E.dictionary(x).select("f").crossJoin(F.broadcast(grid)).select("f", "c", "h", weight(F.col("f"), s("c"), s("h")).alias("w"))
-    psi = long.join(w, "f").groupBy("rid", "c", "h").agg((F.sum("w") + weight(F.lit("hy"), s("c"), s("h"))).alias("psi"))
+    x, weights, long = parts(spark, d)
+    grid = [(str(c), str(h)) for c in range(4) for h in range(2)]
+    w = weights.select("f", F.array(*[weight(F.col("f"), F.lit(c), F.lit(h)) for c, h in grid]).alias("w"))
+    psi = L.totals(x, long, w, [_py_weight("**BIAS**", c, h) + _py_weight("hy", c, h) for c, h in grid])
+    psi = psi.select("rid", F.posexplode("s").alias("k", "psi")).select("rid", F.floor(F.col("k") / 2).cast("long").alias("c"), (F.col("k") % 2).alias("h"), "psi")
     return L.latent(psi).select("rid", "c", r6("p").alias("p"))
 
 
 def _phi_sql(p: str) -> str:
-    y, z = f"(2 * ({p}) - 1)", f"sqrt(-ln((1 - abs(2 * ({p}) - 1)) / 2))"
-    mid = f"{y} * (((-0.140543331 * {y} * {y} + 0.914624893) * {y} * {y} - 1.645349621) * {y} * {y} + 0.886226899) / ((((0.012229801 * {y} * {y} - 0.329097515) * {y} * {y} + 1.442710462) * {y} * {y} - 2.118377725) * {y} * {y} + 1)"
-    tail = f"sign({y}) * (((1.641345311 * {z} + 3.429567803) * {z} - 1.624906493) * {z} - 1.970840454) / ((1.637067800 * {z} + 3.543889200) * {z} + 1)"
+    """The quantile of ``linear.normal_quantile``, from the same coefficients."""
+    y = f"(2 * ({p}) - 1)"
+    z = f"sqrt(-ln((1 - abs({y})) / 2))"
+    poly = lambda x, cs: "(" + " + ".join(f"{c!r}::double * pow({x}, {k})" for k, c in enumerate(cs)) + ")"
+    mid = f"{y} * {poly(f'{y} * {y}', L.MID[0])} / {poly(f'{y} * {y}', L.MID[1])}"
+    tail = f"sign({y}) * {poly(z, L.TAIL[0])} / {poly(z, L.TAIL[1])}"
     return f"sqrt(2.0::double) * case when abs({y}) <= 0.7 then {mid} else {tail} end"
 
 
@@ -298,6 +316,8 @@ def vec_ops(spark, d):
 def model_prune(spark, d):
     """Weights relative to class 0; features on which all classes agree are dropped."""
     _, weights, _ = parts(spark, d)
+    bias = spark.createDataFrame([("**BIAS**", BIAS)], "f string, w array<double>")
+    weights = weights.unionByName(bias).select("f", F.posexplode("w").alias("c", "w")).withColumn("c", F.col("c").cast("long"))
     ids = E.dictionary(E.instances(spark, d))
     w = weights.join(ids, "f").select("f", "c", F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.col("w")).alias("w"))
     per = w.groupBy("f").agg(F.min_by("w", "c").alias("w0"), (F.max("w") - F.min("w")).alias("spread"))
@@ -314,12 +334,6 @@ ST = f"st as (select g.seq, g.t, g.label, coalesce(h.s, 0) as s from (select seq
 TR = f"tr as (select a.label as src, b.label as dst, {weight_sql(chr(39) + 'T' + chr(39), 'a.label', 'b.label')} as w from lab a, lab b)"
 
 
-def _py_weight(*p: str) -> float:
-    import hashlib
-
-    return int(hashlib.md5(":".join(p).encode()).hexdigest()[:10], 16) % 2000003 / 1e6 - 1.0
-
-
 def lattice() -> C.Lattice:
     moves = np.array([[_py_weight("T", a, b) for b in LABELS] for a in LABELS])
     return C.Lattice(moves, np.zeros(3), np.zeros(3))

@@ -1,9 +1,10 @@
 """Learners.  Losses and gradients are partial sums over partitions, added up in two steps; only
 the model, whose size is the features' times the labels', lives on the driver.
 
-Order-dependent learners (perceptron, passive-aggressive, stochastic gradient) train on each shard
+Order-dependent learners (perceptrons, passive-aggressive, stochastic gradient) train on each shard
 in a seeded order and mix the shards' weights after every pass; with one shard they are the
-sequential algorithms.  Shards are groups of bounded size chosen by row id."""
+sequential algorithms.  There is a shard for every ``SHARD_ROWS`` rows, chosen by a hash of the row's id,
+so that no task has more than about that many."""
 
 from __future__ import annotations
 
@@ -19,6 +20,9 @@ from turnloom.operators.chain import Lattice
 from turnloom.operators.optimise import conjugate_gradient, lbfgs
 
 
+SHARD_ROWS = 1 << 14
+
+
 def packed(encoded: DataFrame) -> DataFrame:
     """(rid, split, label, ids) of encoded rows, ids sorted."""
     return encoded.groupBy("rid", "split", "label").agg(F.sort_array(F.collect_list("id")).alias("ids"))
@@ -236,73 +240,116 @@ def logistic(rows: DataFrame, features: int, ridge: float, target: Callable[[pd.
 # order-dependent learners
 
 
-def _sharded(rows: DataFrame, shards: int, step: Callable[[list, list, np.ndarray, np.random.Generator], tuple[np.ndarray, np.ndarray, int]], w: np.ndarray, passes: int, seed: int) -> np.ndarray:
+def shards_of(rows: int, shards: int | None) -> int:
+    return shards or max(1, math.ceil(rows / SHARD_ROWS))
+
+
+class Average:
+    """Weights with the average of their values after each row, from the updates alone.
+
+    An update at row t counts T - t times of T, so that the average is the last value less the updates'
+    sum weighted by t / T."""
+
+    def __init__(self, w: np.ndarray):
+        self.w, self.late = w, np.zeros_like(w)
+
+    def add(self, at, change, t: int) -> None:
+        np.add.at(self.w, at, change)
+        np.add.at(self.late, at, t * change)
+
+    def mean(self, n: int) -> np.ndarray:
+        return self.w - self.late / max(n, 1)
+
+
+Update = Callable[[np.ndarray, int, Average, int], tuple[int, bool]]
+
+
+def _sharded(rows: DataFrame, shards: int | None, update: Update, shape: tuple[int, int], passes: int, seed: int, online: list | None = None) -> np.ndarray:
     """Passes over shards in a seeded order; shards' weights are averaged after each pass.
 
-    ``step`` gives the last weights, the average over the pass and the number of updates."""
-    rows = rows.select("rid", "label", "ids").withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards))).persist()
-    average, n = np.zeros_like(w), 0
+    ``update`` sees a row's ids and label, changes the weights, and gives its answer before that and
+    whether it changed anything.  ``online`` collects a table of (rid, pass, pred) for each pass."""
+    rows = rows.select("rid", "label", "ids").persist()
+    n_shards = shards_of(rows.count(), shards)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(n_shards)))
+    w, average, n = np.zeros(shape), np.zeros(shape), 0
 
-    def one_pass(w: np.ndarray, p: int):
+    def one_pass(w: np.ndarray, p: int, answers: bool):
         def run(g: pd.DataFrame) -> pd.DataFrame:
-            g = g.sort_values("rid")
+            g = g.sort_values("rid").reset_index(drop=True)
             rng = np.random.default_rng([seed, p, int(g["shard"].iloc[0])])
-            last, mean, updates = step([np.asarray(x, np.int64) for x in g["ids"]], g["label"].astype(int).tolist(), w.copy(), rng)
-            return pd.DataFrame({"last": [last.tobytes()], "mean": [mean.tobytes()], "updates": [updates]})
+            m, changed, said = Average(w.copy()), 0, np.zeros(len(g), np.int64)
+            for t, i in enumerate(rng.permutation(len(g))):
+                said[i], moved = update(np.asarray(g["ids"][i], np.int64), int(g["label"][i]), m, t)
+                changed += moved
+            if answers:
+                return pd.DataFrame({"rid": g["rid"], "pass": p, "pred": said})
+            return pd.DataFrame({"last": [m.w.tobytes()], "mean": [m.mean(len(g)).tobytes()], "updates": [changed]})
 
         return run
 
     for p in range(passes):
-        out = rows.groupBy("shard").applyInPandas(one_pass(w, p), "last binary, mean binary, updates bigint").collect()  # one row a shard
-        w = np.mean([np.frombuffer(r["last"]) for r in out], axis=0)
-        average, n = average + np.mean([np.frombuffer(r["mean"]) for r in out], axis=0), n + 1
+        if online is not None:
+            online.append(dealt.groupBy("shard").applyInPandas(one_pass(w, p, True), "rid bigint, pass int, pred bigint"))
+        out = dealt.groupBy("shard").applyInPandas(one_pass(w, p, False), "last binary, mean binary, updates bigint").collect()  # one row a shard
+        w = np.mean([np.frombuffer(r["last"]) for r in out], axis=0).reshape(shape) if out else w
+        average, n = average + (np.mean([np.frombuffer(r["mean"]) for r in out], axis=0).reshape(shape) if out else 0), n + 1
         if not sum(r["updates"] for r in out):
             break
     rows.unpersist()
     return average / max(n, 1)
 
 
-def perceptron(rows: DataFrame, features: int, classes: int, passes: int = 5, seed: int = 1, shards: int = 1, margin: bool = True) -> np.ndarray:
+def perceptron(rows: DataFrame, features: int, classes: int, passes: int = 5, seed: int = 1, shards: int | None = None, margin: bool = True) -> np.ndarray:
     """Averaged multiclass perceptron; on request wrong classes have a margin of 1 to clear. Ties go to the last class."""
 
-    def step(xs, ys, w, rng):
-        m, total, updates = w.reshape(features, classes), np.zeros((features, classes)), 0
-        for i in rng.permutation(len(xs)):
-            s = m[xs[i]].sum(0)
-            if margin:
-                s = s + 1
-                s[ys[i]] -= 1
-            got = classes - 1 - int(s[::-1].argmax())
-            if got != ys[i]:
-                np.add.at(m, (xs[i], ys[i]), 1.0)
-                np.add.at(m, (xs[i], got), -1.0)
-                updates += 1
-            total += m
-        return m.reshape(-1), (total / max(len(xs), 1)).reshape(-1), updates
-
-    return _sharded(rows, shards, step, np.zeros(features * classes), passes, seed).reshape(features, classes)
-
-
-def passive_aggressive(rows: DataFrame, features: int, classes: int, aggressiveness: float = 1.0, passes: int = 5, seed: int = 1, shards: int = 1, compat: bool = False) -> np.ndarray:
+    def update(x: np.ndarray, y: int, m: Average, t: int) -> tuple[int, bool]:
+        s = m.w[x].sum(0)
+        if margin:
+            s = s + 1
+            s[y] -= 1
+        got = classes - 1 - int(s[::-1].argmax())
+        if got != y:
+            m.add((x, y), 1.0, t)
+            m.add((x, got), -1.0, t)
+        return got, got != y
+
+    return _sharded(rows, shards, update, (features, classes), passes, seed)
+
+
+def one_vs_rest(rows: DataFrame, features: int, classes: int, passes: int = 5, seed: int = 1, shards: int | None = None, online: list | None = None) -> np.ndarray:
+    """A binary perceptron for each class, all in one pass: a class's weights move where it is on the wrong side of 0.
+
+    The answer is the class of the highest score, ties to the last.  ``online`` collects the answers that were
+    given before each update."""
+
+    def update(x: np.ndarray, y: int, m: Average, t: int) -> tuple[int, bool]:
+        s = m.w[x].sum(0)
+        side = np.where(np.arange(classes) == y, 1.0, -1.0)
+        wrong = s * side <= 0
+        for c in np.flatnonzero(wrong):
+            m.add((x, c), side[c], t)
+        return classes - 1 - int(s[::-1].argmax()), bool(wrong.any())
+
+    return _sharded(rows, shards, update, (features, classes), passes, seed, online)
+
+
+def passive_aggressive(rows: DataFrame, features: int, classes: int, aggressiveness: float = 1.0, passes: int = 5, seed: int = 1, shards: int | None = None, compat: bool = False) -> np.ndarray:
     """PA-II; ``compat`` moves features by one and the bias alone by the computed step."""
 
-    def step(xs, ys, w, rng):
-        m, total, updates = w.reshape(features, classes), np.zeros((features, classes)), 0
-        for i in rng.permutation(len(xs)):
-            s = m[xs[i]].sum(0)
-            rest = np.where(np.arange(classes) == ys[i], -np.inf, s)
-            got = int(rest.argmax())
-            loss = 1 - s[ys[i]] + rest[got]
-            if loss > 0:
-                tau = loss / (2 * len(xs[i]) + 1 / (2 * aggressiveness))
-                move = np.where(xs[i] == 0, tau, 1.0) if compat else np.full(len(xs[i]), tau)
-                np.add.at(m, (xs[i], ys[i]), move)
-                np.add.at(m, (xs[i], got), -move)
-                updates += 1
-            total += m
-        return m.reshape(-1), (total / max(len(xs), 1)).reshape(-1), updates
-
-    return _sharded(rows, shards, step, np.zeros(features * classes), passes, seed).reshape(features, classes)
+    def update(x: np.ndarray, y: int, m: Average, t: int) -> tuple[int, bool]:
+        s = m.w[x].sum(0)
+        rest = np.where(np.arange(classes) == y, -np.inf, s)
+        got = int(rest.argmax())
+        loss = 1 - s[y] + rest[got]
+        if loss > 0:
+            tau = loss / (2 * len(x) + 1 / (2 * aggressiveness))
+            move = np.where(x == 0, tau, 1.0) if compat else np.full(len(x), tau)
+            m.add((x, y), move, t)
+            m.add((x, got), -move, t)
+        return int(s.argmax()), loss > 0
+
+    return _sharded(rows, shards, update, (features, classes), passes, seed)
 
 
 # sequence models
@@ -359,29 +406,112 @@ def crf_fit(rows: DataFrame, labels: int, features: int, sigma: float = 10.0, l1
     return out
 
 
-def crf_sgd(rows: DataFrame, labels: int, features: int, sigma: float = 10.0, passes: int = 10, rate: float = 0.1, seed: int = 1, shards: int = 1) -> np.ndarray:
-    """Stochastic gradient with a falling rate over shards of sequences, mixed after each pass."""
-    partial = crf_partial(labels, features)
-    w = np.zeros(features * labels + labels * labels + 2 * labels)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(shards))).persist()
+class _Decayed:
+    """Weights as a scale times a vector, so that a decay of all of them costs nothing."""
+
+    def __init__(self, w: np.ndarray, features: int, labels: int):
+        self.scale, self.v = 1.0, w.copy()
+        cut = np.cumsum([features * labels, labels * labels, labels])
+        state, moves, self.begin, self.end = np.split(self.v, cut)  # views
+        self.state, self.moves = state.reshape(features, labels), moves.reshape(labels, labels)
+
+    def lattice(self) -> Lattice:
+        return Lattice(self.scale * self.moves, self.scale * self.begin, self.scale * self.end)
+
+    def step(self, ids: list[np.ndarray], gold: np.ndarray, rate: float, ridge: float) -> float:
+        """One sequence: its loss before the step."""
+        lat = self.lattice()
+        s = self.scale * np.stack([self.state[x].sum(0) for x in ids])
+        fw, bw = lat.forward(s), lat.backward(s)
+        z = float(np.logaddexp.reduce(fw[-1] + lat.end))
+        loss = z - lat.path_score(s, gold)
+        self.scale *= 1 - rate * ridge
+        by = rate / self.scale
+        d = np.exp(fw + bw - z)
+        d[np.arange(len(gold)), gold] -= 1
+        for x, row in zip(ids, d, strict=True):
+            np.add.at(self.state, x, -by * row)
+        for t in range(1, len(s)):
+            self.moves -= by * np.exp(fw[t - 1][:, None] + lat.moves + (s[t] + bw[t])[None] - z)
+            self.moves[gold[t - 1], gold[t]] += by
+        self.begin -= by * d[0]
+        self.end -= by * d[-1]
+        return loss
+
+    def weights(self) -> np.ndarray:
+        return self.scale * self.v
+
+
+def _sequence_pass(g: pd.DataFrame, w: np.ndarray, features: int, labels: int, order: np.ndarray, rate: Callable[[int], float], ridge: float) -> tuple[np.ndarray, float]:
+    m, loss = _Decayed(w, features, labels), 0.0
+    for k, i in enumerate(order):
+        ids, gold = [np.asarray(x, np.int64) for x in g["ids"][i]], np.asarray(g["gold"][i], np.int64)
+        loss += m.step(ids, gold, rate(k), ridge)
+    v = m.weights()
+    return v, loss
+
+
+def calibrated(sample: pd.DataFrame, labels: int, features: int, ridge: float, start: float = 0.1, candidates: int = 10, by: float = 2.0) -> float:
+    """The learning rate of least loss after a pass over a sample: from ``start`` on, times ``by`` while that
+    helps, else divided by it; at most ``candidates`` rates are tried."""
+    tail = np.arange(len(sample))
+    zero = np.zeros(features * labels + labels * labels + 2 * labels)
+
+    def after(rate: float) -> float:
+        with np.errstate(over="ignore", invalid="ignore"):
+            w, _ = _sequence_pass(sample, zero, features, labels, tail, lambda k: rate / (1 + rate * ridge * k), ridge)
+            loss, _ = crf_partial(labels, features)(sample, w)
+        return loss if np.isfinite(loss) else np.inf
+
+    best, rate, tried = after(start), start, 1
+    for factor in (by, 1 / by):
+        while tried < candidates:
+            loss, tried = after(rate * factor), tried + 1
+            if loss >= best:
+                break
+            best, rate = loss, rate * factor
+        if rate != start:
+            break
+    return rate
+
+
+def crf_sgd(rows: DataFrame, labels: int, features: int, sigma: float = 10.0, passes: int = 10, rate: float | None = None, seed: int = 1, shards: int | None = None, sample: int = 1000, period: int = 10, delta: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and loss by stochastic gradient with a falling rate over shards of sequences, mixed after each pass.
+
+    Without a ``rate`` it is calibrated on at most ``sample`` sequences, those of smallest hash.  The pass
+    of least loss stays; passes end when ``period`` of them have gained less than ``delta`` of the loss."""
+    rows = rows.persist()
     n = max(rows.count(), 1)
-    ridge = 1 / (sigma**2 * n)
+    n_shards, ridge = shards_of(n, shards), 1 / (sigma**2 * n)
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(n_shards)))
+    w = np.zeros(features * labels + labels * labels + 2 * labels)
+    if rate is None:
+        some = rows.orderBy(F.xxhash64("seq"), "seq").limit(sample).toPandas()
+        rate = calibrated(some, labels, features, ridge) if len(some) else 0.1
 
     def one_pass(w: np.ndarray, p: int):
         def run(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values("seq").reset_index(drop=True)
-            v = w.copy()
-            for k, i in enumerate(np.random.default_rng([seed, p, int(g["shard"].iloc[0])]).permutation(len(g))):
-                _, d = partial(g.iloc[i : i + 1], v)
-                v -= rate / (1 + rate * ridge * (p * len(g) + k)) * (d + ridge * v)
-            return pd.DataFrame({"w": [v.tobytes()]})
+            order = np.random.default_rng([seed, p, int(g["shard"].iloc[0])]).permutation(len(g))
+            v, loss = _sequence_pass(g, w, features, labels, order, lambda k: rate / (1 + rate * ridge * (p * len(g) + k)), ridge)
+            return pd.DataFrame({"w": [v.tobytes()], "loss": [loss]})
 
         return run
 
+    best, history = (np.inf, w), []
     for p in range(passes):
-        w = np.mean([np.frombuffer(r.w) for r in rows.groupBy("shard").applyInPandas(one_pass(w, p), "w binary").collect()], axis=0)
+        out = dealt.groupBy("shard").applyInPandas(one_pass(w, p), "w binary, loss double").collect()  # one row a shard
+        if not out:
+            break
+        w = np.mean([np.frombuffer(r.w) for r in out], axis=0)
+        loss = sum(r.loss for r in out) + ridge * n / 2 * float(w @ w)
+        history.append(loss)
+        if loss < best[0]:
+            best = (loss, w)
+        if len(history) > period and (history[-1 - period] - loss) / max(abs(loss), 1e-12) < delta:
+            break
     rows.unpersist()
-    return w
+    return best[1], best[0]
 
 
 # sampling

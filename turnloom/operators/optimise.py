@@ -33,10 +33,78 @@ def _pseudo(w: np.ndarray, g: np.ndarray, l1: float) -> np.ndarray:
     return out
 
 
-def lbfgs(f: Objective, w: np.ndarray, memory: int = 6, most: int = 150, eps: float = 1e-5, l1: float = 0.0, past: int = 0, delta: float = 1e-5, watch: Callable[[np.ndarray, float], None] | None = None) -> tuple[np.ndarray, float]:
-    """Minimise ``f``; with ``l1`` steps stay in one orthant (OWL-QN).
+def _cubic(a: float, fa: float, ga: float, b: float, fb: float, gb: float) -> float:
+    """Minimiser of the cubic through two values and slopes; the middle where it has none."""
+    if a == b:
+        return a
+    d = ga + gb - 3 * (fa - fb) / (a - b)
+    root = d * d - ga * gb
+    if root < 0:
+        return (a + b) / 2
+    r = np.sign(b - a) * np.sqrt(root)
+    below = gb - ga + 2 * r
+    return b - (b - a) * (gb + r - d) / below if below else (a + b) / 2
 
-    Steps shrink until both the loss falls enough and, without L1, its slope has flattened.  Stops at
+
+def more_thuente(along: Callable[[float], tuple[float, float]], f0: float, g0: float, step: float, ftol: float = 1e-4, gtol: float = 0.9, most: int = 40) -> float:
+    """A step of sufficient decrease and small slope, by the search of Moré and Thuente (1994).
+
+    ``along`` gives value and slope at a step.  The interval's best end is kept; until a step has
+    decreased enough with a rising slope, values are those of the function less the decrease that is
+    asked for, so that the interval holds a step that will do.  Trial steps are cubic or quadratic
+    minimisers, or halves where the interval has shrunk by less than a third in two trials."""
+    best, other = (0.0, f0, g0), (0.0, f0, g0)
+    bracketed, lowered = False, True
+    widths = [np.inf, np.inf]
+    for _ in range(most):
+        v, s = along(step)
+        bound = f0 + ftol * step * g0
+        if v <= bound and abs(s) <= gtol * -g0:
+            return step
+        if lowered and v <= bound and s >= min(ftol, gtol) * g0:
+            lowered = False
+        slack = ftol * g0 if lowered and v <= best[1] and v > bound else 0.0
+        (a, fa, ga), (b, fb, gb) = ((x, y - x * slack, z - slack) for x, y, z in (best, other))
+        t, ft, gt = step, v - step * slack, s - slack
+        if ft > fa:  # higher: the minimum is between
+            cubic, square = _cubic(a, fa, ga, t, ft, gt), a + ga / ((fa - ft) / (t - a) + ga) / 2 * (t - a)
+            new = cubic if abs(cubic - a) < abs(square - a) else (cubic + square) / 2
+            bracketed, other = True, (step, v, s)
+        else:
+            cubic, secant = _cubic(a, fa, ga, t, ft, gt), t + gt / (gt - ga) * (a - t) if gt != ga else t
+            if gt * ga < 0:  # lower, and the slope has turned
+                new = cubic if abs(cubic - t) >= abs(secant - t) else secant
+                bracketed, other = True, best
+            elif abs(gt) < abs(ga):  # lower and flatter
+                far = t + 4 * (t - a)
+                ahead = cubic if (cubic - t) * (t - a) > 0 else far
+                if bracketed:
+                    new = ahead if abs(ahead - t) < abs(secant - t) else secant
+                    limit = t + 0.66 * (b - t)
+                    new = min(new, limit) if t > a else max(new, limit)
+                else:
+                    new = min(max(ahead, secant), far)
+            else:  # lower, and no flatter
+                new = _cubic(b, fb, gb, t, ft, gt) if bracketed else t + 4 * (t - a)
+            best = (step, v, s)
+        low, high = sorted((best[0], other[0]))
+        if bracketed:
+            if high - low >= 0.66 * widths[0]:
+                new = best[0] + (other[0] - best[0]) / 2
+            widths = [widths[1], high - low]
+            if high - low <= 1e-16 * high:
+                break
+            new = min(max(new, low), high)
+        step = float(new) if np.isfinite(new) and new > 0 else step / 2
+    return best[0]
+
+
+def lbfgs(f: Objective, w: np.ndarray, memory: int = 6, most: int = 150, eps: float = 1e-5, l1: float = 0.0, past: int = 0, delta: float = 1e-5, watch: Callable[[np.ndarray, float], None] | None = None, search: str = "wolfe") -> tuple[np.ndarray, float]:
+    """Minimise ``f``; with ``l1`` steps stay in one orthant (OWL-QN) and only need to lower the loss.
+
+    ``search`` is what a step must do: ``armijo``: the loss falls enough; ``wolfe``: its slope has also
+    risen; ``strong``: its slope is also small; these by doubling and halving.  ``more-thuente`` asks for
+    the last by that search.  Stops at
     a gradient of ``eps`` times the weights' norm, or when ``past`` rounds gained less than ``delta``."""
     w = w.astype(float).copy()
     loss, g = f(w)
@@ -56,19 +124,33 @@ def lbfgs(f: Objective, w: np.ndarray, memory: int = 6, most: int = 150, eps: fl
             slope = d @ pg
         orthant = np.where(w != 0, np.sign(w), -np.sign(pg))
         step, low, high = (1.0 if pairs else 1.0 / max(np.linalg.norm(d), 1e-12)), 0.0, np.inf
-        for _ in range(40):
-            new = w + step * d
+        seen: dict[float, tuple[float, np.ndarray]] = {}
+
+        def at(t: float, w=w, d=d, orthant=orthant, seen=seen) -> tuple[np.ndarray, float, np.ndarray]:
+            new = w + t * d
             if l1:
                 new[new * orthant < 0] = 0
-            value, ng = f(new)
-            value += l1 * np.abs(new).sum()
-            if not np.isfinite(value) or value > loss + 1e-4 * (pg @ (new - w)):
-                high = step
-            elif not l1 and ng @ d < 0.9 * slope:
-                low = step
-            else:
-                break
-            step = (low + high) / 2 if np.isfinite(high) else 2 * step
+            if t not in seen:
+                seen.clear()
+                value, ng = f(new)
+                seen[t] = value + l1 * np.abs(new).sum(), ng
+            return new, *seen[t]
+
+        if search == "more-thuente" and not l1:
+            step = more_thuente(lambda t, at=at, d=d: (lambda x: (x[1], float(x[2] @ d)))(at(t)), loss, float(slope), step)
+            new, value, ng = at(step)
+        else:
+            for _ in range(40):
+                new, value, ng = at(step)
+                if not np.isfinite(value) or value > loss + 1e-4 * (pg @ (new - w)):
+                    high = step
+                elif not l1 and search != "armijo" and ng @ d < 0.9 * slope:
+                    low = step
+                elif not l1 and search == "strong" and ng @ d > -0.9 * slope:
+                    high = step
+                else:
+                    break
+                step = (low + high) / 2 if np.isfinite(high) else 2 * step
         if not np.isfinite(value) or value > loss:
             break
         s, y = new - w, ng - g

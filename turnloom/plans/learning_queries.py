@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from turnloom.operators import encode as E
@@ -12,7 +13,7 @@ from turnloom.operators import optimise as O
 from turnloom.operators import select as S
 from turnloom.operators.order import first_seen_ids
 from turnloom.plans.registry import query
-from turnloom.sources.units import unit_key, units
+from turnloom.sources.units import table, unit_key, units
 
 
 def _data(spark, d, least: int = 3):
@@ -35,7 +36,7 @@ def _report(spark, **values):
 def maxent_train(spark, d):
     rows, n = _data(spark, d)
     train, rest = _splits(rows)
-    m = N.MaxEnt(4, n).fit(train, 1.0, dev=rest, most=20)
+    m = N.MaxEnt(4, n).fit(train, 1.0, dev=rest)
     return _report(spark, train=m.accuracy(train), dev=m.accuracy(rest))
 
 
@@ -44,7 +45,7 @@ def maxent_grid(spark, d):
     """Best ridge of a grid by dev accuracy; of equals the first."""
     rows, n = _data(spark, d)
     train, rest = _splits(rows)
-    found = [(r, N.MaxEnt(4, n).fit(train, r, most=10).accuracy(rest)) for r in (0.1, 1.0, 10.0)]
+    found = [(r, N.MaxEnt(4, n).fit(train, r).accuracy(rest)) for r in (0.1, 1.0, 10.0)]
     best = max(a for _, a in found)
     return spark.createDataFrame([(r, float(a), r == next(x for x, y in found if y == best)) for r, a in found], "ridge double, accuracy double, best boolean")
 
@@ -57,31 +58,31 @@ def tune_halving(spark, d):
     def fit(ridge, w):
         m = N.MaxEnt(4, n)
         m.w = m.w if w is None else w
-        m.fit(train, ridge, most=8)
+        m.fit(train, ridge)
         return 1 - m.accuracy(rest), m.w
 
-    ridge, _ = N.halving(fit, 8.0, most=4)
+    ridge, _ = N.halving(fit, 8.0)
     return _report(spark, ridge=ridge)
 
 
 @query("logit_binary")
 def logit_binary(spark, d):
     rows, n = _data(spark, d)
-    w = N.logistic(rows.where("split = 'train'"), n, 1.0, lambda b: (b["label"].to_numpy() >= 2).astype(float), most=15)
+    w = N.logistic(rows.where("split = 'train'"), n, 1.0, lambda b: (b["label"].to_numpy() >= 2).astype(float))
     return _report(spark, norm=np.linalg.norm(w), bias=w[0])
 
 
 @query("logit_binomial")
 def logit_binomial(spark, d):
     rows, n = _data(spark, d)
-    w = N.logistic(rows.where("split = 'train'"), n, 1.0, lambda b: b["label"].to_numpy() / 3.0, most=15)
+    w = N.logistic(rows.where("split = 'train'"), n, 1.0, lambda b: b["label"].to_numpy() / 3.0)
     return _report(spark, norm=np.linalg.norm(w), bias=w[0])
 
 
 @query("lll_train")
 def lll_train(spark, d):
     rows, n = _data(spark, d, 8)
-    w, loss = N.latent_fit(rows.where("split = 'train'"), 4, n, 2, 1.0, most=10)
+    w, loss = N.latent_fit(rows.where("split = 'train'"), 4, n, 2, 1.0)
     return _report(spark, loss=loss, norm=np.linalg.norm(w))
 
 
@@ -99,21 +100,34 @@ def _hits(rows, m):
 def perceptron(spark, d):
     rows, n = _data(spark, d)
     two = rows.withColumn("label", (F.col("label") >= 2).cast("int"))
-    m = N.perceptron(two.where("split = 'train'"), n, 2, passes=3, margin=False)
+    m = N.perceptron(two.where("split = 'train'"), n, 2, margin=False)
     return _report(spark, train=_hits(two.where("split = 'train'"), m))
 
 
 @query("multitron")
 def multitron(spark, d):
     rows, n = _data(spark, d)
-    m = N.perceptron(rows.where("split = 'train'"), n, 4, passes=3)
+    m = N.perceptron(rows.where("split = 'train'"), n, 4)
     return _report(spark, train=_hits(rows.where("split = 'train'"), m))
 
 
+@query("one_vs_rest")
+def one_vs_rest(spark, d):
+    """Perceptrons of one label against the others, with the share of right answers given before each update, by pass."""
+    rows, n = _data(spark, d)
+    train, online = rows.where("split = 'train'"), []
+    m = N.one_vs_rest(train, n, 4, online=online)
+    out = [("train", round(float(_hits(train, m)), 6))]
+    for p, answers in enumerate(online):
+        right = answers.join(train.select("rid", "label"), "rid").agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
+        out.append((f"online_{p}", round(float(right or 0), 6)))
+    return spark.createDataFrame(out, "measure string, value double")
+
+
 @query("passive_aggressive")
 def passive_aggressive(spark, d):
     rows, n = _data(spark, d)
-    m = N.passive_aggressive(rows.where("split = 'train'"), n, 4, passes=3)
+    m = N.passive_aggressive(rows.where("split = 'train'"), n, 4)
     return _report(spark, train=_hits(rows.where("split = 'train'"), m))
 
 
@@ -131,22 +145,22 @@ def _items(spark, d):
 @query("crf_train")
 def crf_train(spark, d):
     seqs, n = _items(spark, d)
-    w, loss = N.crf_fit(seqs, 3, n, most=10)
+    w, loss = N.crf_fit(seqs, 3, n)
     return _report(spark, loss=loss, norm=np.linalg.norm(w))
 
 
 @query("crf_train_l1")
 def crf_train_l1(spark, d):
     seqs, n = _items(spark, d)
-    w, loss = N.crf_fit(seqs, 3, n, sigma=2.0, l1=True, most=10)
+    w, loss = N.crf_fit(seqs, 3, n, sigma=2.0, l1=True)
     return _report(spark, loss=loss, nonzero=np.count_nonzero(w))
 
 
 @query("crf_sgd")
 def crf_sgd(spark, d):
     seqs, n = _items(spark, d)
-    w = N.crf_sgd(seqs, 3, n, passes=2)
-    return _report(spark, norm=np.linalg.norm(w))
+    w, loss = N.crf_sgd(seqs, 3, n)
+    return _report(spark, loss=loss, norm=np.linalg.norm(w))
 
 
 @query("model_roundtrip")
@@ -163,20 +177,31 @@ def model_roundtrip(spark, d):
     return both.select("n", F.round("off", 12).alias("off"))
 
 
-@query("lbfgs_rosenbrock")
-def lbfgs_rosenbrock(spark, d):
-    """The optimiser on its classic test: the minimum is 0 at all ones."""
-
-    def f(x):
-        a, b = x[::2], x[1::2]
-        t1, t2 = 1 - a, 10 * (b - a * a)
-        g = np.empty_like(x)
-        g[1::2] = 20 * t2
-        g[::2] = -2 * (a * g[1::2] + t1)
-        return float((t1**2 + t2**2).sum()), g
-
-    x, loss = O.lbfgs(f, np.tile([-1.2, 1.0], 50), most=500)
-    return _report(spark, loss=loss, off=np.abs(x - 1).max())
+@query("lbfgs_search")
+def lbfgs_search(spark, d):
+    """Ridge regression of each embedding's last entry on the others by every line search, against the exact solution."""
+    rows = table(spark, d, "embeddings").select("embedding")
+
+    def moments(batches):
+        total = 0.0
+        for b in batches:
+            if len(b):
+                v = np.stack(b["embedding"].to_numpy()).astype(float)
+                total = total + v.T @ v
+        if np.ndim(total):
+            yield pd.DataFrame({"m": [total.tobytes()]})
+
+    found = [np.frombuffer(r.m) for r in rows.mapInPandas(moments, "m binary").collect()]  # one matrix a partition
+    m = sum(found)
+    k = int(np.sqrt(len(m)))
+    m = m.reshape(k, k)
+    a, b = m[:-1, :-1] + np.eye(k - 1), m[:-1, -1]
+    exact = np.linalg.solve(a, b)
+    out = []
+    for name in ("armijo", "wolfe", "strong", "more-thuente"):
+        x, _ = O.lbfgs(lambda w: (float(w @ a @ w / 2 - b @ w), a @ w - b), np.zeros(k - 1), most=500, eps=1e-9, search=name)
+        out.append((name, round(float(np.abs(x - exact).max()), 5)))
+    return spark.createDataFrame(out, "search string, off double")
 
 
 @query("density")

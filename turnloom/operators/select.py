@@ -15,14 +15,13 @@ def kernel_map(vectors: DataFrame, n: int, seed: int = 1, sample: int = 500) ->
     rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(sample).select("embedding").collect()
     pool = np.array([r.embedding for r in rows], float)
     rng, basis = np.random.default_rng(seed), []
-    for _ in range(n):
+    while len(basis) < n and len(pool) and np.abs(pool - pool[0]).max() > 1e-9:
         i = int(rng.integers(len(pool)))
         d = pool[int(((pool - pool[i]) ** 2).sum(1).argmax())] - pool[i]
-        for b in basis:
-            d = d - (d @ b) * b
-        if (size := np.linalg.norm(d)) < 1e-9:
-            break
-        basis.append(d / size)
+        basis.append(d / np.linalg.norm(d))
+        pool = pool - np.outer(pool @ basis[-1], basis[-1])  # what is left is orthogonal to all directions so far
+    if not basis:
+        return vectors.sparkSession.createDataFrame([], "vec_id bigint, k int, value double")
     m = np.stack(basis)
 
     def run(batches):

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def features(items: DataFrame) -> DataFrame:
-    """(kind, src, dst, freq) counts of state, transition, begin and end features.
+def features(items: DataFrame, least: float = 0.0) -> DataFrame:
+    """(kind, src, dst, freq) counts of state, transition, begin and end features, of those with ``least`` or more.
 
     ``items``: seq, t, label, attrs.  Every label has its begin and end feature."""
     w = Window.partitionBy("seq").orderBy("t")
@@ -31,7 +31,7 @@ def features(items: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("kind", "src", "dst").agg(F.sum("freq").alias("freq"))
+    return out.groupBy("kind", "src", "dst").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= least)
 
 
 def state_scores(items: DataFrame, weights: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,6 +133,14 @@ class Batch:
         return np.exp(fw + self.backward(lat) - np.repeat(self.log_norms(lat, fw), np.diff(self.bounds))[:, None])
 
 
+    def pair_marginals(self, lat: Lattice) -> tuple[np.ndarray, np.ndarray]:
+        """Items that have a successor, and the probabilities of their and its labels."""
+        fw, bw = self.forward(lat), self.backward(lat)
+        z = np.repeat(self.log_norms(lat, fw), np.diff(self.bounds))
+        at = np.flatnonzero(~self.ends)
+        return at, np.exp(fw[at][:, :, None] + lat.moves + (self.s[at + 1] + bw[at + 1])[:, None, :] - z[at][:, None, None])
+
+
 def lined_up(states: DataFrame, labels: list[str]) -> DataFrame:
     """(seq, t array, s array): the items of a sequence in order, their scores by label one after another."""
     item = states.groupBy("seq", "t").agg(*[F.max(F.when(F.col("label") == x, F.col("s"))).alias(f"s{k}") for k, x in enumerate(labels)])
@@ -180,3 +188,26 @@ def posteriors(states: DataFrame, labels: list[str], lattice: Lattice) -> DataFr
         return pa.RecordBatch.from_arrays([_per_item(b, seq).take(each), t.take(each), pa.array(labels).take(pa.array(np.tile(np.arange(k), n))), pa.array(b.marginals(lattice).reshape(-1))], ["seq", "t", "label", "p"])
 
     return _batched(states, labels, "seq string, t bigint, label string, p double", body)
+
+
+def gradient(items: DataFrame, states: DataFrame, labels: list[str], lattice: Lattice) -> DataFrame:
+    """(kind, src, dst, g): expected less observed counts of state, transition, begin and end features."""
+    k = len(labels)
+
+    def moves(b: Batch, seq: pa.Array, t: pa.Array) -> pa.RecordBatch:
+        _, p = b.pair_marginals(lattice)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(labels, k)), pa.array(np.tile(labels, k)), pa.array(p.sum(0).reshape(-1))], ["src", "dst", "p"])
+
+    post = posteriors(states, labels, lattice)
+    gold = items.select("seq", "t", F.col("label").alias("gold"), "attrs")
+    w = Window.partitionBy("seq").orderBy("t")
+    gold = gold.withColumn("first", F.lag("gold").over(w).isNull()).withColumn("last", F.lead("gold").over(w).isNull())
+    d = post.join(gold, ["seq", "t"]).withColumn("g", F.col("p") - F.when(F.col("label") == F.col("gold"), 1.0).otherwise(0.0))
+    kind = lambda name, src, dst: [F.lit(name).alias("kind"), src.alias("src"), dst.alias("dst"), F.col("g")]
+    state = d.select(*kind("state", F.explode("attrs"), F.col("label")))
+    begin = d.where("first").select(*kind("begin", F.lit(""), F.col("label")))
+    end = d.where("last").select(*kind("end", F.col("label"), F.lit("")))
+    pairs = _batched(states, labels, "src string, dst string, p double", moves).select(*kind("trans", F.col("src"), F.col("dst"))[:3], F.col("p").alias("g"))
+    seen = items.select(F.lag("label").over(w).alias("src"), F.col("label").alias("dst")).where("src is not null").select(*kind("trans", F.col("src"), F.col("dst"))[:3], F.lit(-1.0).alias("g"))
+    out = state.unionByName(begin).unionByName(end).unionByName(pairs).unionByName(seen)
+    return out.groupBy("kind", "src", "dst").agg(F.sum("g").alias("g"))

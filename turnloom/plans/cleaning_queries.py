@@ -10,7 +10,8 @@ from turnloom.operators import order as O
 from turnloom.operators.features import window_features
 from turnloom.plans.feature_queries import window_sql
 from turnloom.plans.registry import query
-from turnloom.sources.units import RAW_SQL, raw_lines, table, units, with_units
+from turnloom.sources.text_files import through_a_file
+from turnloom.sources.units import RAW_SQL, key_sql, raw_lines, table, unit_key, units, with_units
 
 PARSED = r"""parsed as (
   select lineno, nullif(regexp_extract(trim(value), '^([0-9]+),[0-9]+,', 1), '') as dyad, regexp_replace(trim(value), '^[0-9]+,[0-9]+,', '') as rest,
@@ -206,9 +207,20 @@ def _tsv(u):
     return u.select("dyad", "pos", F.concat_ws("\t", "dyad", F.lit("_"), "role", "code", F.regexp_replace("unit", "[\t\n]", " ")).alias("line"))
 
 
-@query("sink_dyads", with_units(f"select dyad, pos, {_TSV} as line from u"))
+def in_lines(lines: str) -> str:
+    """SQL of lines (dyad, pos, line) numbered as in a file in the order of units."""
+    return f"select row_number() over (order by {key_sql('dyad', 'pos')}) as pos, line as value from ({lines})"
+
+
+def in_a_file(rows, tag: str):
+    """(dyad, pos, line) written as a text file in the order of units, and scanned."""
+    keyed = rows.select(unit_key(F.col("dyad"), F.col("pos")).alias("key"), F.col("line").alias("value"))
+    return through_a_file(keyed, tag, "key")
+
+
+@query("sink_dyads", with_units(in_lines(f"select dyad, pos, {_TSV} as line from u")))
 def sink_dyads(spark, d):
-    return _tsv(units(spark, d))
+    return in_a_file(_tsv(units(spark, d)), "dyads")
 
 
 @query(
@@ -239,24 +251,27 @@ def project_unit(spark, d):
 
 @query(
     "write_features",
-    f"select dyad, pos, code || chr(9) || array_to_string(list_transform(string_split(feats, chr(9)), lambda f: 'F_' || f), chr(9)) as line from ({window_sql(1, 1)})",
+    in_lines(f"select dyad, pos, code || chr(9) || array_to_string(list_transform(string_split(feats, chr(9)), lambda f: 'F_' || f), chr(9)) as line from ({window_sql(1, 1)})"),
 )
 def write_features(spark, d):
     f = window_features(units(spark, d))
-    return f.select("dyad", "pos", F.concat_ws("\t", "code", F.array_join(F.transform(F.split("feats", "\t"), lambda x: F.concat(F.lit("F_"), F.regexp_replace(x, r"\s", "_"))), "\t")).alias("line"))
+    lines = f.select("dyad", "pos", F.concat_ws("\t", "code", F.array_join(F.transform(F.split("feats", "\t"), lambda x: F.concat(F.lit("F_"), F.regexp_replace(x, r"\s", "_"))), "\t")).alias("line"))
+    return in_a_file(lines, "features")
 
 
 @query(
     "write_crf_items",
-    f"select dyad, pos, code || chr(9) || array_to_string(list_transform(string_split(feats, chr(9)), lambda f: 'F_' || replace(f, ':', '\\:')), chr(9)) as line from ({window_sql(1, 1)}) "
-    "union all select cast(conv_id as varchar), max(turn) + 1, '' from conversations group by conv_id",
+    in_lines(
+        f"select dyad, pos, code || chr(9) || array_to_string(list_transform(string_split(feats, chr(9)), lambda f: 'F_' || replace(f, ':', '\\:')), chr(9)) as line from ({window_sql(1, 1)}) "
+        "union all select cast(conv_id as varchar), max(turn) + 1, '' from conversations group by conv_id"
+    ),
 )
 def write_crf_items(spark, d):
     """Items with escaped colons; an empty line ends each dyad."""
     f = window_features(units(spark, d))
     line = F.concat_ws("\t", "code", F.array_join(F.transform(F.split("feats", "\t"), lambda x: F.replace(F.concat(F.lit("F_"), F.regexp_replace(x, r"\s", "_")), F.lit(":"), F.lit("\\:"))), "\t"))
     ends = units(spark, d).groupBy("dyad").agg((F.max("pos") + 1).alias("pos")).withColumn("line", F.lit(""))
-    return f.select("dyad", "pos", line.alias("line")).unionByName(ends)
+    return in_a_file(f.select("dyad", "pos", line.alias("line")).unionByName(ends), "items")
 
 
 @query(

@@ -12,6 +12,7 @@ from turnloom.operators import order as O
 from turnloom.operators.lexicon import tag_tokens
 from turnloom.plans.registry import query
 from turnloom.sources import feature_text as T
+from turnloom.sources.text_files import a_path, specified, through_a_file, write_lines
 from turnloom.sources.units import TOKENS_SQL, key_parts, key_sql, table, token_items, unit_key, units, with_units
 
 
@@ -25,9 +26,10 @@ def of_unit(key: str):
 
 
 def lines_of(*rows: str):
-    """The same literal lines for Spark and for DuckDB."""
+    """The same literal lines as a text file for Spark, and for DuckDB."""
     values = ", ".join("({}, '{}')".format(i + 1, r.replace("'", "''")) for i, r in enumerate(rows))
-    return (lambda spark: spark.createDataFrame(list(enumerate(rows, 1)), "pos bigint, value string")), f"lines(pos, value) as (select cast(i as bigint), v from (values {values}) t(i, v))"
+    frame = lambda spark: spark.createDataFrame(list(enumerate(rows, 1)), "pos bigint, value string")
+    return (lambda spark: through_a_file(frame(spark).coalesce(1), "literal", "pos")), f"lines(pos, value) as (select cast(i as bigint), v from (values {values}) t(i, v))"
 
 
 SECTIONED = """sec as (
@@ -80,6 +82,21 @@ def scan_real_feats(spark, d):
     return rows.select(*of_unit("pos"), "name", "value")
 
 
+def _valued_sql() -> str:
+    return "with " + _VALUED_SQL + r""", w as (select pos, list_filter(string_split_regex(trim(regexp_replace(replace(value, '$$$OUTOFDOMAIN', ' '), '#.*$', '')), '\s+'), lambda x: x <> '') as w, contains(value, '$$$OUTOFDOMAIN') as ood from lines)
+select pos, w[1] as label, w[2 * k] as name, cast(w[2 * k + 1] as double) as value from (select *, unnest(range(1, (len(w) - 1) // 2 + 1)) as k from w where len(w) > 0 and not ood)"""
+
+
+_VALUED, _VALUED_SQL = lines_of("1 a 0.5 b 2 # note", "0 $$$OUTOFDOMAIN a 1", "2 c -1e-3", "# nothing", "1")
+
+
+@query("scan_valued", _valued_sql())
+def scan_valued(spark, d):
+    """Features with values, rows of the domain only."""
+    rows = T.valued(T.weighted_rows(_VALUED(spark)).where(~F.col("ood")))
+    return rows.select("pos", "label", "name", "value")
+
+
 _WEIGHTED, _WEIGHTED_SQL = lines_of("1 $$$WEIGHT 2.5 a b c", "0 a $$$TASK 3 b # note", "# only a comment", "2 $$$OUTOFDOMAIN x", "1 plain")
 
 
@@ -109,9 +126,22 @@ def scan_explicit(spark, d):
     return rows.select(*of_unit("pos"), "class", F.array_join("feats", " ").alias("feats"))
 
 
-@query("scan_filespec", with_units("select dyad, pos, 0.5 as weight from u where pos between 1 and 2 or pos = 4 or pos >= 6").replace("0.5 as", "cast(0.5 as double) as"))
+_LINES_OF_UNITS = "t as (select row_number() over (order by " + key_sql("dyad", "pos") + ") as pos, md5(unit) as value, role from u)"
+
+
+@query(
+    "scan_filespec",
+    with_units(
+        "select 0 as file, 'train' as split, pos, value, cast(0.5 as double) as weight from t where pos between 1 and 2 or pos = 4 or pos >= 6 "
+        "union all select 1, 'dev', pos, role, cast(1 as double) from t union all select 2, 'test', pos, value, cast(2 as double) from t where pos = 3",
+        _LINES_OF_UNITS,
+    ),
+)
 def scan_filespec(spark, d):
-    return T.file_ranges(units(spark, d), "1-2,4,6-end").select("dyad", "pos", F.lit(0.5).alias("weight"))
+    """Two files by a specification of three lines: a file may be named again with other lines and another weight."""
+    u = units(spark, d).select(unit_key(F.col("dyad"), F.col("pos")).alias("key"), F.md5("unit").alias("unit"), "role")
+    a, b = (write_lines(u, a_path(spark, "spec"), "key", value=c) for c in ("unit", "role"))
+    return specified(spark, [f"{a} train 1-2,4,6-end weight 0.5", f"{b} dev all", f"{a} test 3 weight 2"])
 
 
 @query(

@@ -18,7 +18,9 @@ from turnloom.operators import mdl as M
 from turnloom.operators.order import with_index
 from turnloom.plans.data_queries import xsql
 from turnloom.plans.registry import query
-from turnloom.sources.units import key_parts, table, units, with_units
+from turnloom.sources.shared import written
+from turnloom.sources.text_files import aligned, through_a_file
+from turnloom.sources.units import key_parts, table, unit_key, units, with_units
 
 
 def weight(*parts):
@@ -336,7 +338,7 @@ TR = f"tr as (select a.label as src, b.label as dst, {weight_sql(chr(39) + 'T' +
 
 def lattice() -> C.Lattice:
     moves = np.array([[_py_weight("T", a, b) for b in LABELS] for a in LABELS])
-    return C.Lattice(moves, np.zeros(3), np.zeros(3))
+    return C.Lattice(moves, np.array([_py_weight("B", x) for x in LABELS]), np.array([_py_weight("E", x) for x in LABELS]))
 
 
 def items(spark, d):
@@ -381,14 +383,40 @@ def crf_model_compact(spark, d):
     return with_index(w, "f", "label", name="id").select("id", "f", "label", r6("w").alias("w"))
 
 
-@query("crf_dump", csql("select 'LABEL' as section, label as a, '' as b, 0.0::double as w from lab union all select 'TRANSITION', src, dst, round(w, 6) from tr"))
-def crf_dump(spark, d):
-    m = lattice()
-    rows = [("LABEL", x, "", 0.0) for x in LABELS] + [("TRANSITION", a, b, round(float(m.moves[i, j]), 6)) for i, a in enumerate(LABELS) for j, b in enumerate(LABELS)]
-    return spark.createDataFrame(rows, "section string, a string, b string, w double")
+_MODEL = "cm as (select f, label, w, dense_rank() over (order by f) - 1 as attr from (select distinct f, label, " + weight_sql("f", "label") + " as w from att, lab) where w > 0.5)"
 
 
-_NUM = "n as (select *, row_number() over (partition by seq, label order by t) as k, count(*) over (partition by seq, label) as len from st)"
+@query(
+    "crf_dump",
+    csql(
+        "select 'FILEHEADER' as section, 'num_features' as a, '' as b, cast((select count(*) from cm) + 15 as double) as w union all select 'FILEHEADER', 'num_labels', '', 3 "
+        "union all select 'FILEHEADER', 'num_attrs', '', (select count(distinct attr) from cm) union all select 'LABELS', label, '', row_number() over (order by label) - 1 from lab "
+        "union all select distinct 'ATTRIBUTES', f, '', attr from cm union all select 'TRANSITIONS', src, dst, round(w, 6) from tr "
+        f"union all select 'TRANSITIONS_FROM_BOS', 'BOS', label, round({weight_sql(chr(39) + 'B' + chr(39), 'label')}, 6) from lab union all select 'TRANSITIONS_TO_EOS', label, 'EOS', round({weight_sql(chr(39) + 'E' + chr(39), 'label')}, 6) from lab "
+        "union all select 'STATE_FEATURES', f, label, round(w, 6) from cm",
+        _MODEL,
+    ),
+)
+def crf_dump(spark, d):
+    """A compact model by section: counts, labels, attributes numbered anew, moves, begins, ends and states."""
+    m = lattice()
+    labels = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    state = items(spark, d).select(F.explode("attrs").alias("f")).distinct().crossJoin(F.broadcast(labels)).select("f", "label", weight(F.col("f"), F.col("label")).alias("w")).where("w > 0.5")
+    state = written(state, "states")
+    attrs = with_index(state.select("f").distinct(), "f", name="id").select(F.lit("ATTRIBUTES").alias("section"), F.col("f").alias("a"), F.lit("").alias("b"), F.col("id").cast("double").alias("w"))
+    n = state.agg(F.count("*").alias("n"), F.countDistinct("f").alias("k")).first()
+    head = [("FILEHEADER", "num_features", "", float(n.n + 15)), ("FILEHEADER", "num_labels", "", 3.0), ("FILEHEADER", "num_attrs", "", float(n.k))] + [("LABELS", x, "", float(i)) for i, x in enumerate(LABELS)]
+    head += [("TRANSITIONS", a, b, round(float(m.moves[i, j]), 6)) for i, a in enumerate(LABELS) for j, b in enumerate(LABELS)]
+    head += [("TRANSITIONS_FROM_BOS", "BOS", x, round(float(m.begin[i]), 6)) for i, x in enumerate(LABELS)] + [("TRANSITIONS_TO_EOS", x, "EOS", round(float(m.end[i]), 6)) for i, x in enumerate(LABELS)]
+    states = state.select(F.lit("STATE_FEATURES").alias("section"), F.col("f").alias("a"), F.col("label").alias("b"), r6("w").alias("w"))
+    return spark.createDataFrame(head, "section string, a string, b string, w double").unionByName(attrs).unionByName(states)
+
+
+# weights of begin and end are part of the first and of the last item's scores
+_NUM = (
+    "n as (select seq, t, label, k, len, s + case when k = 1 then " + weight_sql("'B'", "label") + " else 0 end + case when k = len then " + weight_sql("'E'", "label") + " else 0 end as s "
+    "from (select *, row_number() over (partition by seq, label order by t) as k, count(*) over (partition by seq, label) as len from st))"
+)
 _VIT = (
     "v as (select seq, k, len, label, s as sc, [label] as path from n where k = 1 union all select * from (select v.seq, v.k + 1, any_value(v.len), n.label, max(v.sc + tr.w) + any_value(n.s), "
     "arg_max(v.path, v.sc + tr.w) || [n.label] from v join n on n.seq = v.seq and n.k = v.k + 1 join tr on tr.src = v.label and tr.dst = n.label group by v.seq, v.k, n.label))"
@@ -423,17 +451,90 @@ def crf_marginals(spark, d):
     return C.posteriors(states(spark, d), LABELS, lattice()).select("seq", "t", "label", r6("p").alias("p"))
 
 
-@query("crf_loglik", csql("select seq, round(g - log_norm, 6) as loglik from ln_z join gold using (seq)", _NUM, _FWD, _LN, "gold as (select seq, sum(s + coalesce(w, 0)) as g from (select i.seq, st.s, tr.w from (select *, lag(label) over (partition by seq order by t) as prev from it) i join st on st.seq = i.seq and st.t = i.t and st.label = i.label left join tr on tr.src = i.prev and tr.dst = i.label) group by seq)", recursive=True))
+@query("crf_loglik", csql("select seq, round(g - log_norm, 6) as loglik from ln_z join gold using (seq)", _NUM, _FWD, _LN, "gold as (select seq, sum(s + coalesce(w, 0)) as g from (select i.seq, n.s, tr.w from (select *, lag(label) over (partition by seq order by t) as prev from it) i join n on n.seq = i.seq and n.t = i.t and n.label = i.label left join tr on tr.src = i.prev and tr.dst = i.label) group by seq)", recursive=True))
 def crf_loglik(spark, d):
     st = states(spark, d)
     w = Window.partitionBy("seq").orderBy("t")
     m = lattice()
     tr = spark.createDataFrame([(a, b, float(m.moves[i, j])) for i, a in enumerate(LABELS) for j, b in enumerate(LABELS)], "prev string, label string, w double")
-    gold = items(spark, d).select("seq", "t", "label", F.lag("label").over(w).alias("prev")).join(st, ["seq", "t", "label"]).join(F.broadcast(tr), ["prev", "label"], "left")
-    total = gold.groupBy("seq").agg(F.sum(F.col("s") + F.coalesce("w", F.lit(0.0))).alias("g"))
+    ends = spark.createDataFrame([(x, float(m.begin[i]), float(m.end[i])) for i, x in enumerate(LABELS)], "label string, b double, e double")
+    gold = items(spark, d).select("seq", "t", "label", F.lag("label").over(w).alias("prev"), F.lead("label").over(w).isNull().alias("last")).join(F.broadcast(ends), "label").join(st, ["seq", "t", "label"]).join(F.broadcast(tr), ["prev", "label"], "left")
+    total = gold.groupBy("seq").agg(F.sum(F.col("s") + F.coalesce("w", F.lit(0.0)) + F.when(F.col("prev").isNull(), F.col("b")).otherwise(0.0) + F.when(F.col("last"), F.col("e")).otherwise(0.0)).alias("g"))
     return total.join(C.log_norms(st, LABELS, m), "seq").select("seq", r6(F.col("g") - F.col("log_norm")).alias("loglik"))
 
 
+_EXP = (
+    "mg as (select n.seq, n.t, n.k, n.label, exp(fw.z + bw.z - log_norm) as p from n join fw on n.seq = fw.seq and n.k = fw.k and n.label = fw.label join bw on n.seq = bw.seq and n.k = bw.k and n.label = bw.label join ln_z on n.seq = ln_z.seq)",
+    "pm as (select tr.src, tr.dst, exp(fw.z + tr.w + m.s + bw.z - log_norm) as p from fw join n m on m.seq = fw.seq and m.k = fw.k + 1 join tr on tr.src = fw.label and tr.dst = m.label join bw on bw.seq = m.seq and bw.k = m.k and bw.label = m.label join ln_z on ln_z.seq = fw.seq)",
+    "gt as (select lag(label) over (partition by seq order by t) as src, label as dst from it)",
+)
+
+
+@query(
+    "crf_gradient",
+    csql(
+        "select 'state' as kind, f as src, mg.label as dst, round(sum(p - cast(it.label = mg.label as integer)), 6) as g from att join it using (seq, t) join mg using (seq, t) group by f, mg.label union all "
+        "select 'trans', pm.src, pm.dst, round(sum(pm.p) - (select count(*) from gt where gt.src = pm.src and gt.dst = pm.dst), 6) from pm group by pm.src, pm.dst union all "
+        "select 'begin', '', mg.label, round(sum(p - cast(it.label = mg.label as integer)), 6) from mg join it using (seq, t) where k = 1 group by mg.label union all "
+        "select 'end', mg.label, '', round(sum(p - cast(it.label = mg.label as integer)), 6) from mg join it using (seq, t) where (seq, t) in (select (seq, max(t)) from it group by seq) group by mg.label",
+        _NUM, _FWD, _BWD, _LN, *_EXP, recursive=True,
+    ),
+)
+def crf_gradient(spark, d):
+    """Expected less observed counts of every feature, by one pass over the sequences."""
+    it, st = items(spark, d), states(spark, d)
+    return C.gradient(it, st, LABELS, lattice()).select("kind", "src", "dst", r6("g").alias("g"))
+
+
+@query("crf_features_min", csql("select 'state' as kind, f as src, label as dst, cast(count(*) as double) as freq from att join it using (seq, t) group by f, label having count(*) >= 3"))
+def crf_features_min(spark, d):
+    """State features of at least three occurrences."""
+    return C.features(items(spark, d), least=3).where("kind = 'state'")
+
+
+@query(
+    "tag_output",
+    csql("select row_number() over (order by cast(seq as bigint), t) as pos, line as value from (select seq, t, label || chr(9) || path[k] || chr(9) || 'turn ' || t as line from best join (select seq, t, label, row_number() over (partition by seq order by t) as k from it) using (seq) union all select seq, max(t) + 1, '' from it group by seq)", _NUM, _VIT, _BEST, recursive=True),
+)
+def tag_output(spark, d):
+    """Lines of reference, answer and comment, and an empty line after each sequence, in a file."""
+    found = items(spark, d).select("seq", "t", F.col("label").alias("ref")).join(C.decode(states(spark, d), LABELS, lattice()), ["seq", "t"])
+    lines = found.select("seq", "t", F.concat_ws("\t", "ref", "ans", F.concat(F.lit("turn "), F.col("t").cast("string"))).alias("value"))
+    ends = found.groupBy("seq").agg((F.max("t") + 1).alias("t")).withColumn("value", F.lit(""))
+    return through_a_file(lines.unionByName(ends).select(unit_key(F.col("seq"), F.col("t")).alias("key"), "value"), "tags", "key")
+
+
+_TOTALS = " || ',' || ".join(f"count(*) filter (ans = {c})" for c in range(4))
+_CELLS = " || ',' || ".join(f"coalesce(cast(nullif(count(*) filter (ans = {c}), 0) as varchar), '')" for c in range(4))
+
+
+@query(
+    "conf_csv",
+    msql(f"select 1 as pos, ',0,1,2,3,' as value union all select 2 + cast(ref as integer), ref || ',' || {_CELLS} || ',' || count(*) from ra group by ref union all select 6, ',' || {_TOTALS} || ',' from ra", KB, RA),
+)
+def conf_csv(spark, d):
+    """The confusion table as a CSV file: a head, a row a reference with its total, and the answers' totals."""
+    rows = ref_ans(spark, d)
+    labels = list(range(4))
+    counts = {c: F.count(F.when(F.col("ans") == c, 1)) for c in labels}
+    cell = lambda n: F.coalesce(F.nullif(n, F.lit(0)).cast("string"), F.lit(""))
+    per = rows.groupBy("ref").agg(F.concat_ws(",", F.first("ref").cast("string"), *map(cell, counts.values()), F.count("*").cast("string")).alias("value")).select((F.col("ref") + 2).alias("pos"), "value")
+    total = rows.agg(F.concat(F.lit(","), F.concat_ws(",", *[n.cast("string") for n in counts.values()]), F.lit(",")).alias("value")).select(F.lit(6).cast("long").alias("pos"), "value")
+    head = spark.createDataFrame([(1, "," + ",".join(map(str, labels)) + ",")], "pos bigint, value string")
+    return through_a_file(head.unionByName(per).unionByName(total), "confusion", "pos")
+
+
+@query("eval_files", msql("select cast(count(*) filter (ref = ans) as bigint) as correct, count(*) as total from ra", KB, RA))
+def eval_files(spark, d):
+    """References and answers as two files of lines, some of them empty, zipped again by place."""
+    rows = ref_ans(spark, d).select("rid", F.col("ref").cast("string").alias("ref"), F.concat_ws(" ", F.transform("kbest", lambda x: x.cast("string"))).alias("ans"))
+    empty = rows.where("rid % 7 = 0").select((F.col("rid") * 2 + 1).alias("key"), F.lit(" ").alias("value"))
+    ref = through_a_file(rows.select((F.col("rid") * 2).alias("key"), F.col("ref").alias("value")), "ref", "key")
+    ans = through_a_file(rows.select((F.col("rid") * 2).alias("key"), F.col("ans").alias("value")).unionByName(empty), "ans", "key")
+    both = aligned(ref, ans)
+    return both.agg(F.count(F.when(F.col("left") == F.substring_index("right", " ", 1), 1)).alias("correct"), F.count("*").alias("total"))
+
+
 @query(
     "coarse_fine_predict",
     msql(

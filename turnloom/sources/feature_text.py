@@ -68,6 +68,13 @@ def weighted_rows(lines: DataFrame) -> DataFrame:
     )
 
 
+def valued(rows: DataFrame) -> DataFrame:
+    """The rows of ``weighted_rows`` with names and values in turn, one feature a row; a name without a value is an error."""
+    odd = F.assert_true(F.size("feats") % 2 == 0, "a feature has no value")
+    pairs = F.transform(F.filter("feats", lambda x, i: i % 2 == 0), lambda x, i: F.struct(x.alias("name"), F.get("feats", 2 * i + 1).cast("double").alias("value")))
+    return rows.withColumn("odd", odd).where("odd is null").select("pos", "label", "weight", "task", "ood", F.inline(pairs))
+
+
 def explicit_rows(lines: DataFrame) -> DataFrame:
     """One feature list per class, separated by a lone ``#``, each with the class's bias."""
     parts = F.split("value", r"[ \t]+#[ \t]*", -1)

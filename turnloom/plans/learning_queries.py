@@ -131,7 +131,8 @@ def passive_aggressive(spark, d):
     return _report(spark, train=_hits(rows.where("split = 'train'"), m))
 
 
-def _items(spark, d):
+def _items(spark, d, names: bool = False):
+    """Sequences of turns with the ids of their words and their roles; the words in order of their ids on request."""
     u = units(spark, d)
     at = unit_key(F.col("dyad"), F.col("pos"))
     words = u.select(at.alias("p"), F.explode("toks").alias("f"))
@@ -139,7 +140,8 @@ def _items(spark, d):
     per = words.join(ids, "f").groupBy("p").agg(F.collect_set("id").alias("ids"))
     role = F.when(F.col("role") == "assistant", 0).when(F.col("role") == "user", 1).otherwise(2)
     rows = u.select(F.col("dyad").alias("seq"), F.col("pos").alias("t"), at.alias("p"), role.alias("label")).join(per, "p", "left")
-    return N.sequences(rows.select("seq", "t", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), "label")), ids.count()
+    seqs = N.sequences(rows.select("seq", "t", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), "label"))
+    return (seqs, ids.count(), [r.f for r in ids.orderBy("id").collect()]) if names else (seqs, ids.count())
 
 
 @query("crf_train")

@@ -76,7 +76,8 @@ def proposals(spark: SparkSession, paths: list[str], total: int, implicit: bool
     at = with_index(lines.where(F.trim("value") != ""), "file", "pos", name="k")
     n = at.agg(F.count("*").alias("n"))
     rounds = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(total) - 1 - F.col("k")) / F.col("n")))
-    taken = at.crossJoin(F.broadcast(n)).where(F.col("k") < total).select((F.explode(rounds) * F.col("n") + F.col("k")).alias("k"), "value")  # one row
+    taken = at.crossJoin(F.broadcast(n)).where(F.col("k") < total)  # one row
+    taken = taken.withColumn("r", F.explode(rounds)).select((F.col("r") * F.col("n") + F.col("k")).alias("k"), "value")
     w = F.filter(F.split("value", "[ \t]+"), lambda x: x != "")
     parts = taken.select("k", F.get(w, F.lit(0)).cast("double").alias("log_q"), F.slice(w, F.lit(2), F.size(w)).alias("f"))
     if implicit:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import materialize, release, small_batches, unused
+from turnloom.llm.store import in_files, materialize, release, small_batches, unused
 from turnloom.llm.words import LOWER, U64, WORD, Block, blocks, mix, text_block, windows
 
 SHINGLE, THRESHOLD = 5, 0.75
@@ -223,7 +223,7 @@ class _Links:
         with_b = with_a.join(t.toDF("b", "content_b"), "b").select("a", "b", "content_a", "content_b")
         new = materialize(with_b.mapInArrow(_verified, "a binary, b binary"), "links")
         before = self.labels
-        self.labels = components(new if before is None else new.union(before))
+        self.labels = components(new if before is None else new.union(before), new.count() + (before.count() if before is not None else 0))
         release(new, *([before] if before is not None else []))
 
     def crossing(self, pairs: DataFrame) -> DataFrame:
@@ -235,25 +235,25 @@ class _Links:
         return p.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).drop("c_a", "c_b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): component is the smallest node reached; a table of its own.
+def components(edges: DataFrame, n: int) -> DataFrame:
+    """(node, component) of ``n`` edges: component is the smallest node reached; a table of its own.
 
     Large-star and small-star rounds until nothing moves; a node's neighbours are never
     gathered, only their minimum, and each round is a table of its own."""
     u, v = edges.columns
-    e = materialize(edges.select(F.greatest(u, v).alias("node"), F.least(u, v).alias("component")).where("node != component").distinct(), "cc")
+    e = materialize(edges.select(F.greatest(u, v).alias("node"), F.least(u, v).alias("component")).where("node != component").distinct().transform(in_files, n), "cc")
     before = None
     while True:
         both = e.union(e.select("component", "node"))
         low = both.groupBy("node").agg(F.least(F.min("component"), F.col("node")).alias("m"))
         large = both.where("component > node").join(low, "node").select(F.col("component").alias("node"), F.col("m").alias("component"))
-        large = materialize(large.where("node != component").distinct(), "cc")
+        large = materialize(large.where("node != component").distinct().transform(in_files, 2 * n), "cc")
         low = large.groupBy("node").agg(F.min("component").alias("m"))
         small = large.join(low, "node").select(F.explode(F.array(F.struct(F.col("node"), F.col("m").alias("component")), F.struct(F.col("component").alias("node"), F.col("m").alias("component")))).alias("p"))
-        small = materialize(small.select("p.*").where("node != component").distinct(), "cc")
+        small = materialize(small.select("p.*").where("node != component").distinct().transform(in_files, 2 * n), "cc")
         now = small.agg(F.count("*"), F.expr("bit_xor(xxhash64(node, component))")).first()
         release(large, e)
-        e, same, before = small, now == before, now
+        e, n, same, before = small, now[0], now == before, now
         if same:
             return e
 

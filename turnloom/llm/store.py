@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from turnloom.sources.shared import release, shared_dir
 from turnloom.sources.shared import written as materialize
 
-__all__ = ["materialize", "release", "shared_dir", "small_batches", "unused"]
+__all__ = ["in_files", "materialize", "release", "shared_dir", "small_batches", "unused"]
+
+
+def in_files(df: DataFrame, rows: int, per_file: int = 1 << 16) -> DataFrame:
+    """As many partitions as about ``rows`` narrow rows need, so that a small table is not many small files."""
+    return df.coalesce(max(1, -(-rows // per_file)))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -232,9 +232,17 @@ def values(df):
     return {r[0]: r[1] for r in df.collect()}
 
 
-def test_training_queries(spark, small):
+def test_training_queries(spark, small, monkeypatch):
+    """Queries end to end, with few rounds a fit: fits to the end are tested above."""
     d, _ = small
     q = registry.queries()
+    for kind in (learn.MaxEnt, learn.Suite):
+        monkeypatch.setattr(kind, "fit", lambda self, *a, f=kind.fit, **k: f(self, *a, **{"most": 8, **k}))
+    logistic = learn.logistic
+    monkeypatch.setattr(learn, "logistic", lambda *a: logistic(*a, most=5))
+    assert set(values(q["suite_train"](spark, d))) == {"implicit", "values", "weights", "explicit", "costs", "adapted"}
+    held = q["crf_held_out"](spark, d).orderBy("round").collect()
+    assert held and all(a.loss >= b.loss for a, b in zip(held, held[1:], strict=False))
     assert values(q["maxent_train"](spark, d))["train"] > 0.4
     grid = q["maxent_grid"](spark, d).collect()
     assert [r.best for r in grid].count(True) == 1 and max(grid, key=lambda r: r.accuracy).accuracy == next(r.accuracy for r in grid if r.best)
@@ -252,3 +260,107 @@ def test_other_queries_without_sql(spark, small):
     spark.createDataFrame([(1, 0, "user", "I can't say \"no\", but they'll (maybe) cannot...")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{d}/tb/conversations.parquet")
     (r,) = q["tokenize_tb"](spark, f"{d}/tb").collect()
     assert r.unit == "I ca n't say `` no '' , but they 'll ( maybe ) can not ..."
+
+
+def suite_rows(rows, classes=3):
+    return [(i, x, [1.0] * len(x), [0.0 if c == y else 1.0 for c in range(classes)], 1.0) for i, _, y, x in rows]
+
+
+SUITE = "rid bigint, ids array<bigint>, vals array<double>, costs array<double>, weight double"
+
+
+def test_suite_layouts_agree(spark):
+    """One model by every layout that can say it: the plain learner, values, row weights and a list a class."""
+    rows = suite_rows(noisy())
+    plain = learn.MaxEnt(3, 8).fit(spark.createDataFrame(noisy(), KIND), 0.5, most=300)
+    same = lambda w: np.allclose(w, plain.w, atol=2e-3)
+    assert same(learn.Suite(3, 8).fit(spark.createDataFrame(rows, SUITE), 0.5, most=300).w)
+    halves = [(i, x, v, c, 0.5) for i, x, v, c, _ in rows for _ in range(2)]
+    assert same(learn.Suite(3, 8).fit(spark.createDataFrame(halves, SUITE), 0.5, most=300).w)
+    doubled = [(i, [f for f in x for _ in range(2)], [0.5] * (2 * len(x)), c, w) for i, x, v, c, w in rows]
+    assert same(learn.Suite(3, 8).fit(spark.createDataFrame(doubled, SUITE), 0.5, most=300).w)
+    listed = [(i, [[f * 3 + c for f in x] for c in range(3)], [v] * 3, cost, w) for i, x, v, cost, w in rows]
+    kind = SUITE.replace("ids array<bigint>, vals array<double>", "ids array<array<bigint>>, vals array<array<double>>")
+    assert same(learn.Suite(3, 24, explicit=True).fit(spark.createDataFrame(listed, kind), 0.5, most=300).w)
+
+
+def test_suite_gradient_with_costs():
+    b = pd.DataFrame(suite_rows(noisy(6)), columns=["rid", "ids", "vals", "costs", "weight"])
+    b["costs"] = [[0.0, 2.0, float("inf")], [1.0, 0.0, 3.0]] * 3
+    b["weight"] = [1.0, 2.5, 1.0, 0.5, 1.0, 1.0]
+    m, w = learn.Suite(3, 8), np.random.default_rng(2).normal(size=24)
+    _, g = m.partial(b, w)
+    for i in range(0, 24, 3):
+        e = np.zeros(24)
+        e[i] = 1e-5
+        assert abs((m.partial(b, w + e)[0] - m.partial(b, w - e)[0]) / 2e-5 - g[i]) < 1e-4
+
+
+def test_suite_options(spark):
+    df = spark.createDataFrame(suite_rows(noisy()), SUITE)
+    far = np.full(24, 0.3)
+    near = learn.Suite(3, 8).fit(df, 1e4, init=far, mean=far)
+    assert np.abs(near.w - far).max() < 0.01
+    early = learn.Suite(3, 8).fit(df, 0.5, dpp=10.0)
+    late = learn.Suite(3, 8).fit(df, 0.5, dpp=10.0, repeat=4)
+    loss = lambda m: learn.summed(df.select("ids", "vals", "costs", "weight"), m.partial, m.w)[0] + 0.25 * float(m.w @ m.w)
+    assert loss(late) < loss(early)
+    best = learn.Suite(3, 8).fit(df, 0.5, dev=df)
+    assert best.accuracy(df) >= learn.Suite(3, 8).fit(df, 0.5, dev=df, last=True).accuracy(df)
+
+
+def test_held_out_report(spark):
+    df, report = spark.createDataFrame(chains(), "seq string, ids array<array<bigint>>, gold array<bigint>"), []
+    w, loss = learn.crf_fit(df, 2, 5, sigma=3.0, held_out=df, report=report)
+    assert [k for k, _, _ in report] == list(range(1, len(report) + 1)) and abs(report[-1][1] - loss) < 1e-9
+    assert all(0 <= a <= 1 for _, _, a in report) and report[-1][2] > 0.7
+
+
+def test_model_files(spark, small):
+    d, _ = small
+    got = registry.queries()["model_files"](spark, d).collect()
+    assert {r.kind for r in got} == {"maxent", "maxent answers", "labelled", "binary", "latent", "chain"} and all(r.off < 1e-12 for r in got)
+
+
+def test_model_files_refuse_a_feature_twice(spark, tmp_path):
+    from turnloom.sources import models
+
+    (tmp_path / "m.txt").write_text("**BIAS**\t0.5 0.25\na\t1 2\na\t3 4\n")
+    with pytest.raises(ValueError, match="twice"):
+        models.load_maxent(spark, str(tmp_path / "m.txt"))
+
+
+def test_files_of_rows(spark, tmp_path):
+    from turnloom.sources import text_files
+
+    spec = ["a train all", "b dev 1-2,5-end weight 0.25", ""]
+    assert text_files.parsed_filespec(spec) == [("a", "train", "all", 1.0), ("b", "dev", "1-2,5-end", 0.25)]
+    for bad in ("a", "a other all", "a train all heavy 2", "a train all weight"):
+        with pytest.raises(ValueError):
+            text_files.parsed_filespec([bad])
+    left, right = (spark.createDataFrame(list(enumerate(x)), "pos int, value string") for x in (["a", " ", "b"], ["1", "2", "", ""]))
+    assert [(r.left, r.right) for r in text_files.aligned(left, right).orderBy("pos").collect()] == [("a", "1"), ("b", "2")]
+    with pytest.raises(Exception, match="differ in length"):
+        text_files.aligned(left, right.limit(1)).collect()
+
+
+def test_densities_and_slices():
+    from turnloom.operators import grammar
+
+    x = np.linspace(1e-6, 60, 400001)
+    assert abs(np.trapezoid([np.exp(grammar.log_gamma_density(v, 2.5, 1.5)) for v in x[::40]], x[::40]) - 1) < 1e-3
+    y = np.linspace(1e-6, 1 - 1e-6, 10001)
+    assert abs(np.trapezoid([np.exp(grammar.log_beta_density(v, 2.0, 3.0)) for v in y], y) - 1) < 1e-4
+    assert grammar.log_beta_density(1.5, 2, 2) == grammar.log_gamma_density(-1, 2, 2) == -np.inf
+    rng, v, seen = np.random.default_rng(1), 0.5, []
+    for _ in range(6000):
+        v = grammar.slice_sample(lambda t: grammar.log_beta_density(t, 2.0, 3.0), v, 0.0, 1.0, 0.2, rng)
+        seen.append(v)
+    assert abs(np.mean(seen) - 0.4) < 0.02 and abs(np.var(seen) - 0.04) < 0.008
+
+
+def test_annealed_chains(spark):
+    q = registry.queries()
+    rows = q["adaptor_annealed"](spark, "").collect()
+    assert len(rows) == 16 and rows[0].heat == 4.0 and rows[7].heat == 1.0
+    assert all(0 < r.discount < 1 and r.strength > 0 and 0 <= r.accepted <= 1 and r.log_p < 0 for r in rows)

@@ -158,6 +158,95 @@ class MaxEnt:
         return spark.createDataFrame(pd.DataFrame({"id": np.repeat(np.arange(len(m)), self.classes), "c": np.tile(np.arange(self.classes), len(m)), "w": m.reshape(-1)}))
 
 
+class Suite:
+    """Multiclass models of all layouts: rows of (rid, ids, vals, costs, weight).
+
+    *Implicit* rows have one list of features, with weights for every class; *explicit* ones a list for
+    each class, with weights in common.  ``vals`` are the features' values.  ``costs`` has an entry for
+    each class, of a single label 0 for it and 1 for the others: a class counts by what it saves
+    against the dearest one, and classes of infinite cost are left out.  ``weight`` counts the row."""
+
+    def __init__(self, classes: int, features: int, explicit: bool = False):
+        self.classes, self.features, self.explicit = classes, features, explicit
+        self.w = np.zeros(features if explicit else features * classes)
+
+    def _scored(self, b: pd.DataFrame, w: np.ndarray):
+        """Scores of rows by classes, and how a push of scores is turned into a gradient."""
+        n, k = len(b), self.classes
+        lists = [(i * k + c, x, v) for i, (xs, vs) in enumerate(zip(b["ids"], b["vals"], strict=True)) for c, (x, v) in enumerate(zip(xs, vs, strict=True))] if self.explicit else [(i, x, v) for i, (x, v) in enumerate(zip(b["ids"], b["vals"], strict=True))]
+        at = np.repeat([i for i, _, _ in lists], [len(x) for _, x, _ in lists]).astype(np.int64)
+        ids = np.concatenate([np.asarray(x, np.int64) for _, x, _ in lists]) if len(at) else np.zeros(0, np.int64)
+        vals = np.concatenate([np.asarray(v, float) for _, _, v in lists]) if len(at) else np.zeros(0)
+        if self.explicit:
+            s = np.bincount(at, w[ids] * vals, n * k).reshape(n, k)
+            return s, lambda d: np.bincount(ids, d.reshape(-1)[at] * vals, self.features)
+        m, s = w.reshape(-1, k), np.zeros((n, k))
+        np.add.at(s, at, m[ids] * vals[:, None])
+
+        def back(d: np.ndarray) -> np.ndarray:
+            g = np.zeros_like(m)
+            np.add.at(g, ids, d[at] * vals[:, None])
+            return g.reshape(-1)
+
+        return s, back
+
+    def partial(self, b: pd.DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
+        s, back = self._scored(b, w)
+        costs, weight = np.stack(b["costs"].to_numpy()).astype(float), b["weight"].to_numpy().astype(float)
+        allowed = np.isfinite(costs)
+        p, z = _softmax(np.where(allowed, s, -np.inf))
+        saved = np.where(allowed, np.where(allowed, costs, -np.inf).max(1, keepdims=True) - np.where(allowed, costs, 0), 0) * weight[:, None]
+        loss = float((saved * (z[:, None] - np.where(allowed, s, 0))).sum())
+        return loss, back(saved.sum(1, keepdims=True) * p - saved)
+
+    def fit(self, rows: DataFrame, ridge: float, dev: DataFrame | None = None, most: int = 100, dpp: float = 0.0, repeat: int = 1, init: np.ndarray | None = None, mean: np.ndarray | None = None, last: bool = False) -> Suite:
+        """Weights near ``mean`` by ``ridge``, from ``init`` on.
+
+        A run ends when the perplexity of a row falls by less than ``dpp``; it is ``repeat``ed from where it
+        ended, with no memory of its steps.  With dev rows the weights of the best answers stay, the later
+        of equals, unless the ``last`` are asked for."""
+        rows = rows.select("ids", "vals", "costs", "weight").persist()
+        total = max(rows.agg(F.sum("weight")).first()[0] or 0.0, 1e-12)
+        centre = np.zeros_like(self.w) if mean is None else mean
+        self.w = self.w if init is None else init.copy()
+        best = [-1.0, self.w]
+
+        def f(w):
+            loss, g = summed(rows, self.partial, w)
+            return loss + ridge / 2 * float((w - centre) @ (w - centre)), g + ridge * (w - centre)
+
+        def watch(w, _):
+            right = self.accuracy(dev, w)
+            if right >= best[0]:
+                best[:] = [right, w.copy()]
+
+        fewer = lambda a, b: 2.0 ** min(a / total / math.log(2), 1000) - 2.0 ** min(b / total / math.log(2), 1000) < dpp
+        for _ in range(repeat):
+            self.w, _ = lbfgs(f, self.w, memory=5, most=most, watch=watch if dev is not None else None, stop=fewer if dpp else None)
+        if dev is not None and not last and best[0] >= 0:
+            self.w = best[1]
+        rows.unpersist()
+        return self
+
+    def accuracy(self, rows: DataFrame, w: np.ndarray | None = None) -> float:
+        """Share of the rows' weight whose answer is a class of least cost."""
+
+        def part(b: pd.DataFrame, v: np.ndarray):
+            s, _ = self._scored(b, v)
+            costs, weight = np.stack(b["costs"].to_numpy()).astype(float), b["weight"].to_numpy().astype(float)
+            got = np.where(np.isfinite(costs), s, -np.inf).argmax(1)
+            right = costs[np.arange(len(b)), got] == costs.min(1)
+            return float(weight[right].sum()), np.concatenate(([weight.sum()], np.zeros(len(v) - 1)))
+
+        right, n = summed(rows.select("ids", "vals", "costs", "weight"), part, self.w if w is None else w)
+        return right / max(n[0], 1e-12)
+
+
+def costs_of(label, classes: int):
+    """0 for a row's label and 1 for the others."""
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.when(c == label, 0.0).otherwise(1.0))
+
+
 def halving(train: Callable[[float, np.ndarray | None], tuple[float, np.ndarray]], start: float, least: float = 2e-6, most: int = 20) -> tuple[float, np.ndarray]:
     """Halve the ridge, weights kept, until the dev error falls by less than ``least``."""
     ridge, w = start, None
@@ -392,8 +481,25 @@ def sequences(items: DataFrame) -> DataFrame:
     return items.groupBy("seq").agg(at.alias("x")).select("seq", F.transform("x", lambda x: x["ids"]).alias("ids"), F.transform("x", lambda x: x["label"]).alias("gold"))
 
 
-def crf_fit(rows: DataFrame, labels: int, features: int, sigma: float = 10.0, l1: bool = False, most: int = 100) -> tuple[np.ndarray, float]:
-    """L2 with variance sigma squared, or L1 with 1 / sigma; stops as ten rounds gain less than 1e-5."""
+def crf_hits(labels: int, features: int):
+    """Right labels of whole sequences by Viterbi, and how many labels there are."""
+
+    def run(b: pd.DataFrame, w: np.ndarray):
+        state, moves, begin, end = np.split(w, np.cumsum([features * labels, labels * labels, labels]))
+        state, lat = state.reshape(features, labels), Lattice(moves.reshape(labels, labels), begin, end)
+        right, n = 0, 0
+        for ids, gold in zip(b["ids"], b["gold"], strict=True):
+            path, _ = lat.viterbi(np.stack([state[np.asarray(x, np.int64)].sum(0) for x in ids]))
+            right, n = right + sum(int(a == y) for a, y in zip(path, gold, strict=True)), n + len(path)
+        return float(right), np.concatenate(([float(n)], np.zeros(len(w) - 1)))
+
+    return run
+
+
+def crf_fit(rows: DataFrame, labels: int, features: int, sigma: float = 10.0, l1: bool = False, most: int = 100, held_out: DataFrame | None = None, report: list | None = None) -> tuple[np.ndarray, float]:
+    """L2 with variance sigma squared, or L1 with 1 / sigma; stops as ten rounds gain less than 1e-5.
+
+    ``report`` collects (round, loss, accuracy on ``held_out``), which has no say in the weights."""
     rows = rows.persist()
     ridge = 0.0 if l1 else 1 / sigma**2
 
@@ -401,7 +507,11 @@ def crf_fit(rows: DataFrame, labels: int, features: int, sigma: float = 10.0, l1
         loss, g = summed(rows, crf_partial(labels, features), w)
         return loss + ridge / 2 * float(w @ w), g + ridge * w
 
-    out = lbfgs(f, np.zeros(features * labels + labels * labels + 2 * labels), most=most, l1=1 / sigma if l1 else 0.0, past=10)
+    def watch(w, loss):
+        right, n = summed(held_out, crf_hits(labels, features), w) if held_out is not None else (0.0, np.ones(1))
+        report.append((len(report) + 1, float(loss), right / max(n[0], 1)))
+
+    out = lbfgs(f, np.zeros(features * labels + labels * labels + 2 * labels), most=most, l1=1 / sigma if l1 else 0.0, past=10, watch=watch if report is not None else None)
     rows.unpersist()
     return out
 

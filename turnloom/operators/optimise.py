@@ -99,13 +99,14 @@ def more_thuente(along: Callable[[float], tuple[float, float]], f0: float, g0: f
     return best[0]
 
 
-def lbfgs(f: Objective, w: np.ndarray, memory: int = 6, most: int = 150, eps: float = 1e-5, l1: float = 0.0, past: int = 0, delta: float = 1e-5, watch: Callable[[np.ndarray, float], None] | None = None, search: str = "wolfe") -> tuple[np.ndarray, float]:
+def lbfgs(f: Objective, w: np.ndarray, memory: int = 6, most: int = 150, eps: float = 1e-5, l1: float = 0.0, past: int = 0, delta: float = 1e-5, watch: Callable[[np.ndarray, float], None] | None = None, search: str = "wolfe", stop: Callable[[float, float], bool] | None = None) -> tuple[np.ndarray, float]:
     """Minimise ``f``; with ``l1`` steps stay in one orthant (OWL-QN) and only need to lower the loss.
 
     ``search`` is what a step must do: ``armijo``: the loss falls enough; ``wolfe``: its slope has also
     risen; ``strong``: its slope is also small; these by doubling and halving.  ``more-thuente`` asks for
     the last by that search.  Stops at
-    a gradient of ``eps`` times the weights' norm, or when ``past`` rounds gained less than ``delta``."""
+    a gradient of ``eps`` times the weights' norm, when ``past`` rounds gained less than ``delta``, or when ``stop`` says so of the losses before and
+    after a round."""
     w = w.astype(float).copy()
     loss, g = f(w)
     loss += l1 * np.abs(w).sum()
@@ -160,6 +161,8 @@ def lbfgs(f: Objective, w: np.ndarray, memory: int = 6, most: int = 150, eps: fl
         history.append(loss)
         if watch:
             watch(w, loss)
+        if stop and stop(history[-2], loss):
+            break
         if past and len(history) > past and (history[-1 - past] - loss) / max(abs(loss), 1e-12) < delta:
             break
     return w, loss

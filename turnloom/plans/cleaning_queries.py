@@ -232,7 +232,7 @@ def scan_dyads(spark, d):
     return f.select(*[F.get("f", F.lit(i)).alias(n) for i, n in ((0, "dyad"), (2, "role"), (3, "code"), (4, "unit"))])
 
 
-@query("sink_partitioned")
+@query("sink_partitioned", with_units("select dyad, count(*) as n from u group by dyad"))
 def sink_partitioned(spark, d):
     """One folder per dyad, read back."""
     import uuid
@@ -241,7 +241,7 @@ def sink_partitioned(spark, d):
 
     path = f"{shared_dir(spark)}/turnloom/dyads-{uuid.uuid4().hex}"
     units(spark, d).select("dyad", "pos", "role", "code", "unit").repartition("dyad").write.partitionBy("dyad").parquet(path)
-    return spark.read.parquet(path).groupBy("dyad").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).groupBy(F.col("dyad").cast("string").alias("dyad")).agg(F.count("*").alias("n"))
 
 
 @query("project_unit", with_units("select unit from u"))

@@ -12,7 +12,9 @@ from turnloom.operators import learn as N
 from turnloom.operators import optimise as O
 from turnloom.operators import select as S
 from turnloom.operators.order import first_seen_ids
+from turnloom.plans.data_queries import lines_of
 from turnloom.plans.registry import query
+from turnloom.sources.feature_text import grammar_rules
 from turnloom.sources.units import table, unit_key, units
 
 
@@ -96,6 +98,44 @@ def _hits(rows, m):
     return right / max(n[0], 1)
 
 
+def _suite_rows(rows):
+    one = F.transform("ids", lambda x: F.lit(1.0))
+    return rows.select("rid", "split", "label", "ids", one.alias("vals"), N.costs_of(F.col("label"), 4).alias("costs"), F.lit(1.0).alias("weight"))
+
+
+@query("suite_train")
+def suite_train(spark, d):
+    """Multiclass training in every layout: features with values, row weights, a list a class, costs, and adaptation."""
+    rows, n = _data(spark, d, 8)
+    x = _suite_rows(rows)
+    train, rest = _splits(x)
+    out = {}
+    plain = N.Suite(4, n).fit(train, 1.0, dev=rest)
+    out["implicit"] = plain.accuracy(train)
+    shares = train.withColumn("vals", F.transform("ids", lambda i: 1.0 / F.size("ids")))
+    out["values"] = N.Suite(4, n).fit(shares, 0.1).accuracy(shares)
+    heavy = train.withColumn("weight", F.when(F.col("label") == 0, 3.0).otherwise(1.0))
+    out["weights"] = N.Suite(4, n).fit(heavy, 1.0).accuracy(heavy)
+    lists = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda c: F.transform("ids", lambda i: c * n + i))
+    listed = train.withColumn("vals", F.array_repeat("vals", 4)).withColumn("ids", lists)
+    out["explicit"] = N.Suite(4, 4 * n, explicit=True).fit(listed, 1.0).accuracy(listed)
+    costly = train.withColumn("costs", F.transform("costs", lambda c, i: F.when(i == (F.col("label") + 2) % 4, float("inf")).otherwise(c * (1 + F.abs(i - F.col("label"))))))
+    out["costs"] = N.Suite(4, n).fit(costly, 1.0).accuracy(costly)
+    few = train.where("rid % 3 = 0")
+    out["adapted"] = N.Suite(4, n).fit(few, 5.0, init=plain.w, mean=plain.w, dpp=1e-4, repeat=2).accuracy(rest)
+    return _report(spark, **out)
+
+
+@query("crf_held_out")
+def crf_held_out(spark, d):
+    """Loss and accuracy on a fifth of the conversations after each round."""
+    seqs, n = _items(spark, d)
+    fifth = F.pmod(F.xxhash64("seq"), F.lit(5)) == 0
+    report: list = []
+    N.crf_fit(seqs.where(~fifth), 3, n, most=20, held_out=seqs.where(fifth), report=report)
+    return spark.createDataFrame([(k, round(float(l), 6), round(float(a), 6)) for k, l, a in report], "round int, loss double, accuracy double")
+
+
 @query("perceptron")
 def perceptron(spark, d):
     rows, n = _data(spark, d)
@@ -208,11 +248,12 @@ def lbfgs_search(spark, d):
 
 @query("density")
 def density(spark, d):
-    """A sampler's visits to proposals against their exact shares."""
-    scores, log_q = np.array([0.0, 1.0, 2.0, 0.5]), np.log(np.array([0.4, 0.3, 0.2, 0.1]))
-    seen = N.metropolis_log_partition(scores, log_q, n=500, spacing=5)
+    """A sampler's visits to proposals, the codes of units by their share, against their exact shares under scores."""
+    u = units(spark, d).groupBy("code").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("score")).orderBy("code").collect()  # as many as codes
+    n, scores = np.array([float(r.n) for r in u]), np.array([r.score / 20 for r in u])
+    seen = N.metropolis_log_partition(scores, np.log(n / n.sum()), n=2000, spacing=5)
     exact = np.exp(scores - np.logaddexp.reduce(scores))
-    return spark.createDataFrame([(k, float((seen == k).mean()), float(exact[k])) for k in range(4)], "state int, share double, exact double")
+    return spark.createDataFrame([(r.code, float((seen == k).mean()), float(exact[k])) for k, r in enumerate(u)], "code string, share double, exact double")
 
 
 @query("kernelmap")
@@ -228,18 +269,30 @@ def abffs(spark, d):
     return S.greedy_features(E.long_form(x).select("rid", "f"), x.select("rid", "label"), rounds=3, per_round=3)
 
 
-TOY = [(1.0, "S", "NP VP"), (2.0, "NP", "Det N"), (1.0, "NP", "N"), (1.0, "VP", "V NP"), (1.0, "VP", "V"), (1.0, "Det", "the"), (1.0, "N", "dog"), (1.0, "N", "cat"), (1.0, "V", "sees"), (1.0, "V", "runs")]
-SENTENCES = ["the dog sees the cat", "the cat runs", "dog sees cat", "the dog runs", "cat sees the dog"]
+_TOY, _TOY_SQL = lines_of("1 S --> NP VP", "2 NP --> Det N", "1 NP --> N", "1 VP --> V NP", "1 VP --> V", "1 Det --> the", "1 N --> dog", "1 N --> cat", "1 V --> sees", "1 V --> runs")
+_SENTENCES, _ = lines_of("the dog sees the cat", "the cat runs", "dog sees cat", "the dog runs", "cat sees the dog")
+
+
+def _toy(spark):
+    """A grammar and sentences from their files; every chart holds both."""
+    rules = G.normalised([(r.weight, r.parent, r.children) for r in grammar_rules(_TOY(spark)).orderBy("pos").collect()])
+    return rules, [r.value for r in _SENTENCES(spark).orderBy("pos").collect()]
 
 
-@query("pcfg_inside")
+@query(
+    "pcfg_inside",
+    """with np(s, p) as (values ('the dog', 2.0 / 3 * 0.5), ('the cat', 2.0 / 3 * 0.5), ('dog', 1.0 / 3 * 0.5), ('cat', 1.0 / 3 * 0.5)), v(s, p) as (values ('sees', 0.5), ('runs', 0.5)),
+vp as (select v.s || ' ' || np.s as s, 0.5 * v.p * np.p as p from v, np union all select s, 0.5 * p from v), all_of as (select np.s || ' ' || vp.s as s, np.p * vp.p as p from np, vp)
+select s as sentence, cast(p as double) as p from all_of where s in ('the dog sees the cat', 'the cat runs', 'dog sees cat', 'the dog runs', 'cat sees the dog')""",
+)
 def pcfg_inside(spark, d):
-    """Probability of each toy sentence under a normalised grammar."""
-    rules = G.normalised(TOY)
-    return spark.createDataFrame([(s, G.Chart(rules, tuple(s.split())).inside("S", 0, len(s.split()))) for s in SENTENCES], "sentence string, p double")
+    """Probability of each sentence under a normalised grammar."""
+    rules, sentences = _toy(spark)
+    return spark.createDataFrame([(s, G.Chart(rules, tuple(s.split())).inside("S", 0, len(s.split()))) for s in sentences], "sentence string, p double")
 
 
 @query("adaptor_gibbs")
 def adaptor_gibbs(spark, d):
-    """Two chains of an adapted grammar over the toy sentences."""
-    return G.chains(spark, G.normalised(TOY), "S", SENTENCES, ("NP",), 5, [1, 2])
+    """Two chains of an adapted grammar over the sentences."""
+    rules, sentences = _toy(spark)
+    return G.chains(spark, rules, "S", sentences, ("NP",), 5, [1, 2])

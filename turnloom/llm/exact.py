@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import materialize, release, small_batches, unused
+from turnloom.llm.store import by_input, materialize, release, small_batches, unused
 
 TABLE_BYTES = 48 << 20
 LOCAL = "content binary, keep_id bigint, n bigint"
@@ -130,7 +130,7 @@ def content_classes(docs: DataFrame, total_bytes: int, table_bytes: int = TABLE_
     done, level = None, 1
     while True:
         dealt = records.repartition(n, F.xxhash64("content", F.lit(level))).mapInArrow(_bucket(table_bytes, level), DEALT)
-        dealt = materialize(dealt, f"grace{level}")
+        dealt = materialize(by_input(dealt, docs), f"grace{level}")
         found = dealt.where("content is null").select("text_sha256", "keep_id", "n")
         done = found if done is None else done.unionByName(found)
         spilled = dealt.where("content is not null").select("content", "keep_id", "n")
@@ -142,7 +142,7 @@ def content_classes(docs: DataFrame, total_bytes: int, table_bytes: int = TABLE_
 def exact_classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce("text", F.lit(""))
-    keyed = materialize(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("bytes")), "keyed")
+    keyed = materialize(by_input(docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.octet_length(text).cast("long").alias("bytes")), docs), "keyed")
     total = keyed.agg(F.sum("bytes")).first()[0] or 0
     classes = content_classes(docs, total, table_bytes)
     return keyed.join(classes, "text_sha256").select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -162,7 +162,7 @@ def exact_dedup_stage(docs: DataFrame) -> DataFrame:
     kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias(one), F.col("text_sha256").alias(mark)).distinct()
     same = F.col("l.doc_id").eqNullSafe(F.col(f"r.{one}")) & (F.col(f"l.{mark}") == F.col(f"r.{mark}"))
     stay = docs.withColumn(mark, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("l").join(kept.alias("r"), same, "left_semi")
-    return stay.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    return by_input(stay.dropDuplicates(["doc_id", mark]).select(*docs.columns), docs)
 
 
 OP5_SQL = """

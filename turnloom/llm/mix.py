@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnloom.llm.store import materialize, release, unused
+from turnloom.llm.store import by_input, materialize, release, unused
 from turnloom.llm.words import word_count
 
 HASH_BITS = 60
@@ -108,7 +108,8 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, hash) of all documents, and the plan of every source."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash(F.col("doc_id"), F.col("text")).alias("hash")), "sized")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    sized = materialize(by_input(sized, docs), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return sized, thresholds(sized, source_targets(totals))
 
@@ -134,7 +135,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     ours = plan.select(F.col("source").alias(s), F.col("copies").alias(copies), F.col("cut").alias(cut))
     n = F.col(copies) + F.when(text_hash(F.col("doc_id"), F.col("text")) < F.col(cut), 1).otherwise(0)
     out = docs.join(ours, docs["source"].eqNullSafe(ours[s]), "left")
-    return out.withColumn(k, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*docs.columns)
+    return by_input(out.withColumn(k, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*docs.columns), docs)
 
 
 OP2_SQL = r"""

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import in_files, materialize, release, small_batches, unused
+from turnloom.llm.store import by_input, in_files, materialize, release, small_batches, unused
 from turnloom.llm.words import LOWER, U64, WORD, Block, blocks, mix, text_block, windows
 
 SHINGLE, THRESHOLD = 5, 0.75
@@ -203,25 +203,27 @@ class _Links:
         self.texts: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with their estimate, without those that the sketches rule out."""
+    def likely(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Those of up to ``n`` pairs (a, b) that the sketches do not rule out, with their estimate."""
         s = self.classes.select("set_id", "sketch", "n_shingles")
         both = pairs.join(s.toDF("a", "sketch_a", "n_a"), "a").join(s.toDF("b", "sketch_b", "n_b"), "b")
-        return materialize(both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(_estimated, "a binary, b binary, likely double"), "likely")
+        found = both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b").mapInArrow(_estimated, "a binary, b binary, likely double")
+        return materialize(in_files(found, n), "likely")
 
     def fetch(self, members: DataFrame) -> None:
         """Keep the texts of all classes that share a bucket: one row's text stands for its class."""
         ids = members.select("x").distinct().withColumnRenamed("x", "set_id")
         ids = ids.join(self.classes.select("set_id", "first_id", "first_md5"), "set_id")
         text = self.docs.select(F.col("doc_id").alias("d"), _md5().alias("m"), F.col("text").cast("binary").alias("content"))
-        self.texts = materialize(text.join(ids, text["d"].eqNullSafe(ids["first_id"]) & (text["m"] == ids["first_md5"])).select("set_id", "content"), "texts")
+        found = text.join(ids, text["d"].eqNullSafe(ids["first_id"]) & (text["m"] == ids["first_md5"])).select("set_id", "content")
+        self.texts = materialize(by_input(found, self.docs), "texts")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Add the links among ``pairs`` to the components."""
+    def verify(self, pairs: DataFrame, n: int) -> None:
+        """Add the links among up to ``n`` pairs to the components."""
         t = self.texts
         with_a = pairs.select("a", "b").join(t.toDF("a", "content_a"), "a")
         with_b = with_a.join(t.toDF("b", "content_b"), "b").select("a", "b", "content_a", "content_b")
-        new = materialize(with_b.mapInArrow(_verified, "a binary, b binary"), "links")
+        new = materialize(in_files(with_b.mapInArrow(_verified, "a binary, b binary"), n, 1 << 12), "links")
         before = self.labels
         self.labels = components(new if before is None else new.union(before), new.count() + (before.count() if before is not None else 0))
         release(new, *([before] if before is not None else []))
@@ -260,33 +262,36 @@ def components(edges: DataFrame, n: int) -> DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_md5."""
-    rows = materialize(sketched(docs), "sketches")
+    rows = materialize(by_input(sketched(docs), docs), "sketches")
     classes = rows.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("text_md5", "doc_id"), F.min("text_md5")).alias("first_md5"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")
     )
-    classes = materialize(classes, "classes")
+    classes = materialize(in_files(classes, rows.count(), 1 << 13), "classes")
+    most = REGISTERS // BAND * classes.count()
     bands = classes.select("set_id", "sketch").mapInArrow(_bands, "band bigint, set_id binary")
     heads = bands.groupBy("band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top"), F.count("*").alias("k")).where("b != top").drop("top")
-    members = materialize(bands.join(heads, "band").select("band", F.col("set_id").alias("x"), "b", "k"), "members")
+    members = materialize(in_files(bands.join(heads, "band").select("band", F.col("set_id").alias("x"), "b", "k"), most, 1 << 17), "members")
     work = _Links(docs, classes)
-    if not members.isEmpty():
+    n = members.count()
+    if n:
         work.fetch(members)
-        star = work.likely(members.where("x != b").select(F.col("x").alias("a"), "b").distinct())
-        if not star.isEmpty():
+        star = work.likely(members.where("x != b").select(F.col("x").alias("a"), "b").distinct(), n)
+        if pairs := star.count():
             best = star.groupBy("a").agg(F.max_by("b", F.struct("likely", "b")).alias("b"))
-            work.verify(best)
-            work.verify(work.crossing(star).join(best, ["a", "b"], "left_anti"))
-        again = work.likely(work.crossing(_second_star(members)))
-        if not again.isEmpty():
-            work.verify(again)
+            work.verify(best, pairs)
+            work.verify(work.crossing(star).join(best, ["a", "b"], "left_anti"), pairs)
+        again = work.likely(work.crossing(_second_star(members)), n)
+        if pairs := again.count():
+            work.verify(again, pairs)
         release(star, again)
-        _rest(members, work)
+        _rest(members, n, work)
         release(work.texts)
     release(members)
     named = _named(classes, work.labels)
     out = rows.join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_md5"), "near")
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_md5")
+    out = materialize(in_files(out, rows.count()), "near")
     release(rows, classes, *([work.labels] if work.labels is not None else []))
     return out
 
@@ -315,7 +320,7 @@ def _second_star(members: DataFrame) -> DataFrame:
     return members.select("band", "x").join(heads, "band").where("x != h").select(F.greatest("x", "h").alias("a"), F.least("x", "h").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, work: _Links) -> None:
+def _rest(members: DataFrame, n_members: int, work: _Links) -> None:
     """Verify pairs whose components differ after all star edges, if they can be linked at all.
 
     Buckets with several components take part.  Shingles that at most ``RARE`` of their classes have
@@ -328,11 +333,12 @@ def _rest(members: DataFrame, work: _Links) -> None:
     named = named.join(labels.toDF("x", "c"), "x", "left").withColumn("c", F.coalesce("c", "x")) if labels is not None else named.withColumn("c", F.col("x"))
     per = named.groupBy("band", "c").agg(F.count("*").alias("k"))
     mixed = per.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", F.struct("k", "c")).alias("main")).where("low <> high").select("band", "main")
-    m = materialize(named.join(mixed, "band"), "mixed")
+    m = materialize(in_files(named.join(mixed, "band"), n_members, 1 << 17), "mixed")
     if not m.isEmpty():
         sizes = work.classes.select(F.col("set_id").alias("x"), F.col("n_shingles").alias("n"))
-        own = materialize(m.select("x", "c").distinct().join(sizes, "x"), "own")
-        rows = materialize(work.texts.join(own.select(F.col("x").alias("set_id")), "set_id").mapInArrow(_shingle_rows, "x binary, shingle bigint"), "shingles")
+        own = materialize(in_files(m.select("x", "c").distinct().join(sizes, "x"), n_members, 1 << 17), "own")
+        rows = work.texts.join(own.select(F.col("x").alias("set_id")), "set_id").mapInArrow(_shingle_rows, "x binary, shingle bigint")
+        rows = materialize(by_input(rows, work.docs), "shingles")
         times = rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
         rare = rows.join(times.where(F.col("k") <= RARE).select("shingle"), "shingle").join(own, "x")
         fits = "c <> c_y and 4 * least(n, n_y) >= 3 * greatest(n, n_y)"
@@ -346,9 +352,9 @@ def _rest(members: DataFrame, work: _Links) -> None:
         bound = "aggregate(zip_with(counts, counts_y, (p, q) -> least(p, q)), 0L, (s, p) -> s + p)"
         others = there.select("band", *[F.col(k).alias(v) for k, v in (("x", "y"), ("c", "c_y"), ("n", "n_y"), ("f", "f_y"), ("counts", "counts_y"), ("main", "main_y"))])
         both = outside.join(others, "band").where(f"{fits} and (c_y = main_y or x > y) and 7 * least(f, f_y) >= 3 * (n + n_y) and 7 * {bound} >= 3 * (n + n_y)")
-        more = work.likely(pairs.union(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct())
-        if not more.isEmpty():
-            work.verify(more)
+        more = work.likely(pairs.union(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct(), n_members)
+        if n := more.count():
+            work.verify(more, n)
         release(own, rows, more)
     release(m)
 
@@ -364,4 +370,4 @@ def near_dedup_stage(docs: DataFrame) -> DataFrame:
     kept = near_components(docs).where("kept").select(F.col("doc_id").alias(one), F.col("text_md5").alias(mark)).distinct()
     same = F.col("l.doc_id").eqNullSafe(F.col(f"r.{one}")) & (F.col(f"l.{mark}") == F.col(f"r.{mark}"))
     stay = docs.withColumn(mark, _md5()).alias("l").join(kept.alias("r"), same, "left_semi")
-    return stay.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    return by_input(stay.dropDuplicates(["doc_id", mark]).select(*docs.columns), docs)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import small_batches
+from turnloom.llm.store import by_input, small_batches
 from turnloom.llm.words import SPACE, U64, Block, blocks, mix, windows
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 20, 30, 8
@@ -299,4 +299,4 @@ def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 failed = (lines.n_words < MIN_WORDS) | (100 * lines.n_repeat_words > MAX_REPEAT * lines.n_words)
                 yield b.slice(i, j - i).filter(pa.array(~failed & (content / np.maximum(lines.n_words, 1) >= SHARE)))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return by_input(docs.select(*names).mapInArrow(run, docs.schema), docs)

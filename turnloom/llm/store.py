@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnloom.sources.shared import release, shared_dir
 from turnloom.sources.shared import written as materialize
 
-__all__ = ["in_files", "materialize", "release", "shared_dir", "small_batches", "unused"]
+__all__ = ["by_input", "in_files", "materialize", "release", "shared_dir", "small_batches", "unused"]
 
 
 def in_files(df: DataFrame, rows: int, per_file: int = 1 << 16) -> DataFrame:
@@ -15,6 +15,12 @@ def in_files(df: DataFrame, rows: int, per_file: int = 1 << 16) -> DataFrame:
     return df.coalesce(max(1, -(-rows // per_file)))
 
 
+def by_input(df: DataFrame, source: DataFrame, per_file: int = 8 << 20) -> DataFrame:
+    """As many partitions as the bytes of the files that ``source`` reads call for, if that is fewer."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(1, min(-(-size // per_file), 1 << 20)))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}

@@ -46,3 +46,22 @@ def test_stages(spark, tmp_path):
     codec = Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert Counter((r.doc_id, r.n_tokens) for r in docs.collect()) == Counter((d, len(codec.encode(t or ""))) for d, t in mixed.elements())
     assert raw and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_empty_tables(spark, tmp_path):
+    documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_quality_stage_is_the_verdict(spark, tmp_path):
+    """The stage keeps the rows of the query's verdict, by the plain version of both."""
+    from tests.llm.test_text_ops import mixed_corpus, plain_verdict
+
+    good, bad, labels = mixed_corpus()
+    rows = awkward() + good + bad
+    docs, table = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    crf = quality.train(docs, table)
+    want = Counter((r[0], r[1]) for r in rows if plain_verdict(r[1], crf))
+    assert Counter((r.doc_id, r.text) for r in quality.quality_stage(docs, table).collect()) == want

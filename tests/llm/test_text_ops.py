@@ -80,6 +80,29 @@ def test_pii_base_spans(spark):
     assert len(by_id[6].iban) == 2 and len(by_id[7].ssn) == 1 and len(by_id[8].secret) == 1
 
 
+def test_pii_account_numbers_and_boundaries(spark):
+    texts = ["DE89370400440532013000 NOW", "DE89 3704 0044 0532 0130 00 BY FRIDAY", "xDE89370400440532013000", "SSN 123-45-6789, 987-65-4321", "ssn 1234-56-78901", 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "sum 9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 1)]
+    got = {}
+    for r in pii.pii_spans(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append({k: [(s.start, s.end) for s in r[k]] for k in pii.KINDS})
+    assert got[0][0]["iban"] == [(0, 22)] and got[1][0]["iban"] == [(0, 27)] and not got[2][0]["iban"]
+    assert got[3][0]["ssn"] == [(4, 15), (17, 28)] and got[3][0] == got[3][1] and not got[4][0]["ssn"]
+    assert got[5][0]["secret"] == [(9, 49)] and not got[6][0]["secret"]
+
+
+def test_pii_scores_are_graded(spark):
+    """More for a checksum, for a word of the kind close by, less for one far off, more for two."""
+    card = "4111 1111 1111 1111"
+    texts = [card, f"visa {card}", f"visa {'x' * 25} {card}", f"visa card {card}", f"{card} {'x' * 45} visa", "a@b.co"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    score = {r.doc_id: [s.score for k in pii.KINDS for s in r[k]] for r in pii.pii_spans(documents(spark, rows)).collect()}
+    assert score == {0: [65], 1: [100], 2: [85], 3: [100], 4: [65], 5: [60]}
+    far = documents(spark, [(1, f"card visa {'x' * 20} {card}", "en", "s", 1)])
+    assert pii.pii_spans(far).first().card[0].score == 100
+    assert pii.pii_spans(documents(spark, [])).count() == 0
+
+
 def test_pii_mask(spark):
     docs = documents(spark, [(1, "to a@b.co from 1.2.3.4", "en", "s", 1), (2, None, None, None, None)])
     assert [r.text for r in pii.mask(docs).orderBy("doc_id").collect()] == ["to [EMAIL] from [IP]", None]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.words import let
 
-CONTEXT, NEAR, KEEP = 40, 16, 75
+CONTEXT, NEAR, KEEP = 40, 20, 75
 NEAR_POINTS, FAR_POINTS, MORE_POINTS = 40, 20, 15
 
 #: Kind -> (cheap test that every match passes, pattern, points for the form and for the check, words of its context).

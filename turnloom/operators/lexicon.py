@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ENTRIES = 20_000
-
 
 def tag_tokens(tokens: DataFrame, lexicon: DataFrame, last: bool = True) -> DataFrame:
     """(tok, entry): for each distinct token its exact entry, else of the partial entries that it

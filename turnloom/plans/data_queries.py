@@ -217,10 +217,10 @@ def _subjective(spark, d, single: bool):
     lex = T.subjectivity_lexicon(_SUBJ(spark))
     one = lex.withColumn("n", F.count("*").over(Window.partitionBy("word")))
     lex = one.where("n = 1") if single else one
-    lex = lex.withColumn("ord", F.dense_rank().over(Window.orderBy("word")))  # a lexicon
+    lex = lex.join(O.with_index(lex.select("word").distinct(), "word", name="ord").withColumn("ord", F.col("ord") + 1), "word")
     toks = units(spark, d).select(F.explode(F.transform("toks", lambda t: F.lower(t))).alias("tok"))
     hits = tag_tokens(toks, lex.select("word", F.col("stemmed").alias("partial"), "ord").distinct())
-    return hits.join(F.broadcast(lex), "ord").select("tok", "word", "pos_tag", "polarity")
+    return hits.join(lex, "ord").select("tok", "word", "pos_tag", "polarity")
 
 
 def _subj_sql(single: bool) -> str:
@@ -258,7 +258,7 @@ def lex_gazetteer_load(spark, d):
 def gazetteer_tag(spark, d):
     toks = units(spark, d).select(F.explode(F.transform("toks", lambda t: F.lower(t))).alias("tok")).distinct()
     g = lex_gazetteer_load(spark, d)
-    return toks.join(F.broadcast(g), F.col("tok") == F.col("word"), "left").select("tok", F.when(F.col("value").isNull(), F.col("tok")).when(F.col("value") == "ORDINAL", "ORDINAL").otherwise("####@#####").alias("tagged"))
+    return toks.join(g, F.col("tok") == F.col("word"), "left").select("tok", F.when(F.col("value").isNull(), F.col("tok")).when(F.col("value") == "ORDINAL", "ORDINAL").otherwise("####@#####").alias("tagged"))
 
 
 _RULES, _RULES_SQL = lines_of("1 S --> NP VP", "0.5 0.1 2 NP --> Det N", "0 VP --> V NP", "Det --> the", "2.5 N --> dog cat")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,13 +13,17 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session.  Where it is unset, the warehouse, which a cluster shares, and in
+    local mode a folder of our own that goes with the process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir")
     if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="turnloom-"))
-    return _own[0]
+        _own.append(tempfile.mkdtemp(prefix="turnloom-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

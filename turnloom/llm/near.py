@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import by_input, in_files, materialize, release, small_batches, unused
+from turnloom.llm.store import by_input, in_files, materialize, release, small_batches, sweep, unused
 from turnloom.llm.words import LOWER, U64, WORD, Block, blocks, mix, text_block, windows
 
 SHINGLE, THRESHOLD = 5, 0.75
@@ -217,6 +217,8 @@ class _Links:
         text = self.docs.select(F.col("doc_id").alias("d"), _md5().alias("m"), F.col("text").cast("binary").alias("content"))
         found = text.join(ids, text["d"].eqNullSafe(ids["first_id"]) & (text["m"] == ids["first_md5"])).select("set_id", "content")
         self.texts = materialize(by_input(found, self.docs), "texts")
+        del found, text, ids
+        sweep(self.docs.sparkSession)
 
     def verify(self, pairs: DataFrame, n: int) -> None:
         """Add the links among up to ``n`` pairs to the components."""
@@ -227,6 +229,7 @@ class _Links:
         before = self.labels
         self.labels = components(new if before is None else new.union(before), new.count() + (before.count() if before is not None else 0))
         release(new, *([before] if before is not None else []))
+        sweep(self.docs.sparkSession)
 
     def crossing(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components; a class without links is its own."""

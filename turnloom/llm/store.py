@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.sources.shared import release, shared_dir
 from turnloom.sources.shared import written as materialize
 
-__all__ = ["by_input", "in_files", "materialize", "release", "shared_dir", "small_batches", "unused"]
+__all__ = ["by_input", "in_files", "materialize", "release", "shared_dir", "small_batches", "sweep", "unused"]
 
 
 def in_files(df: DataFrame, rows: int, per_file: int = 1 << 16) -> DataFrame:
@@ -21,6 +23,14 @@ def by_input(df: DataFrame, source: DataFrame, per_file: int = 8 << 20) -> DataF
     return df.coalesce(max(1, min(-(-size // per_file), 1 << 20)))
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect garbage, so that Spark's cleaner deletes the shuffle files of steps that are done.
+
+    Spark does so by itself every half hour; steps of a long operator are shorter than that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.store import materialize, release, small_batches
+from turnloom.llm.store import by_input, materialize, release, small_batches
 from turnloom.llm.words import U64, blocks
 
 CLASSES, FREQUENT, PARTS, ADD = 32, 1 << 16, 128, 0.1
@@ -185,7 +185,8 @@ def bigrams(train: DataFrame, words: np.ndarray) -> DataFrame:
             keys, counts = sums.merged()
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([side], pa.int32()), pa.array([_pack(np.diff(keys, prepend=0))], pa.binary()), pa.array([_pack(counts)], pa.binary())], ["part", "side", "codes", "counts"])
 
-    return materialize(train.select("text").mapInArrow(run, TABLE).repartition(PARTS, "part").mapInArrow(merge, TABLE), "bigrams")
+    table = train.select("text").mapInArrow(run, TABLE).repartition(PARTS, "part").mapInArrow(merge, TABLE)
+    return materialize(by_input(table, train), "bigrams")
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -256,7 +257,7 @@ def _wished(table: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([best.astype(np.uint8).tobytes()], pa.binary())], ["part", "best"])
 
     out = classes.copy()
-    for r in table.repartition(min(PARTS, max(1, n // 256)), "part").mapInArrow(run, "part int, best binary").collect():
+    for r in table.repartition(min(PARTS, max(1, n // 4096)), "part").mapInArrow(run, "part int, best binary").collect():
         out[np.arange(r.part, n, PARTS)] = np.frombuffer(r.best, np.uint8)
     return out
 

@@ -22,6 +22,23 @@ def test_repair(spark, text, want):
     assert column(spark, text, X.repair_characters) == want.replace("i? m", "i'm")
 
 
+def test_char_subst_is_its_sql(spark, tmp_path):
+    """Marks in a row, rules that overlap, words beside letters of other scripts, line ends."""
+    import duckdb
+
+    from turnloom.plans import registry
+
+    rng = np.random.default_rng(7)
+    parts = ["?", "? ", "??", "i? m", "im", "Im ", " im", "ü", "é", "’", "…", ". s", ". S ", "s", "t", "d", "re", "ll", "ve", " r", "a", " ", "\n", ".", "_", "1", "“", "\u0001", "😀"]
+    texts = ["what?? no", "hi? my", "a. s. s b", "im im im", "?t?d?s", "x??", "???", "ends?\n", "im\n", "üim ü", "i?m", "", None] + ["".join(rng.choice(parts, int(rng.integers(1, 12)))) for _ in range(3000)]
+    spark.createDataFrame([(k, 0, "user", x) for k, x in enumerate(texts)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {(a, b): c for a, b, c in con.sql(registry.oracle_sql()["char_subst"]).fetchall()}
+    got = {(r.dyad, r.pos): r.unit for r in registry.queries()["char_subst"](spark, str(tmp_path)).collect()}
+    assert [(texts[int(k[0])], got[k], want[k]) for k in want if got[k] != want[k]][:5] == [] and len(got) == len(texts)
+
+
 @pytest.mark.parametrize("text,want", [(",, a,b ,", "a,b"), (", ,", ""), ("a", "a")])
 def test_strip_commas(spark, text, want):
     assert column(spark, text, X.strip_commas) == want

@@ -364,3 +364,64 @@ def test_annealed_chains(spark):
     rows = q["adaptor_annealed"](spark, "").collect()
     assert len(rows) == 16 and rows[0].heat == 4.0 and rows[7].heat == 1.0
     assert all(0 < r.discount < 1 and r.strength > 0 and 0 <= r.accepted <= 1 and r.log_p < 0 for r in rows)
+
+
+def test_latent_fit_has_every_block(spark):
+    """Weights by feature, hidden state and label tell labels apart that pairs of them cannot; gradients of every structure."""
+    rng = np.random.default_rng(5)
+    b = pd.DataFrame(noisy(12), columns=["rid", "split", "label", "ids"])
+    for on in (learn.LATENT, ("hxy",), ("y", "hx", "hy"), ("h", "xy"), learn.PAIRED):
+        w = rng.normal(size=sum(learn.latent_sizes(3, 2, 8, on)))
+        _, g = learn.latent_partial(3, 2, on)(b, w)
+        for i in range(len(w)):
+            e = np.zeros(len(w))
+            e[i] = 1e-5
+            assert abs((learn.latent_partial(3, 2, on)(b, w + e)[0] - learn.latent_partial(3, 2, on)(b, w - e)[0]) / 2e-5 - g[i]) < 1e-4
+    m = {f: rng.normal(size=s) for f, s in (("y", 3), ("h", 2), ("hy", (2, 3)), ("hx", (8, 2)), ("xy", (8, 3)), ("hxy", (8, 2, 3)))}
+    w, total = np.concatenate([m[f].reshape(-1) for f in learn.LATENT]), 0.0
+    for _, _, y, x in noisy(12):
+        e = np.array([[sum(m["hx"][f, h] + m["xy"][f, c] + m["hxy"][f, h, c] for f in x) + m["y"][c] + m["h"][h] + m["hy"][h, c] for c in range(3)] for h in range(2)])
+        total += np.log(np.exp(e).sum()) - np.log(np.exp(e[:, y]).sum())
+    assert abs(learn.latent_partial(3, 2, learn.LATENT)(b, w)[0] - total) < 1e-9
+
+
+def test_latent_fit_keeps_the_best_on_dev_and_tunes(spark, monkeypatch):
+    rows = noisy(80)
+    train, dev = (spark.createDataFrame([r for r in rows if (r[1] == "train") == t], KIND) for t in (True, False))
+    seen = []
+    plain = learn.lbfgs
+    monkeypatch.setattr(learn, "lbfgs", lambda f, w, watch=None, **k: plain(f, w, watch=lambda v, loss: (seen.append((v.copy(), loss, k)), watch(v, loss)), **k))
+    w, loss = learn.latent_fit(train, 3, 8, 2, 0.1, on=learn.LATENT, dev=dev)
+    right = lambda v: learn.latent_hits(3, 2, learn.LATENT)(learn.labelled(dev.toPandas()), v)[0]
+    first = max(range(len(seen)), key=lambda k: (right(seen[k][0]), -k))
+    assert np.array_equal(w, seen[first][0]) and loss == seen[first][1] and seen[0][2]["most"] == 1500
+    ridge, v, _ = learn.latent_tuned(train, dev, 3, 8, 2, (50.0, 0.1), on=learn.LATENT, most=30)
+    assert ridge in (50.0, 0.1) and right(v) == max(right(learn.latent_fit(train, 3, 8, 2, r, on=learn.LATENT, dev=dev, most=30)[0]) for r in (50.0, 0.1))
+
+
+def test_passes_over_blocks_send_what_they_touch(spark):
+    """Packed rows give the same sums as rows, in any number of partitions, with rows of no feature and values."""
+    from turnloom.operators.blocks import Blocks, sparse
+
+    df = spark.createDataFrame([*noisy(), (99, "train", 1, [])], KIND).select("label", "ids")
+    w = np.random.default_rng(1).normal(size=24)
+    own = Blocks(df, learn.labelled)
+    for fan in (16, 2):
+        loss, g = own.summed(learn.maxent_core(3), w, fan)
+        want, h = learn.maxent_partial(3)(df.toPandas(), w)
+        assert abs(loss - want) < 1e-9 and np.allclose(g, h)
+    dense = np.zeros((3, 8))
+    dense[0, [1, 5]], dense[2, 1] = (2.0, 3.0), 4.0
+    x, m, d, g = sparse([np.array([5, 1]), np.array([]), np.array([1])], [[3.0, 2.0], [], [4.0]]), w.reshape(8, 3), np.arange(9.0).reshape(3, 3), np.ones((8, 3))
+    x.push(d, g)
+    assert np.allclose(x.scores(m), dense @ m) and np.allclose(g, 1 + dense.T @ d)
+
+
+def test_dictionary_of_frequent_features(spark):
+    from turnloom.operators import encode
+
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, ("train", "dev")[int(rng.integers(2))], sorted({f"w{int(rng.integers(25))}" for _ in range(4)})) for i in range(40)]
+    df = spark.createDataFrame(rows, "rid bigint, label int, split string, feats array<string>")
+    want = encode.dictionary(encode.frequent_only(df, 6)).collect()
+    assert sorted(encode.frequent_dictionary(df, 6).collect()) == sorted(want) and len(want) > 3

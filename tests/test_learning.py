@@ -1,6 +1,7 @@
 """Learners against plain versions of themselves, exact optima and properties."""
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -426,3 +427,35 @@ def test_dictionary_of_frequent_features(spark):
     df = spark.createDataFrame(rows, "rid bigint, label int, split string, feats array<string>")
     want = encode.dictionary(encode.frequent_only(df, 6)).collect()
     assert sorted(encode.frequent_dictionary(df, 6).collect()) == sorted(want) and len(want) > 3
+
+
+def test_the_optimiser_keeps_long_vectors_in_files(monkeypatch):
+    """Steps and changes of gradients leave the driver's memory, with the same weights."""
+    import tempfile
+
+    a = np.random.default_rng(1).random((40, 12))
+    f = lambda w: (float(np.logaddexp(0, a @ w).sum() + w @ w / 2), a.T @ (1 / (1 + np.exp(-(a @ w)))) + w)
+    want, loss = optimise.lbfgs(f, np.ones(12), memory=3, eps=1e-9)
+    made, plain = [], tempfile.TemporaryFile
+    monkeypatch.setattr(optimise, "IN_FILES", 0)
+    monkeypatch.setattr(tempfile, "TemporaryFile", lambda *a: made.append(plain(*a)) or made[-1])
+    got, other = optimise.lbfgs(f, np.ones(12), memory=3, eps=1e-9)
+    assert len(made) == 1 and np.array_equal(got, want) and loss == other
+
+
+def test_a_large_gradient_reaches_the_driver_once(spark, monkeypatch):
+    """Partitions that all touch a feature do not each send it to the driver."""
+    from pyspark import RDD
+
+    monkeypatch.setattr(blocks, "ONE_MODEL", 0)
+    rows = [(k, k % 2, list(range(60))) for k in range(64)]
+    df = spark.createDataFrame(rows, "rid bigint, label int, ids array<bigint>").repartition(4).select("label", "ids")
+    own, sent, plain = blocks.Blocks(df, learn.labelled), [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sent.extend(plain(self)) or sent)
+    w = np.random.default_rng(2).normal(size=120)
+    loss, g = own.summed(learn.maxent_core(2), w)
+    monkeypatch.undo()
+    x, want = learn.summed(df, learn.maxent_partial(2), w)
+    assert sum(len(v) for _, (_, _, v) in sent) == 120
+    assert math.isclose(loss, x) and np.allclose(g, want)
+    own.release()

@@ -248,6 +248,20 @@ def test_phrases_as_one_by_one(spark):
     assert len(want) > 8 and sorted((r.a, r.b) for r in mdl.induce(w).collect()) == sorted(want)
 
 
+def test_induction_in_one_task_has_the_merges_of_jobs(spark, monkeypatch):
+    """Also where a phrase is a word of some text already, and where two pairs give the same phrase."""
+    rng = np.random.default_rng(4)
+    kinds = ["q r", "q_r u", "q_r v", "q r u", "x_y z", "x y_z", "x_y z x y_z", "once", "p p p"]
+    docs = {str(d): " ".join(rng.choice(kinds, 12)).replace("once", f"h{d} i{d} j{d}").split() for d in range(30)} | {"empty": []}
+    w = spark.createDataFrame([(d, k, x) for d, ws in docs.items() for k, x in enumerate(ws)], "doc string, pos bigint, w string")
+    ways = []
+    for most in (mdl.ONE_TASK, -1):
+        monkeypatch.setattr(mdl, "ONE_TASK", most)
+        ways.append(sorted(mdl.induce(w, 0.0).collect()))
+    assert len(ways[0]) > 30 and {"q_r"} <= {r.a for r in ways[0]} and ways[0][-1]["round"] > 0
+    assert [r[:3] for r in ways[0]] == [r[:3] for r in ways[1]] and np.allclose([r.bits for r in ways[0]], [r.bits for r in ways[1]])
+
+
 def test_inside_probabilities_sum_to_one():
     rules = grammar.normalised([(1, "S", "A A"), (1, "A", "a"), (3, "A", "b")])
     assert abs(sum(grammar.Chart(rules, w).inside("S", 0, 2) for w in itertools.product("ab", repeat=2)) - 1) < 1e-12

@@ -459,3 +459,52 @@ def test_a_large_gradient_reaches_the_driver_once(spark, monkeypatch):
     assert sum(len(v) for _, (_, _, v) in sent) == 120
     assert math.isclose(loss, x) and np.allclose(g, want)
     own.release()
+
+
+def test_blocks_of_one_task_are_joined(spark):
+    """A fit in one task goes over one block, which gives the sums of its parts, with and without values, and of sequences."""
+    df = spark.createDataFrame([*noisy(), (99, "train", 1, [])], KIND).repartition(5)
+    own = blocks.Blocks(df.select("label", "ids"), learn.labelled)
+    assert own.rdd.count() > 1
+    w = np.random.default_rng(1).normal(size=24)
+    n, (loss, g) = blocks.fitted(lambda held: (len(held.blocks), held.summed(learn.maxent_core(3), w)), 24, own)
+    want, h = learn.maxent_partial(3)(df.toPandas(), w)
+    assert n == 1 and abs(loss - want) < 1e-9 and np.allclose(g, h)
+    own.release()
+    lists, m, d = [np.array([5, 1]), np.array([], int), np.array([1, 2, 5])], w[:8, None], np.arange(6.0)[:, None]
+    ones, vals = [np.ones(len(x)) for x in lists], [np.array([3.0, 2.0]), np.array([]), np.array([1.0, 4.0, 5.0])]
+    dense = np.zeros((6, 8))
+    for k, (x, v) in enumerate(zip([*lists, *lists], [*ones, *vals], strict=True)):
+        dense[k, x] = v
+    for narrow in (False, True):
+        x, g = blocks.joined([blocks.sparse(lists, ones, narrow), blocks.sparse(lists, vals, narrow)]), np.ones((8, 1))
+        x.push(d, g)
+        assert np.allclose(x.scores(m), dense @ m) and np.allclose(g, 1 + dense.T @ d)
+    seqs = pd.DataFrame({"ids": [[[0, 1], [2]], [[1]], [[2], [0], []]], "gold": [[0, 1], [1], [1, 0, 0]]})
+    v = np.random.default_rng(3).normal(size=3 * 2 + 4 + 4)
+    parts = [learn.lined_up(seqs.iloc[:2]), learn.lined_up(seqs.iloc[2:])]
+    loss = learn.crf_core(2, 3)(learn.joined_lines(parts), v, g := np.zeros(len(v)))
+    want, h = learn.crf_partial(2, 3)(seqs, v)
+    assert abs(loss - want) < 1e-9 and np.allclose(g, h)
+
+
+def test_fits_of_the_suite_go_on_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    from turnloom.plans import learning_queries
+
+    together, plain = threading.Barrier(4), learning_queries._fitted
+    monkeypatch.setattr(learning_queries, "_fitted", lambda *a: (together.wait(60), plain(*a))[1])
+    got = {r.measure for r in registry.queries()["suite_train"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 6
+
+
+def test_training_reads_the_texts_once(spark, monkeypatch):
+    """Dictionary and rows come from instances that are written."""
+    from turnloom.operators import encode
+    from turnloom.plans import learning_queries
+
+    read, plain = [], encode.encode
+    monkeypatch.setattr(encode, "encode", lambda x, ids: (read.extend(x.inputFiles()), plain(x, ids))[1])
+    rows, n = learning_queries._data(spark, "/root/testdata/sf0.001")
+    assert rows.count() and n > 1 and read and not any("conversations" in x for x in read)

@@ -504,7 +504,34 @@ def test_training_reads_the_texts_once(spark, monkeypatch):
     from turnloom.operators import encode
     from turnloom.plans import learning_queries
 
-    read, plain = [], encode.encode
-    monkeypatch.setattr(encode, "encode", lambda x, ids: (read.extend(x.inputFiles()), plain(x, ids))[1])
+    read, plain = [], encode.packed
+    monkeypatch.setattr(encode, "packed", lambda x, ids: (read.extend(x.inputFiles()), plain(x, ids))[1])
     rows, n = learning_queries._data(spark, "/root/testdata/sf0.001")
     assert rows.count() and n > 1 and read and not any("conversations" in x for x in read)
+
+
+def test_rows_are_encoded_alike_by_lookup_and_join(spark, monkeypatch):
+    """Rows of unknown features, of none and of a key that occurs twice too."""
+    from turnloom.operators import encode
+
+    rows = [(1, 0, "train", ["b", "a"]), (2, 1, "dev", ["c", "x"]), (3, 0, "train", []), (4, 2, "test", ["a"]), (4, 2, "test", ["c", "a"]), (5, 1, "dev", ["x"])]
+    df = spark.createDataFrame(rows, "rid bigint, label int, split string, feats array<string>")
+    ids = spark.createDataFrame([("**BIAS**", 0), ("a", 1), ("b", 2), ("c", 3)], "f string, id bigint")
+    looked, n = encode.packed(df, ids)
+    got = sorted((r.rid, r.split, r.label, r.ids) for r in looked.collect())
+    assert n == 4 and got == [(1, "train", 0, [0, 1, 2]), (2, "dev", 1, [0, 3]), (3, "train", 0, [0]), (4, "test", 2, [0, 0, 1, 1, 3]), (5, "dev", 1, [0])]
+    monkeypatch.setattr(encode, "LOOKED_UP", 3)
+    joined, n = encode.packed(df, ids)
+    assert n == 4 and got == sorted((r.rid, r.split, r.label, r.ids) for r in joined.collect())
+
+
+def test_sequences_are_alike_by_lookup_and_join(spark, small, monkeypatch):
+    from turnloom.operators import encode
+    from turnloom.plans import learning_queries
+
+    made = []
+    for most in (encode.LOOKED_UP, 0):
+        monkeypatch.setattr(encode, "LOOKED_UP", most)
+        seqs, n = learning_queries._items(spark, small[0])
+        made.append((n, sorted((r.seq, [sorted(x) for x in r.ids], r.gold) for r in seqs.collect())))
+    assert made[0] == made[1] and made[0][0] == 8 and len(made[0][1]) == 12

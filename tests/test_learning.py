@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -403,6 +404,28 @@ def test_latent_fit_keeps_the_best_on_dev_and_tunes(spark, monkeypatch):
     assert ridge in (50.0, 0.1) and right(v) == max(right(learn.latent_fit(train, 3, 8, 2, r, on=learn.LATENT, dev=dev, most=10)[0]) for r in (50.0, 0.1))
 
 
+def test_latent_passes_in_parts_and_few_calls():
+    """A fit's parts beside each other give the sums of one block, and end with it; long runs need no call of their own."""
+    rng = np.random.default_rng(4)
+    parts = [(blocks.sparse([[0, *np.flatnonzero(rng.random(60) < 0.1) + 1] for _ in range(700)]), rng.integers(0, 3, 700)) for _ in range(3)]
+    core, hits = learn.latent_core(3, 2, learn.LATENT), learn.latent_hits(3, 2, learn.LATENT)
+    w = rng.normal(size=sum(learn.latent_sizes(3, 2, 61, learn.LATENT)))
+    one, own, held = blocks.Here(parts), blocks.Here(parts, cores=2, parts=2), blocks.Here(parts, cores=2)
+    for v in (w, w / 2):
+        share, (loss, g) = held.later(hits, v), own.summed(core, v)
+        assert share() == one.counted(hits, v) and np.allclose(g, one.summed(core, v)[1], atol=1e-9) and abs(loss - one.summed(core, v)[0]) < 1e-6
+    pids = [h.pid for x in (own, held) for helpers in x.helpers.values() for h in helpers]
+    own.end(), held.end()
+    assert len(pids) == 2 and not any(os.path.exists(f"/proc/{pid}") for pid in pids)
+    x = one.blocks[0][0]
+    assert x.by_feat.sizes.max() == 2100 and len(x.by_feat.spans) <= x.by_feat.LONG
+    dense = np.zeros((x.n, 61))
+    at, _ = x.by_row.flat()
+    np.add.at(dense, (np.repeat(np.arange(x.n), x.by_row.sizes), x.feats[at]), 1)
+    d = rng.normal(size=(x.n, 6))
+    assert np.allclose(x.to_feats(d), dense.T @ d, atol=1e-9) and np.allclose(x.of_feats(dense.T @ d), dense @ (dense.T @ d), atol=1e-6)
+
+
 def test_passes_over_blocks_send_what_they_touch(spark):
     """Packed rows give the same sums as rows, in any number of partitions, with rows of no feature and values."""
     df = spark.createDataFrame([*noisy(), (99, "train", 1, [])], KIND).select("label", "ids")
